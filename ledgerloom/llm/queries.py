@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
-from .shared import table
+from . import bpe, chat, mixing, sharding, tokenfiles, warc
+from .shared import new_path, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -17,6 +17,28 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(own, rows.schema))
+    done = chat.format_conversations(rows, "conv_id", "turn", "role", "text")
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = chat.loss_text(F.col("turns"))
+    return done.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = sharding.shard(table(spark, sf_dir, "documents"), "doc_id", "text", 8)
+    return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,8 +53,90 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary, pattern, path = tokenizer_path("byte_bpe_50k.json"), public_tokenizers.PATTERN, new_path(spark, "tokens")
+    docs = table(spark, sf_dir, "documents")
+    tokenfiles.write(docs, "doc_id", "text", path, lambda: tokenfiles.library_encoder(vocabulary, pattern), end_id=2)
+    back = tokenfiles.read(spark, path, "doc_id")
+    return back.select("doc_id", "start", "n_tokens", tokenfiles.checksum(F.col("ids")).alias("ids_crc32"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), "page_id", "url", "html", path)
+    header = F.col("header")
+    return warc.read(spark, path).select(
+        warc.page_of(header).alias("page_id"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_digest"),
+        warc.field(header, "WARC-Type").alias("record_type"),
+        warc.page_of(header, "WARC-Refers-To").alias("refers_to"),
+    )
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    ordered = mixing.by_position(mixed, "doc_id")
+    first = F.floor(F.get("positions", F.lit(0)) * 1e6).cast("long")
+    return ordered.select("doc_id", "size", "source_size", "target", "taken", F.size("positions").cast("long").alias("copies"), first.alias("position_ppm"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat": op2_chat,
+    "op3_sharding": op3_sharding,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_token_files": op5_token_files,
+    "op7_warc": op7_warc,
+    "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _op2_sql() -> str:
+    text = f"replace(text, '{chat.ESCAPE}', '{chat.ESCAPE}{chat.SELF}')"
+    for control, code in chat.CODES.items():
+        text = f"replace({text}, '{control}', '{chat.ESCAPE}{code}')"
+    marks = len(chat.START) + len(chat.END) + 2
+    return f"""
+        WITH r AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -7, t.turn, t.role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) t(turn, role))
+        SELECT conv_id, count(*) AS n_turns,
+          sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+          coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+          sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+          sum(length(role) + length({text}) + {marks})::BIGINT AS formatted_chars
+        FROM r GROUP BY conv_id
+    """
+
+
+_OP10_SQL = """
+    WITH d AS (SELECT doc_id, source, md5('0:' || doc_id) AS key, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+    s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS i FROM d GROUP BY source),
+    w AS (SELECT *, [5, 2, 1][i % 3 + 1] AS w, 3 * source_size AS most, [1.0, 1.5, 0.5][i % 3 + 1]::DOUBLE AS a, [1.0, 0.5, 1.5][i % 3 + 1]::DOUBLE AS b FROM s),
+    l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+      / sum(w) OVER (ORDER BY most / w, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+    v AS (SELECT level FROM l WHERE level * w <= most ORDER BY most / w, i LIMIT 1),
+    t AS (SELECT l.source, source_size, a, b, least(most::DOUBLE, v.level * w) AS target FROM l, v),
+    p AS (SELECT doc_id, size, source_size, a, b, target,
+      coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+    n AS (SELECT *, greatest(0, least(size, floor(target)::BIGINT - c)) AS x, greatest(0, least(size, floor(target)::BIGINT - c - source_size)) AS y,
+      greatest(0, least(size, floor(target)::BIGINT - c - 2 * source_size)) AS z FROM p)
+    SELECT doc_id, size, source_size, target, (x + y + z)::BIGINT AS taken, ((x > 0)::INT + (y > 0)::INT + (z > 0)::INT)::BIGINT AS copies,
+      CASE WHEN x > 0 THEN floor(CASE WHEN a = b THEN c / target ELSE (sqrt(a * a + (b - a) * (a + b) * (c / target)) - a) / (b - a) END * 1e6)::BIGINT END AS position_ppm
+    FROM n
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat": _op2_sql(),
+    "op10_mixing": _OP10_SQL,
+    "op7_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+        q AS (SELECT page_id, strlen(t) AS n, sha256(t) AS d, min(page_id) OVER (PARTITION BY t) AS first FROM p)
+        SELECT page_id, n AS payload_bytes, d AS payload_digest,
+          CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM q
+    """,
+}
