@@ -24,7 +24,7 @@ from .shared import ship
 _NONE = 1 << 62
 _MASK = (1 << 32) - 1
 #: Rows and bytes of one Arrow batch that are worked on together; bounds what is held besides the batch.
-_STEP, _STEP_BYTES = 1024, 4 << 20
+_STEP, _STEP_BYTES = 1024, 2 << 20
 
 
 def steps(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:

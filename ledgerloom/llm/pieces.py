@@ -31,7 +31,7 @@ class PieceEncoder:
     are kept; both stores are emptied when they hold ``capacity`` entries, so memory is bounded.
     """
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], capacity: int = 400_000):
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], capacity: int = 200_000):
         self._full, self._encode, self._capacity = regex.compile(pattern), encode, capacity
         plain = _plain_form(pattern)
         self._fast = None if r"\p" in plain else re.compile(plain)
