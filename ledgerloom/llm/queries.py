@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, sharding, tokenfiles, warc
+from . import bpe, chat, mixing, quality, secrets, sharding, tokenfiles, warc
 from .shared import new_path, table
 
 
@@ -63,6 +63,17 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", tokenfiles.checksum(F.col("ids")).alias("ids_crc32"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    count = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS)),
+        F.sha2(secrets.named(F.col("base_spans")), 256).alias("base_sha256"),
+        secrets.named(F.col("spans")).alias("spans"),
+    )
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), "page_id", "url", "html", path)
@@ -76,6 +87,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", "source")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
     ordered = mixing.by_position(mixed, "doc_id")
@@ -88,7 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_files": op5_token_files,
+    "op6_secrets": op6_secrets,
     "op7_warc": op7_warc,
+    "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
 
