@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, quality, secrets, sharding, tokenfiles, warc
+from . import bpe, chat, jaccard, mixing, quality, secrets, sharding, tokenfiles, warc
 from .shared import new_path, table
 
 
@@ -87,6 +87,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), "doc_id", "text", k=3, num=90, den=100)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", "source")
 
@@ -105,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_secrets": op6_secrets,
     "op7_warc": op7_warc,
+    "op8_jaccard": op8_jaccard,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
