@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, mixing, quality, secrets, sharding, tokenfiles, warc
+from . import bpe, chat, jaccard, mixing, pivots, quality, secrets, sharding, tokenfiles, warc
 from .shared import new_path, table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", least=0.9)
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -103,6 +107,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embeddings": op1_embeddings,
     "op2_chat": op2_chat,
     "op3_sharding": op3_sharding,
     "op4_byte_bpe": op4_byte_bpe,
