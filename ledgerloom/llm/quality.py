@@ -37,8 +37,9 @@ _PAIRS = list(combinations_with_replacement(range(len(_X)), 2))
 _GROUP = ["level", "g_lang", "g_source"]
 
 
-def statistics(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """(id, lang, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words)."""
+def statistics(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, whole: bool = False) -> DataFrame:
+    """(id, lang, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words), and the row itself if asked."""
+    row = [F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")] if whole else []
     text = text_of(text_col)
     words = F.array_remove(F.split(text, GAP, -1), "")
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
@@ -72,13 +73,13 @@ def statistics(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_
         return F.struct(F.size(w).alias("n"), chars.alias("chars"), let(F.transform(w, lambda x: F.xxhash64(x)), repeat_words).alias("repeat"))
 
     found = df.select(
-        F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"),
+        *row, F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"),
         let(words, word_counts).alias("w"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         let(lines, line_counts).alias("l"),
     )
     return found.select(
-        "id", "lang", "source", F.col("w.n").cast("long").alias("n_words"), F.col("w.chars").cast("long").alias("word_chars"), "n_symbols",
+        *(["row"] if whole else []), "id", "lang", "source", F.col("w.n").cast("long").alias("n_words"), F.col("w.chars").cast("long").alias("word_chars"), "n_symbols",
         F.col("l.n").cast("long").alias("n_lines"), F.col("l.dup").cast("long").alias("n_dup_lines"), F.col("w.repeat").cast("long").alias("n_repeat_words"),
     )
 
@@ -193,6 +194,19 @@ def estimate(rows: DataFrame) -> DataFrame:
     return params
 
 
+def _decided(rows: DataFrame) -> DataFrame:
+    """Adds distance and kept to the vectors of all rows."""
+    sound = rows.where(~F.col("base_failed"))
+    judged = stored(_grouped(sound.select("id", "lang", "source", *_X)), "quality-sound")
+    enough = F.lit(judged.count() >= LEAST_ROWS)
+    params = estimate(judged)
+    groups = stored(judged.select("lang", "source", *_GROUP).distinct(), "quality-of")
+    a, b = rows.alias("a"), groups.alias("b")
+    placed = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")) & F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.*", *(f"b.{c}" for c in _GROUP))
+    far = enough & (F.coalesce("d2", F.lit(0.0)) > CUTOFF)
+    return _judged(placed, params).withColumns({"distance": F.when(~F.col("base_failed"), F.round("d2", 6)), "kept": ~F.col("base_failed") & ~far})
+
+
 def judge(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
     """Returns (``id_col``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance).
 
@@ -201,17 +215,15 @@ def judge(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col:
     is judged by its language, then by all rows; if those are fewer too, nothing more is rejected.
     Equal rows are judged alike, other columns are ignored, an empty table gives no rows.
     """
-    rows = stored(_vectors(statistics(df, id_col, text_col, lang_col, source_col)), "quality-stats")
-    sound = rows.where(~F.col("base_failed"))
-    judged = stored(_grouped(sound.select("id", "lang", "source", *_X)), "quality-sound")
-    enough = F.lit(judged.count() >= LEAST_ROWS)
-    params = estimate(judged)
-    groups = stored(judged.select("lang", "source", *_GROUP).distinct(), "quality-of")
-    a, b = rows.alias("a"), groups.alias("b")
-    placed = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")) & F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.*", *(f"b.{c}" for c in _GROUP))
-    done = _judged(placed, params)
-    distance = F.when(~F.col("base_failed"), F.round("d2", 6))
-    return done.select(
-        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~(enough & (F.coalesce("d2", F.lit(0.0)) > CUTOFF))).alias("kept"), distance.alias("distance"),
-    )
+    done = _decided(stored(_vectors(statistics(df, id_col, text_col, lang_col, source_col)), "quality-stats"))
+    return done.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+def keep(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    """The rows that ``judge`` keeps, with all their columns.
+
+    The rows are written beside their statistics and read again when the estimates are known, which
+    are small: the texts are never shuffled nor their statistics computed twice.
+    """
+    done = _decided(stored(_vectors(statistics(df, id_col, text_col, lang_col, source_col, whole=True)), "quality-rows"))
+    return done.where("kept").select("row.*")
