@@ -129,7 +129,7 @@ add(
 def _template_items(r: DataFrame) -> DataFrame:
     x = _with_text(r).withColumn("merchant_type", M.merchant_type(_t))
     x = x.select("file_id", F.explode(M.template_items(_t, F.col("merchant_type"))).alias("x"))
-    return x.select("file_id", F.col("x.description").alias("description"), F.col("x.quantity").alias("quantity"), F.round(F.col("x.unit_price").cast("double"), 4).alias("unit_price"), F.col("x.total_price").cast("string").alias("price"))
+    return x.select("file_id", F.col("x.description").alias("description"), F.col("x.quantity").alias("quantity"), F.col("x.unit_price").cast("double").alias("unit_price"), F.col("x.total_price").cast("string").alias("price"))
 
 
 def _template_sql() -> str:
@@ -146,7 +146,7 @@ def _template_sql() -> str:
 add(
     "template_items", _template_items,
     rf"""WITH {_TEMPLATE}, e AS ({_template_sql()})
-    SELECT file_id, regexp_replace(d, '^\s+|\s+$', '', 'g') AS description, q::DOUBLE AS quantity, CASE WHEN q IS NOT NULL THEN round(p::DOUBLE / q::DOUBLE, 4) END AS unit_price, p AS price FROM e""",
+    SELECT file_id, regexp_replace(d, '^\s+|\s+$', '', 'g') AS description, q::DOUBLE AS quantity, CASE WHEN q IS NOT NULL THEN ((replace(p, '.', '')::BIGINT * 20000 + q::BIGINT) // (2 * q::BIGINT)) / 1000000.0::DOUBLE END AS unit_price, p AS price FROM e""",
 )
 add("enhance_items", lambda r: _exploded(_with_text(r).withColumn("items", F.slice("items", 1, 2)), M.enhance(_t, F.col("items"))), None)
 _extra_line = lambda: F.when(F.col("pos") % 3 == 0, F.concat(F.upper("description"), F.lit(" $"), F.col("price"))).when(F.col("pos") % 3 == 1, F.concat("description", F.lit(" "), F.col("price"))).otherwise(
