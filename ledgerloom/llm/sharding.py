@@ -4,7 +4,8 @@ Groups (documents of equal text) stay together. A group with over 1 / ``CELLS``
 rows is a unit of its own, of which there can be at most 3 * ``CELLS``; one of over half a shard is cut
 into pieces by document id. All other groups are dealt by hash into ``CELLS`` units. The driver thus
 places a bounded number of units, largest first, each into the shard where the dot product of its
-vector with the shard's residual capacity is highest.
+vector with the shard's residual capacity is highest; then single units are
+exchanged between the fullest and the emptiest shard while their bytes come closer.
 """
 
 from __future__ import annotations
@@ -31,7 +32,30 @@ def place(units: np.ndarray, n_shards: int) -> list[int]:
     for i in np.lexsort((np.arange(len(units)), -share.max(axis=1))) if len(units) else []:
         out[i] = best = int(np.argmax(left @ share[i]))
         left[best] -= share[i]
-    return out
+    return _evened(np.array(out, int), share if len(units) else units, n_shards)
+
+
+def _evened(at: np.ndarray, share: np.ndarray, n_shards: int) -> list[int]:
+    """Exchanges units between the fullest and the emptiest shard by bytes while that brings them closer."""
+    load = np.bincount(at, share[:, 0], n_shards) if len(at) else np.zeros(n_shards)
+    for _ in range(50 * n_shards):
+        a, b = int(load.argmax()), int(load.argmin())
+        more, less = np.flatnonzero(at == a), np.flatnonzero(at == b)
+        if a == b or not len(more) or not len(less):
+            break
+        less = less[np.argsort(share[less, 0], kind="stable")]
+        gap = load[a] - load[b]
+        near = np.searchsorted(share[less, 0], share[more, 0] - gap / 2)
+        pairs = np.stack([np.tile(more, 2), less[np.clip(np.concatenate((near - 1, near)), 0, len(less) - 1)]], axis=1)
+        moved = share[pairs[:, 0]] - share[pairs[:, 1]]
+        cost = np.abs(gap - 2 * moved[:, 0]) + np.abs(moved[:, 2])
+        k = int(cost.argmin())
+        if cost[k] >= gap * 0.999:
+            break
+        (i, j), step = pairs[k], moved[k, 0]
+        at[i], at[j] = b, a
+        load[a], load[b] = load[a] - step, load[b] + step
+    return at.tolist()
 
 
 def shard(df: DataFrame, id_col: str, text_col: str, n_shards: int = 8) -> DataFrame:
