@@ -86,8 +86,8 @@ add(
 )
 _DATED = f"{_VALID} AND dt IS NOT NULL"
 _dated = lambda r: A.valid(r).where("date IS NOT NULL")
-_spent = A.total().alias("total_spent")
-add("monthly", lambda r: A.by(_dated(r), F.date_format("date", "yyyy-MM"), "month", _spent), f"SELECT strftime(dt, '%Y-%m') AS month, {_SUM} AS total_spent FROM r WHERE {_DATED} GROUP BY 1")
+_spent = lambda: A.total().alias("total_spent")
+add("monthly", lambda r: A.by(_dated(r), F.date_format("date", "yyyy-MM"), "month", _spent()), f"SELECT strftime(dt, '%Y-%m') AS month, {_SUM} AS total_spent FROM r WHERE {_DATED} GROUP BY 1")
 _DAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
 
@@ -102,14 +102,14 @@ add(
     f"""WITH d AS (SELECT unnest(range(7)) AS i, unnest({list(_DAYS)}) AS weekday), s AS (SELECT isodow(dt) - 1 AS i, ({_SUM}) / count(*)::DOUBLE AS average FROM r WHERE {_DATED} GROUP BY 1)
     SELECT weekday, coalesce(average, 0) AS average FROM d LEFT JOIN s USING (i)""",
 )
-_method = F.when(F.coalesce(F.col("payment_method"), F.lit("")) != "", F.col("payment_method")).otherwise(A.UNKNOWN)
+_method = lambda: F.when(F.coalesce(F.col("payment_method"), F.lit("")) != "", F.col("payment_method")).otherwise(A.UNKNOWN)
 add(
     "payment_dist",
-    lambda r: A.by(A.valid(r), _method, "payment_method", _n()).withColumn("share", F.col("n_records") / F.sum("n_records").over(Window.partitionBy(F.lit(0)))),
+    lambda r: A.by(A.valid(r), _method(), "payment_method", _n()).withColumn("share", F.col("n_records") / F.sum("n_records").over(Window.partitionBy(F.lit(0)))),
     f"SELECT coalesce(payment_method, 'Unknown') AS payment_method, count(*) AS n_records, count(*)::DOUBLE / (sum(count(*)) OVER ())::DOUBLE AS share FROM r WHERE {_VALID} GROUP BY 1",
 )
 add("merchant_freq", lambda r: A.top(A.by(A.valid(r), A.named(), "merchant", _n()), 10, "n_records", "merchant"), f"SELECT {_NAME} AS merchant, count(*) AS n_records FROM r WHERE {_VALID} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
-add("merchant_spend", lambda r: A.top(A.by(A.valid(r), A.named(), "merchant", _spent), 10, "total_spent", "merchant"), f"SELECT {_NAME} AS merchant, {_SUM} AS total_spent FROM r WHERE {_VALID} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+add("merchant_spend", lambda r: A.top(A.by(A.valid(r), A.named(), "merchant", _spent()), 10, "total_spent", "merchant"), f"SELECT {_NAME} AS merchant, {_SUM} AS total_spent FROM r WHERE {_VALID} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 add(
     "merchant_avg", lambda r: A.top(A.spend(A.valid(r), A.named(), "merchant").select("merchant", "average"), 10, "average", "merchant"),
     f"SELECT {_NAME} AS merchant, ({_SUM}) / count(*)::DOUBLE AS average FROM r WHERE {_VALID} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
@@ -124,14 +124,14 @@ add(
     f"SELECT split_part(tm, ':', 1)::INT AS hour, ({_SUM}) / count(*)::DOUBLE AS average FROM r WHERE {_VALID} AND tm IS NOT NULL GROUP BY 1",
 )
 add(
-    "weekly", lambda r: A.by(_dated(r), A.week_key(F.col("date")), "week", _spent).orderBy(F.col("week").desc()).limit(12),
+    "weekly", lambda r: A.by(_dated(r), A.week_key(F.col("date")), "week", _spent()).orderBy(F.col("week").desc()).limit(12),
     f"SELECT year(dt) || '-W' || lpad(weekofyear(dt)::VARCHAR, 2, '0') AS week, {_SUM} AS total_spent FROM r WHERE {_DATED} GROUP BY 1 ORDER BY 1 DESC LIMIT 12",
 )
 
 
 def _seasons(r: DataFrame) -> DataFrame:
     names = r.sparkSession.createDataFrame([(s,) for s in ("Spring", "Summer", "Fall", "Winter")], "season string")
-    return A.dense(A.by(_dated(r), A.season(F.col("date")), "season", _spent), names, "season", "total_spent")
+    return A.dense(A.by(_dated(r), A.season(F.col("date")), "season", _spent()), names, "season", "total_spent")
 
 
 add(
@@ -141,7 +141,7 @@ add(
     SELECT season, coalesce(total_spent, 0) AS total_spent FROM d LEFT JOIN s USING (season)""",
 )
 add("daily_counts", lambda r: A.by(_dated(r), F.col("date").cast("string"), "day", _n()), f"SELECT dt::VARCHAR AS day, count(*) AS n_records FROM r WHERE {_DATED} GROUP BY 1")
-add("daily_totals", lambda r: A.by(A.successful(r).where("date IS NOT NULL"), F.col("date").cast("string"), "day", _spent), f"SELECT dt::VARCHAR AS day, {_SUM} AS total_spent FROM r WHERE {_OK} AND dt IS NOT NULL GROUP BY 1")
+add("daily_totals", lambda r: A.by(A.successful(r).where("date IS NOT NULL"), F.col("date").cast("string"), "day", _spent()), f"SELECT dt::VARCHAR AS day, {_SUM} AS total_spent FROM r WHERE {_OK} AND dt IS NOT NULL GROUP BY 1")
 
 
 def _hist_sql(value: str, bins: int, where: str) -> str:
@@ -170,6 +170,6 @@ add(
 )
 # Extensions: calculations that templates declare.
 add(
-    "quarterly_total", lambda r: A.by(_dated(r), F.concat(F.year("date").cast("string"), F.lit("-Q"), F.quarter("date").cast("string")), "quarter", _spent),
+    "quarterly_total", lambda r: A.by(_dated(r), F.concat(F.year("date").cast("string"), F.lit("-Q"), F.quarter("date").cast("string")), "quarter", _spent()),
     f"SELECT year(dt) || '-Q' || quarter(dt) AS quarter, {_SUM} AS total_spent FROM r WHERE {_DATED} GROUP BY 1",
 )

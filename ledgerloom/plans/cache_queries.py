@@ -25,12 +25,12 @@ def add(name: str, plan, text: str | None, head: str = files.FILES_SQL) -> None:
         SQL[name] = f"WITH {head}, {text[5:]}" if text.startswith("WITH ") else f"WITH {head} {text}"
 
 
-_image = F.col("mime").startswith("image/")
-add("scan_recent", lambda c: c.where(_image & (F.col("cached_at") >= F.lit(AS_OF) - F.expr("INTERVAL 30 DAY"))).select("file_id", "mime"), f"SELECT file_id, mime FROM c WHERE mime LIKE 'image/%' AND cached_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY")
+_image = lambda: F.col("mime").startswith("image/")
+add("scan_recent", lambda c: c.where(_image() & (F.col("cached_at") >= F.lit(AS_OF) - F.expr("INTERVAL 30 DAY"))).select("file_id", "mime"), f"SELECT file_id, mime FROM c WHERE mime LIKE 'image/%' AND cached_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY")
 add("search_contains", lambda c: c.where(F.contains("name", F.lit("_9"))).orderBy("file_id").limit(50).select("file_id", "name"), "SELECT file_id, name FROM c WHERE contains(name, '_9') ORDER BY 1 LIMIT 50")
 add("search_icontains", lambda c: c.where(F.contains(F.lower("name"), F.lower(F.lit("iMg_8")))).select("file_id", "name"), "SELECT file_id, name FROM c WHERE contains(lower(name), 'img_8')")
 add(
-    "size_info", lambda c: c.agg(F.count(F.lit(1)).alias("n_files"), F.count_if(_image).alias("n_images"), F.sum("size").alias("bytes"), F.round(F.sum("size") / cache.MB, 2).alias("mb")),
+    "size_info", lambda c: c.agg(F.count(F.lit(1)).alias("n_files"), F.count_if(_image()).alias("n_images"), F.sum("size").alias("bytes"), F.round(F.sum("size") / cache.MB, 2).alias("mb")),
     "SELECT count(*) AS n_files, count_if(mime LIKE 'image/%')::BIGINT AS n_images, sum(size)::BIGINT AS bytes, round(sum(size)::DOUBLE / 1048576, 2) AS mb FROM c",
 )
 add("cache_list", lambda c: cache.listing(c).withColumn("last_accessed", F.date_format("last_accessed", "yyyy-MM-dd HH:mm:ss")), "SELECT file_id, coalesce(name, 'Unknown') AS name, coalesce(size, 0) AS size, strftime(coalesce(last_accessed, cached_at), '%Y-%m-%d %H:%M:%S') AS last_accessed FROM c")

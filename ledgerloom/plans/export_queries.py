@@ -35,8 +35,8 @@ def _pct(permille: str) -> str:
 
 _OCR, _CONF, _BOTH = _pct("k % 101 * 10"), _pct("k * 7 % 101 * 10"), _pct("(k % 101 + k * 7 % 101) * 5")
 add("fmt_currency", lambda r: _fields(r, total=fmt.currency(F.col("total_amount")), tip=fmt.currency(F.col("tip_amount")), text=fmt.currency_text(F.concat(F.lit(" $"), F.col("total_amount").cast("string")))), f"SELECT file_id, {_usd('total_c')} AS total, {_usd('tip_c')} AS tip, {_usd('total_c')} AS text FROM r")
-_shown = F.when(F.col("k") % 4 == 0, F.date_format("date", "yyyy-MM-dd")).when(F.col("k") % 4 == 1, F.date_format("date", "MM/dd/yyyy")).when(F.col("k") % 4 == 2, F.date_format("date", "MM-dd-yyyy")).otherwise("some day")
-add("fmt_date", lambda r: _fields(r, date=fmt.date_text(_shown)), "SELECT file_id, CASE WHEN k % 4 = 3 THEN 'some day' ELSE coalesce(strftime(dt, '%Y-%m-%d'), '') END AS date FROM r")
+_shown = lambda: F.when(F.col("k") % 4 == 0, F.date_format("date", "yyyy-MM-dd")).when(F.col("k") % 4 == 1, F.date_format("date", "MM/dd/yyyy")).when(F.col("k") % 4 == 2, F.date_format("date", "MM-dd-yyyy")).otherwise("some day")
+add("fmt_date", lambda r: _fields(r, date=fmt.date_text(_shown())), "SELECT file_id, CASE WHEN k % 4 = 3 THEN 'some day' ELSE coalesce(strftime(dt, '%Y-%m-%d'), '') END AS date FROM r")
 add("fmt_phone", lambda r: _fields(r, phone=fmt.phone(F.when(F.col("k") % 3 == 0, F.concat(F.lit("+1 "), "merchant_phone")).when(F.col("k") % 3 == 1, F.col("merchant_phone")).otherwise("12-34"))), f"SELECT file_id, CASE WHEN k % 3 = 2 THEN '12-34' ELSE {_PHONE} END AS phone FROM r")
 add("fmt_quantity", lambda r: _fields(r, quantity=fmt.quantity(F.when(F.col("k") % 5 != 0, F.col("k") % 8 / 4))), "SELECT file_id, CASE WHEN k % 5 = 0 THEN '' WHEN k % 4 = 0 THEN (k % 8 // 4)::VARCHAR ELSE (k % 8 // 4) || '.' || lpad((k % 4 * 25)::VARCHAR, 2, '0') END AS quantity FROM r")
 add("fmt_percentage", lambda r: _fields(r, ocr=fmt.percentage(F.col("ocr_confidence")), overall=fmt.percentage((F.col("ocr_confidence") + F.col("confidence_score")) / 2)), f"SELECT file_id, {_OCR} AS ocr, {_BOTH} AS overall FROM r")
@@ -69,11 +69,11 @@ add(
 
 # Descriptions with the words that categories look for.
 _WORDS = ("office chair", "gas can", "doctor visit", "lunch menu", "charity box", "stationery", "plain", "paper", "business card", "dinner")
-_word = F.get(F.array(*map(F.lit, _WORDS)), (F.col("k") % 10).cast("int"))
+_word = lambda: F.get(F.array(*map(F.lit, _WORDS)), (F.col("k") % 10).cast("int"))
 
 
 def _worded(r: DataFrame) -> DataFrame:
-    return r.withColumn("word", _word).withColumn("items", F.transform("items", lambda x, i: x.withField("description", F.when(i == 1, F.concat(x["description"], F.lit(" "), F.col("word"))).otherwise(x["description"]))))
+    return r.withColumn("word", _word()).withColumn("items", F.transform("items", lambda x, i: x.withField("description", F.when(i == 1, F.concat(x["description"], F.lit(" "), F.col("word"))).otherwise(x["description"]))))
 
 
 _W = f"w AS (SELECT i1.*, lower(CASE WHEN pos = 2 THEN description || ' ' || {list(_WORDS)}[k % 10 + 1] ELSE description END) AS d FROM i1)"

@@ -31,40 +31,40 @@ def _first(pattern: str, group: int = 0) -> str:
 _CLEAN = r"trim(regexp_replace(replace(regexp_replace({0}, '\s+', ' ', 'g'), '＄', '$'), '[^\x20-\x7E\n]', '', 'g'))"
 QUERIES["clean_text"] = lambda spark, sf_dir: read(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean(F.col("text"))).alias("clean_md5"))
 SQL["clean_text"] = f"SELECT doc_id, md5({_CLEAN.format('text')}) AS clean_md5 FROM documents"
-_t = F.col("raw_text")
+_t = lambda: F.col("raw_text")
 _C = _CLEAN.format("raw_text")
 _ADDRESS = " OR ".join(f"regexp_matches({_C}, '(?i){_q(p)}')" for p in T.ADDRESSES)
-_short = F.when(F.col("k") % 3 == 0, _t).when(F.col("k") % 3 == 1, F.concat_ws(" ", "merchant_name", "payment_method")).otherwise(F.upper("merchant_name"))
+_short = lambda: F.when(F.col("k") % 3 == 0, _t()).when(F.col("k") % 3 == 1, F.concat_ws(" ", "merchant_name", "payment_method")).otherwise(F.upper("merchant_name"))
 _SHORT = "CASE k % 3 WHEN 0 THEN raw_text WHEN 1 THEN concat_ws(' ', merchant_name, payment_method) ELSE upper(merchant_name) END"
 _fields = lambda r, **cols: r.select("file_id", *(c.alias(n) for n, c in cols.items()))
 add(
-    "extract_merchant", lambda r: _fields(r, merchant=T.merchant_name(_short)),
+    "extract_merchant", lambda r: _fields(r, merchant=T.merchant_name(_short())),
     f"""WITH x AS (SELECT file_id, {_CLEAN.format(f"({_SHORT})")} AS raw_text FROM t)
     SELECT file_id, CASE WHEN length(raw_text) > 3 AND NOT ({_ADDRESS.replace(_C, 'raw_text')}) AND NOT regexp_matches(raw_text, '{T.PHONE}')
       AND (length(raw_text) > 8 OR NOT (upper(raw_text) = raw_text AND lower(raw_text) <> raw_text)) THEN raw_text END AS merchant FROM x""",
 )
-add("extract_address", lambda r: _fields(r, address=T.merchant_address(_t)), f"SELECT file_id, CASE WHEN {_ADDRESS} THEN {_C} END AS address FROM t")
-add("extract_phone", lambda r: _fields(r, phone=T.phone(_t)), f"SELECT file_id, {_first(T.PHONE)} AS phone FROM t")
+add("extract_address", lambda r: _fields(r, address=T.merchant_address(_t())), f"SELECT file_id, CASE WHEN {_ADDRESS} THEN {_C} END AS address FROM t")
+add("extract_phone", lambda r: _fields(r, phone=T.phone(_t())), f"SELECT file_id, {_first(T.PHONE)} AS phone FROM t")
 add(
-    "extract_date", lambda r: _fields(r, date=T.date(_t).cast("string")),
+    "extract_date", lambda r: _fields(r, date=T.date(_t()).cast("string")),
     f"""WITH m AS (SELECT file_id, {_first(T.DATES[0])} AS a, {_first(T.DATES[1])} AS b FROM t),
     p AS (SELECT *, string_split(replace(a, '-', '/'), '/') AS x, string_split(replace(b, '-', '/'), '/') AS y FROM m)
     SELECT file_id, coalesce(
       try_cast((CASE WHEN length(x[3]) = 4 THEN x[3] WHEN length(x[3]) = 2 THEN (CASE WHEN x[3]::INT >= 69 THEN '19' ELSE '20' END) || x[3] END) || '-' || lpad(x[1], 2, '0') || '-' || lpad(x[2], 2, '0') AS DATE),
       try_cast(y[1] || '-' || lpad(y[2], 2, '0') || '-' || lpad(y[3], 2, '0') AS DATE))::VARCHAR AS date FROM p""",
 )
-add("extract_time", lambda r: _fields(r, time=T.time(_t)), rf"SELECT file_id, regexp_replace({_first(T.TIME)}, '\s+$', '') AS time FROM t")
+add("extract_time", lambda r: _fields(r, time=T.time(_t())), rf"SELECT file_id, regexp_replace({_first(T.TIME)}, '\s+$', '') AS time FROM t")
 _money = lambda c: c.cast("string")
 add(
     "extract_amounts",
-    lambda r: _fields(r, total=_money(T.amount(_t, T.TOTAL)), subtotal=_money(T.amount(_t, T.SUBTOTAL)), tax=_money(T.amount(_t, T.TAX)), tip=_money(T.amount(_t, T.TIP))),
+    lambda r: _fields(r, total=_money(T.amount(_t(), T.TOTAL)), subtotal=_money(T.amount(_t(), T.SUBTOTAL)), tax=_money(T.amount(_t(), T.TAX)), tip=_money(T.amount(_t(), T.TIP))),
     f"SELECT file_id, {_first(T.TOTAL, 1)} AS total, {_first(T.SUBTOTAL, 1)} AS subtotal, {_first(T.TAX, 1)} AS tax, {_first(T.TIP, 1)} AS tip FROM t",
 )
 add(
-    "extract_payment", lambda r: _fields(r, method=T.payment_method(_t), last4=T.card_last_four(_t)),
+    "extract_payment", lambda r: _fields(r, method=T.payment_method(_t()), last4=T.card_last_four(_t())),
     f"SELECT file_id, split_part({_first(T.PAYMENT)}, ' ', 1) AS method, nullif({_first(T.PAYMENT, 1)}, '') AS last4 FROM t",
 )
-add("extract_refno", lambda r: _fields(r, number=T.receipt_number(_t)), f"SELECT file_id, coalesce({_first(T.NUMBERS[0], 1)}, {_first(T.NUMBERS[1], 1)}) AS number FROM t")
+add("extract_refno", lambda r: _fields(r, number=T.receipt_number(_t())), f"SELECT file_id, coalesce({_first(T.NUMBERS[0], 1)}, {_first(T.NUMBERS[1], 1)}) AS number FROM t")
 
 
 def _exploded(r: DataFrame, items: Column) -> DataFrame:
@@ -75,7 +75,7 @@ def _exploded(r: DataFrame, items: Column) -> DataFrame:
 _LINES = r"""l AS (SELECT file_id, k, unnest(list_filter(list_transform(string_split(raw_text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) >= 5)) AS line,
   generate_subscripts(list_filter(list_transform(string_split(raw_text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) >= 5), 1) AS n FROM t)"""
 add(
-    "extract_items", lambda r: _exploded(r, T.items(_t)),
+    "extract_items", lambda r: _exploded(r, T.items(_t())),
     f"""WITH {_LINES}, m AS (SELECT * FROM l WHERE regexp_matches(line, '{T.ITEM}'))
     SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY n) - 1)::INT AS pos, regexp_extract(line, '{T.ITEM}', 1) AS description, NULL::DOUBLE AS quantity,
       regexp_extract(line, '{T.ITEM}', 2) AS price, 0.8::DOUBLE AS confidence FROM m""",
@@ -112,11 +112,11 @@ _TEMPLATE = f"""
     concat_ws(chr(10), {list(_HEADS)}[r.k % 6 + 1], body,
     'TAX ' || {money_sql('tax_c')}, 'TIP ' || coalesce({money_sql('tip_c')}, 'none'), 'TOTAL ' || {money_sql('total_c')}) AS txt FROM r LEFT JOIN b ON r.k = b.k)"""
 _with_text = lambda r: r.withColumn("raw_text", _template_text())
-add("merchant_type", lambda r: _fields(_with_text(r), merchant_type=M.merchant_type(_t)), f"WITH {_TEMPLATE} SELECT file_id, kind AS merchant_type FROM m")
+add("merchant_type", lambda r: _fields(_with_text(r), merchant_type=M.merchant_type(_t())), f"WITH {_TEMPLATE} SELECT file_id, kind AS merchant_type FROM m")
 
 
 def _template_totals(r: DataFrame) -> DataFrame:
-    x = _with_text(r).select("file_id", "raw_text", "items", *(T.amount(_t, p).alias(c) for c, p in (("total_amount", T.TOTAL), ("tax_amount", T.TAX), ("tip_amount", T.TIP))))
+    x = _with_text(r).select("file_id", "raw_text", "items", *(T.amount(_t(), p).alias(c) for c, p in (("total_amount", T.TOTAL), ("tax_amount", T.TAX), ("tip_amount", T.TIP))))
     return M.apply_template(x).select("file_id", *(F.col(c).cast("string").alias(c) for c in M.AMOUNTS))
 
 
@@ -127,8 +127,8 @@ add(
 
 
 def _template_items(r: DataFrame) -> DataFrame:
-    x = _with_text(r).withColumn("merchant_type", M.merchant_type(_t))
-    x = x.select("file_id", F.explode(M.template_items(_t, F.col("merchant_type"))).alias("x"))
+    x = _with_text(r).withColumn("merchant_type", M.merchant_type(_t()))
+    x = x.select("file_id", F.explode(M.template_items(_t(), F.col("merchant_type"))).alias("x"))
     return x.select("file_id", F.col("x.description").alias("description"), F.col("x.quantity").alias("quantity"), F.col("x.unit_price").cast("double").alias("unit_price"), F.col("x.total_price").cast("string").alias("price"))
 
 
@@ -148,7 +148,7 @@ add(
     rf"""WITH {_TEMPLATE}, e AS ({_template_sql()})
     SELECT file_id, regexp_replace(d, '^\s+|\s+$', '', 'g') AS description, q::DOUBLE AS quantity, CASE WHEN q IS NOT NULL THEN ((replace(p, '.', '')::BIGINT * 20000 + q::BIGINT) // (2 * q::BIGINT)) / 1000000.0::DOUBLE END AS unit_price, p AS price FROM e""",
 )
-add("enhance_items", lambda r: _exploded(_with_text(r).withColumn("items", F.slice("items", 1, 2)), M.enhance(_t, F.col("items"))), None)
+add("enhance_items", lambda r: _exploded(_with_text(r).withColumn("items", F.slice("items", 1, 2)), M.enhance(_t(), F.col("items"))), None)
 _extra_line = lambda: F.when(F.col("pos") % 3 == 0, F.concat(F.upper("description"), F.lit(" $"), F.col("price"))).when(F.col("pos") % 3 == 1, F.concat("description", F.lit(" "), F.col("price"))).otherwise(
     F.concat(F.lit("3 @ $"), F.col("price"), F.lit(" = $"), F.when(F.col("pos") % 2 == 0, (F.col("price").cast("decimal(18,2)") * 3).cast("decimal(18,2)").cast("string")).otherwise(F.col("price")))
 )
@@ -172,7 +172,7 @@ add(
     SELECT * FROM y""",
 )
 add(
-    "valid_desc", lambda r: r.select("file_id", F.posexplode(T.lines_of(_t)).alias("pos", "line")).select("file_id", "pos", M.valid_description(F.col("line")).alias("valid")),
+    "valid_desc", lambda r: r.select("file_id", F.posexplode(T.lines_of(_t())).alias("pos", "line")).select("file_id", "pos", M.valid_description(F.col("line")).alias("valid")),
     f"WITH {_LINES} SELECT file_id, (n - 1)::INT AS pos, {_VALID.format('line')} AS valid FROM l",
 )
 add(

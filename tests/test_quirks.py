@@ -186,3 +186,12 @@ def test_stream_drops_repeats(spark, tmp_path):
     df = ingest.extracted(ingest.once(ingest.source(spark, str(tmp_path / "in"), schema), "file_id", "ts")).select("file_id", "total_amount")
     ingest.write(df, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r.file_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_entry_needs_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 100"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True, timeout=120)
