@@ -175,8 +175,8 @@ def join(df: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 80, d
 
     Two documents link when den * |A and B| >= num * |A or B| of their sets of ``k``-word shingles;
     ``component_id`` is the smallest id reachable. Null, empty and wordless texts have no shingles
-    and link with nothing, equal ones neither. ``id_col`` is an integer without nulls; rows with equal ids
-    are one vertex with the links of all their texts. Other columns are ignored, an empty table gives no
+    and link with nothing, equal ones neither. ``id_col`` is an integer; rows with equal ids are
+    one vertex with the links of all their texts, a row without an id links with nothing and has no component. Other columns are ignored, an empty table gives no
     rows. No table is broadcast by hand and no root is compared as a whole: blocks hold ``BLOCK`` documents.
     """
     spark = df.sparkSession

@@ -148,8 +148,8 @@ def near_duplicates(df: DataFrame, id_col: str, vector_col: str, least: float =
     Two rows link when the cosine of their vectors, in double precision, is at least ``least``. Vectors
     that are null, empty, zero or hold null or non-finite numbers link with nothing, nor do those of
     different lengths. ``n_links`` counts other rows, ``component_id`` is the smallest id reachable, ``kept``
-    whether that is the row's own. Rows of equal ids share a component; ids are integers, not null.
-    Other columns are ignored, an empty table gives no rows.
+    whether that is the row's own. Rows of equal ids share a component; ids are integers. A vector whose
+    rows all lack an id links with its own copies only and has no component. Other columns are ignored, an empty table gives no rows.
     """
     spark = df.sparkSession
     ship(spark)
@@ -164,9 +164,10 @@ def near_duplicates(df: DataFrame, id_col: str, vector_col: str, least: float =
     rows = stored(df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInArrow(prepare, "id long, data binary"), "pivots-rows")
     vectors = stored(rows.where("data is not null").groupBy("data").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "pivots-vectors")
     wanted = n_pivots or min(MOST_PIVOTS, max(32, 2 * math.isqrt(vectors.count())))
-    sample = vectors.orderBy(F.xxhash64("id"), "id", "data").limit(wanted).select("data").collect()
+    named = vectors.where("id IS NOT NULL")
+    sample = named.orderBy(F.xxhash64("id"), "id", "data").limit(wanted).select("data").collect()
     by_size = {size: _unit(list(g), kind) for size, g in groupby(sorted((bytes(r.data) for r in sample), key=len), key=len)}
-    lists = _lists(vectors, by_size, kind)
+    lists = _lists(named, by_size, kind)
     lists = stored(lists, "pivots-lists")
     sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -181,5 +182,5 @@ def near_duplicates(df: DataFrame, id_col: str, vector_col: str, least: float =
     return (
         rows.join(of, "data", "left")
         .select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-        .withColumn("kept", F.col(id_col) == F.col("component_id"))
+        .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
     )

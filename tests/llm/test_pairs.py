@@ -73,6 +73,9 @@ def test_repeated_ids_and_no_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, jaccard.join(df, "doc_id", "text", 3, 90, 100).collect())) == brute(rows, 3, 90, 100)
     assert jaccard.join(df.limit(0), "doc_id", "text").count() == 0
+    df = df.union(spark.createDataFrame([(None, "a b c d"), (None, "only here")], df.schema))
+    got = [tuple(r) for r in jaccard.join(df, "doc_id", "text", 3, 90, 100).collect()]
+    assert sorted(r for r in got if r[0] is not None) == brute(rows, 3, 90, 100) and sorted(r for r in got if r[0] is None) == [(None, 1, None), (None, 2, None)]
 
 
 def test_trees_keep_every_pair():
@@ -118,7 +121,7 @@ def vectors(seed=1, n=900):
 
 def test_pivots_recall(spark):
     rows = vectors()
-    odd = [(7000, None), (7001, [0.0] * 64), (7002, [float("nan")] * 64), (7003, [None] * 64), (7004, []), (7005, [1.0, 2.0]), (7006, [2.0, 4.0]), (7007, [float("inf")] * 64)]
+    odd = [(7000, None), (7001, [0.0] * 64), (7002, [float("nan")] * 64), (7003, [None] * 64), (7004, []), (7005, [1.0, 2.0]), (7006, [2.0, 4.0]), (None, rows[3][1][::-1]), (7007, [float("inf")] * 64)]
     df = spark.createDataFrame([(*r, "clash") for r in rows + odd], "vec_id long, embedding array<float>, data string")
     got = {r.vec_id: r for r in pivots.near_duplicates(df, "vec_id", "embedding").collect()}
     assert len(got) == len(rows) + len(odd)
@@ -129,6 +132,8 @@ def test_pivots_recall(spark):
     assert (found <= true).all() and found.sum() >= 0.97 * true.sum()
     assert all(got[i].n_links == 0 and got[i].kept for i in (7000, 7001, 7002, 7003, 7004, 7007))
     assert (got[7005].n_links, got[7006].component_id) == (1, 7005)
+    alone = got.pop(None)
+    assert (alone.n_links, alone.component_id, alone.kept) == (0, None, True)
     assert all(r.component_id <= r.vec_id and r.kept == (r.component_id == r.vec_id) for r in got.values())
     assert all(got[5000 + i].component_id == 0 for i in range(5))
 
