@@ -9,7 +9,6 @@ import regex
 
 #: Only characters for which ``re`` and ``regex`` agree on letters, digits and white space.
 _PLAIN = re.compile(r"[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‟€…]*\Z")
-_BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 _LONG = 120
 
 
@@ -23,66 +22,34 @@ def _plain_form(pattern: str) -> str:
 
 
 class PieceEncoder:
-    """Encodes whole texts by encoding each distinct piece once.
+    """Encodes whole texts by encoding each distinct piece, a match of ``pattern``, once.
 
-    ``pattern`` must be such that a match never runs across a single space between two
-    non-white-space characters except by starting at it; then a text can be cut at those
-    spaces and the chunks ("  the", " word,") encoded apart. Results for chunks and for pieces
-    are kept; both stores are emptied when they hold ``capacity`` entries, so memory is bounded.
+    ``encode`` gives the bytes of pieces. Results are kept; the store is emptied when it holds
+    ``capacity`` entries and very long pieces are not kept, so memory is bounded.
     """
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], capacity: int = 200_000):
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], capacity: int = 500_000):
         self._full, self._encode, self._capacity = regex.compile(pattern), encode, capacity
         plain = _plain_form(pattern)
         self._fast = None if r"\p" in plain else re.compile(plain)
-        self._chunks: dict[str, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
+        self._known: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         if self._fast and _PLAIN.match(text):
             return self._fast.findall(text)
         return self._full.findall(text)
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        split = {c: self.split(c) for c in chunks}
-        known = self._pieces
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The encoded bytes of each text."""
+        known = self._known
         if len(known) > self._capacity:
             known.clear()
-        new = list({p for ps in split.values() for p in ps if p not in known})
+        cut = [self.split(t) for t in texts]
+        new = list(set().union(*(set(parts).difference(known) for parts in cut)))
         fresh = dict(zip(new, self._encode(new)))
-        known.update((p, b) for p, b in fresh.items() if len(p) <= _LONG)
-        get = lambda p: known[p] if p in known else fresh[p]
-        return {c: b"".join(map(get, ps)) for c, ps in split.items()}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The encoded bytes of each text."""
-        keep = self._chunks
-        if len(keep) > self._capacity:
-            keep.clear()
-        out: list[bytes] = [b""] * len(texts)
-        cut, wanted = [], set()
-        for text in texts:
-            parts = text.split(" ")
-            new = set(parts).difference(keep)
-            if any(map(_edge, new)) or _edge(parts[0]):
-                parts = _BOUNDARY.split(text)
-                new = set(parts[1:])
-            cut.append(parts)
-            wanted |= new
-        found = self._learn([*{f" {c}" for c in wanted}, *{parts[0] for parts in cut}])
-        extra = {c: found[f" {c}"] for c in wanted}
-        for c, ids in extra.items():
-            if len(c) <= _LONG and not _edge(c):
-                keep[c] = ids
-        for i, parts in enumerate(cut):
-            tail = map(keep.__getitem__, parts[1:])
-            try:
-                out[i] = found[parts[0]] + b"".join(tail)
-            except KeyError:
-                out[i] = found[parts[0]] + b"".join([extra[p] if p in extra else keep[p] for p in parts[1:]])
+        long = {p: b for p, b in fresh.items() if len(p) > _LONG}
+        known.update(fresh)
+        out = [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        for p in long:
+            del known[p]
         return out
-
-
-def _edge(part: str) -> bool:
-    """Whether the space before or after this part isn't between non-white-space characters."""
-    return not part or part[0].isspace() or part[-1].isspace()

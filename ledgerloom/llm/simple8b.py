@@ -22,10 +22,13 @@ def _pack_chunk(values: np.ndarray) -> np.ndarray:
     n = len(values)
     count, chosen = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for s, c, bits in reversed(SELECTORS):
-        wide = values >> np.uint64(bits) != 0
-        if wide.all():
+        wide = values >= np.uint64(1 << bits)
+        total = int(np.count_nonzero(wide))
+        if total == n:
             break
-        gone = np.concatenate(([0], np.cumsum(wide), np.full(c, wide.sum())))
+        gone = np.empty(n + c + 1, np.int32)
+        gone[0], gone[n + 1 :] = 0, total
+        np.cumsum(wide, out=gone[1 : n + 1])
         fits = gone[c : c + n] == gone[:n]
         count[fits], chosen[fits] = c, s
     starts, at, step = [], 0, np.maximum(count, 1).tolist()

@@ -11,6 +11,7 @@ Buckets are ranges of document ids, so the order is global: bucket, then block,
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,6 +27,7 @@ from .simple8b import pack, unpack
 
 #: A block is closed when it holds that many token ids; a longer document makes a larger block.
 BLOCK_IDS = 1 << 18
+_SPACE = re.compile(r"\s")
 
 _library: dict[tuple[str, str], PieceEncoder] = {}
 
@@ -46,9 +48,26 @@ def library_encoder(path: str, pattern: str) -> PieceEncoder:
         own = Tokenizer.from_file(path)
         own.encode_special_tokens = True
 
-        def encode(pieces: list[str]) -> list[bytes]:
+        line_end = own.encode("\n", add_special_tokens=False).ids
+
+        def each(pieces: list[str]) -> list[bytes]:
             return [np.array(x.ids, "<u4").tobytes() for x in own.encode_batch_fast(pieces, add_special_tokens=False)]
 
+        def encode(pieces: list[str]) -> list[bytes]:
+            """Pieces without white space but a first space go to the library as lines of one text."""
+            lines = [p for p in pieces if p and not p.isspace() and not _SPACE.search(p, 1)]
+            if len(line_end) != 1 or not lines:
+                return each(pieces)
+            ids = np.array(own.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == line_end[0])
+            if len(ends) != len(lines) - 1:
+                return each(pieces)
+            data, at = ids.tobytes(), [-1, *ends.tolist(), len(ids)]
+            found = {p: data[4 * a + 4 : 4 * b] for p, a, b in zip(lines, at, at[1:])}
+            rest = [p for p in pieces if p not in found]
+            found.update(zip(rest, each(rest)))
+            return [found[p] for p in pieces]
+
         _library[key] = PieceEncoder(pattern, encode)
     return _library[key]
 
