@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .bpe import steps
 from .graph import components
-from .shared import ship, stored
+from .shared import drop, ship, stored
 from .shingles import MinHash, bitmap, digest, folded, shingle_set
 
 #: Documents of one block of a root, and of one leaf.
@@ -204,14 +204,15 @@ def join(df: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 80, d
     left = placed.join(mixed, "key", "left_semi").select("key", "id", "part", own.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     left = left.join(reps.select("id", "n", "bits"), "id").select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "part", "bits")
     candidates = _compared(left, num, den).join(stars, ["a", "b"], "left_anti")
-    more = _verified(stored(candidates, "jaccard-candidates"), texts, k, num, den)
+    candidates = stored(candidates, "jaccard-candidates")
+    more = _verified(candidates, texts, k, num, den)
     copies = sound.select("id", "digest").join(reps.select("digest", F.col("id").alias("b")), "digest").select(F.col("id").alias("a"), "b").where("a <> b")
     found = components(links.union(more).union(copies))
-    return (
-        sketches.select("id", "n")
-        .join(found.withColumnRenamed("v", "id"), "id", "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    )
+    done = sketches.select("id", "n").join(found.withColumnRenamed("v", "id"), "id", "left")
+    done = stored(done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")), "jaccard-done")
+    for made in (sketches, reps, members, stars, texts, links, candidates, joined, found):
+        drop(made)
+    return done
 
 
 def _unique(docs: DataFrame) -> bool:
