@@ -28,7 +28,7 @@ class PieceEncoder:
     ``capacity`` entries and very long pieces are not kept, so memory is bounded.
     """
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], capacity: int = 500_000):
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], capacity: int = 300_000):
         self._full, self._encode, self._capacity = regex.compile(pattern), encode, capacity
         plain = _plain_form(pattern)
         self._fast = None if r"\p" in plain else re.compile(plain)
