@@ -68,7 +68,7 @@ def library_encoder(path: str, pattern: str) -> PieceEncoder:
             found.update(zip(rest, each(rest)))
             return [found[p] for p in pieces]
 
-        _library[key] = PieceEncoder(pattern, encode)
+        _library[key] = PieceEncoder(pattern, encode, capacity=1_000_000)
     return _library[key]
 
 
