@@ -1,13 +1,20 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-Reference points (pivots) are a sample of the vectors: the ``n_pivots`` with the smallest hashes of their
-ids, twice the square root of the rows and at most ``MOST_PIVOTS``. Each vector is described by its
+Reference points (pivots) come from a sample of the vectors, those with the smallest hashes of their
+ids, in that order: a sampled vector whose cosine to an earlier pivot is ``APART`` or more is no pivot of its
+own, and makes that one crowded. There are up to ``n_pivots``, twice the square root of the rows and at most
+``MOST_PIVOTS``, from a sample of twice as many. Each vector is described by its
 ``NEAREST`` nearest pivots in order. Inverted lists are kept for pairs of pivots: a vector is in the
 list of each pair among its nearest, so two vectors meet in a list just when they share at least two
 pivots. All that meet are verified by their cosine in double precision, a pair only in the list of
 the two smallest pivots that it shares. The pairs never leave the list: it returns, for each vector, how
 many others it links with and the smallest vector that it reaches there.
 
+Large groups of near-copies fill the sample, and noise alone would order the pivots within them. So a vector
+within ``APART`` of a crowded pivot is a centre of the nearest one's list, and every vector that by the angles can link with
+such a centre is in that list too. All links of centres are found there, exactly, and centres are
+in no pairs' lists.
+
 All vectors are indexed; the sample only fits the pivots. On the test tables recall against brute force
 was measured at over 0.99 of the links (see the tests). Equal vectors are one vector with a weight.
 A long list is cut into blocks of at most about ``BLOCK`` vectors, which are compared two by two.
@@ -28,7 +35,10 @@ from .graph import components
 from .shared import ship, stored
 
 MOST_PIVOTS, NEAREST, BLOCK = 4096, 7, 1024
+#: Cosine from which two sampled vectors are one pivot.
+APART = 0.8
 _STEP = 2048
+_CROWDED, _NONE = 1 << 24, np.iinfo(np.int32).max  # marks keys of crowded pivots; no crowded pivot
 
 
 def _unit(raw: list[bytes], kind: str) -> np.ndarray:
@@ -54,10 +64,35 @@ def _nearest(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.take_along_axis(some, np.argsort(-np.take_along_axis(like, some, axis=1), axis=1, kind="stable"), axis=1)
 
 
-def _lists(rows: DataFrame, pivots: dict[int, np.ndarray], kind: str) -> DataFrame:
-    """A row for each vector and list: (key, id, weight, data, order)."""
-    held = rows.sparkSession.sparkContext.broadcast(pivots)  # at most MOST_PIVOTS vectors
-    schema = "key long, id long, weight long, data binary, near array<int>"
+def _apart(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pivots and crowded pivots of the sampled vectors."""
+    kept, stands = np.empty_like(x), []
+    for v in x:
+        like = kept[: len(stands)] @ v
+        if len(like) and like.max() >= APART:
+            stands[int(like.argmax())] += 1
+        else:
+            kept[len(stands)] = v
+            stands.append(1)
+    kept = kept[: len(stands)]
+    return kept[:most], kept[np.array(stands) > 1]
+
+
+def _reach(least: float) -> float:
+    """The least cosine to a pivot of what links with a vector within ``APART`` of it."""
+    angle = math.acos(APART) + math.acos(max(-1.0, min(1.0, least)))
+    return math.cos(min(math.pi, angle)) - 1e-9
+
+
+def _lists(rows: DataFrame, pivots: dict[int, tuple[np.ndarray, np.ndarray]], kind: str, least: float) -> DataFrame:
+    """A row for each vector and list: (key, id, weight, data, order or own crowded pivot, whether its links are looked for)."""
+    held = rows.sparkSession.sparkContext.broadcast(pivots)  # at most 2 * MOST_PIVOTS vectors, twice those that are crowded
+    schema = "key long, id long, weight long, data binary, near array<int>, centre boolean"
+    reach = _reach(least)
+
+    def lists(batch: pa.RecordBatch, of: np.ndarray, keys: np.ndarray, near: np.ndarray, centre: np.ndarray) -> pa.RecordBatch:
+        orders = pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *batch.take(pa.array(of, pa.int64())).columns, orders, pa.array(centre, pa.bool_())], ["key", "id", "weight", "data", "near", "centre"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -67,16 +102,24 @@ def _lists(rows: DataFrame, pivots: dict[int, np.ndarray], kind: str) -> DataFra
                 size = np.array([len(x) for x in raw])
                 for width in np.unique(size).tolist():
                     own = np.flatnonzero(size == width)
-                    mine = held.value.get(width)
-                    if mine is None or len(mine) < 2:
-                        keys, near = np.full((len(own), 1), -width), np.full((len(own), 1), -1)
-                    else:
-                        near = _nearest(_unit([raw[i] for i in own], kind), mine)
+                    mine, crowded = held.value.get(width, ((), ()))
+                    if len(mine) < 2:
+                        yield lists(batch, own, np.full(len(own), -width), np.full((len(own), 1), -1), np.full(len(own), True))
+                        continue
+                    x = _unit([raw[i] for i in own], kind)
+                    centre = np.full(len(own), _NONE)
+                    if len(crowded):
+                        like = x @ crowded.T
+                        centre = np.where(like.max(axis=1) >= APART, like.argmax(axis=1), _NONE)
+                        v, p = np.nonzero(like >= reach)
+                        yield lists(batch, own[v], (width << 32) + _CROWDED + p, centre[v][:, None], centre[v] == p)
+                    free = np.flatnonzero(centre == _NONE)
+                    if len(free):
+                        near = _nearest(x[free], mine)
                         low = np.sort(near, axis=1)
                         keys = np.stack([(width << 32) + low[:, a] * MOST_PIVOTS + low[:, b] for a, b in combinations(range(low.shape[1]), 2)], axis=1)
-                    part = batch.take(pa.array(np.repeat(own, keys.shape[1])))
-                    lists = pa.array(list(np.repeat(near, keys.shape[1], axis=0).astype(np.int32)), pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), *part.columns, lists], ["key", "id", "weight", "data", "near"])
+                        n = keys.shape[1]
+                        yield lists(batch, np.repeat(own[free], n), keys.ravel(), np.repeat(near, n, axis=0), np.full(keys.size, True))
 
     return rows.select("id", "weight", "data").mapInArrow(run, schema)
 
@@ -99,7 +142,10 @@ def _first_shared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _linked(x: _Side, y: _Side, key: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     like = x.x @ y.x.T
     p, q = np.nonzero(np.triu(like >= least, 1) if x is y else like >= least)
-    if key >= 0 and len(p):
+    if key >= 0 and len(p) and key & _CROWDED:
+        own = np.minimum(x.near[p, 0], y.near[q, 0]) == key & (_CROWDED - 1)
+        p, q = p[own], q[own]
+    elif key >= 0 and len(p):
         low, high = _first_shared(x.near[p], y.near[q])
         own = (key & 0xFFFFFFFF) == low * MOST_PIVOTS + high
         p, q = p[own], q[own]
@@ -165,14 +211,16 @@ def near_duplicates(df: DataFrame, id_col: str, vector_col: str, least: float =
     vectors = stored(rows.where("data is not null").groupBy("data").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "pivots-vectors")
     wanted = n_pivots or min(MOST_PIVOTS, max(32, 2 * math.isqrt(vectors.count())))
     named = vectors.where("id IS NOT NULL")
-    sample = named.orderBy(F.xxhash64("id"), "id", "data").limit(wanted).select("data").collect()
-    by_size = {size: _unit(list(g), kind) for size, g in groupby(sorted((bytes(r.data) for r in sample), key=len), key=len)}
-    lists = _lists(named, by_size, kind)
-    lists = stored(lists, "pivots-lists")
-    sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id", "data"), blocks).cast("int")
-    dealt = lists.join(sizes, "key").select("*", own.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    sample = named.orderBy(F.xxhash64("id"), "id", "data").limit(2 * wanted).select("data").collect()
+    by_size = {size: _apart(_unit(list(g), kind), wanted) for size, g in groupby(sorted((bytes(r.data) for r in sample), key=len), key=len)}
+    lists = stored(_lists(named, by_size, kind, least), "pivots-lists")
+    # pairs of two blocks are compared if one holds centres: those come first; in pairs' lists all are
+    centres, all_rows = F.count(F.when(F.col("centre"), 1)), F.count(F.lit(1))
+    sizes = lists.groupBy("key").agg(centres.alias("n"), all_rows.alias("all")).where("n > 0 AND all > 1")
+    first, rest = (F.ceil(n / BLOCK).cast("int") for n in (F.col("n"), F.col("all") - F.col("n")))
+    own = F.when(F.col("centre"), F.pmod(F.xxhash64("id", "data"), first)).otherwise(first + F.pmod(F.xxhash64("id", "data"), rest)).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("centre"), first + rest).otherwise(first) - 1)
+    dealt = lists.join(sizes, "key").select("*", own.alias("block"), F.explode(others).alias("other"))
     dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "weight", "data", "near")
     found = stored(_verified(dealt, kind, least), "pivots-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))

@@ -147,6 +147,21 @@ def test_long_lists_are_compared_in_blocks(spark, monkeypatch):
     assert 0.97 * true <= sum(r.n_links for r in pivots.near_duplicates(df, "vec_id", "embedding").collect()) <= true
 
 
+@pytest.mark.parametrize("cosine", [0.92, 0.99])
+def test_links_in_a_large_group_of_unequal_near_copies(spark, monkeypatch, cosine):
+    """A third of the rows are near-copies with noise of their own: no link of theirs is lost, in blocks and beside other vectors."""
+    monkeypatch.setattr(pivots, "BLOCK", 256)
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    hot = np.sqrt(cosine) * unit(rng.normal(size=64)) + np.sqrt(1 - cosine) * unit(rng.normal(size=(1000, 64)))
+    x = np.concatenate([hot, unit(rng.normal(size=(2000, 64)))]).astype(np.float32)
+    got = {r.vec_id: r for r in pivots.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), "vec_id", "embedding").collect()}
+    y = unit(x.astype(np.float64))
+    true = (y @ y.T >= 0.9).sum(axis=1) - 1
+    assert [got[i].n_links for i in range(len(x))] == true.tolist()
+    assert sum(true) > 500_000 and {got[i].component_id for i in range(1000)} == {0}
+
+
 def test_no_vectors(spark):
     assert pivots.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding").count() == 0
 
