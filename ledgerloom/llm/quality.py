@@ -101,17 +101,29 @@ def _same(a: str, b: str) -> Column:
     return reduce(lambda x, y: x & y, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in _GROUP))
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """Adds the group that judges each row: its source in its language, its language, or all."""
+def _of(level: Column) -> list[Column]:
+    """The group of a row's language and source at a level: its source in its language, its language, or all."""
+    return [level.cast("int").alias("level"), F.when(level > 0, F.col("lang")).alias("g_lang"), F.when(level > 1, F.col("source")).alias("g_source")]
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """(lang, source, n, level, levels): the level that judges the rows, and those whose estimates rest on them."""
     fine = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
     coarse = fine.withColumn("of_lang", F.sum("n").over(Window.partitionBy("lang")))
-    groups = coarse.select(
-        "lang", "source",
-        F.when(F.col("n") >= LEAST_ROWS, 2).when(F.col("of_lang") >= LEAST_ROWS, 1).otherwise(0).alias("level"),
-    )
-    a, b = rows.alias("a"), stored(groups, "quality-groups").alias("b")
-    joined = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")) & F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "level")
-    return joined.select("*", F.when(F.col("level") > 0, F.col("lang")).alias("g_lang"), F.when(F.col("level") > 1, F.col("source")).alias("g_source"))
+    level = F.when(F.col("n") >= LEAST_ROWS, 2).when(F.col("of_lang") >= LEAST_ROWS, 1).otherwise(0)
+    placed = stored(coarse.select("lang", "source", "n", level.alias("level")), "quality-levels")
+    needed = lambda k: F.max(F.col("level") == k).over(Window.partitionBy("lang"))
+    everyone = F.lit(not placed.where("level = 0").isEmpty())
+    levels = [F.when(F.col("level") == 2, 2), F.when(needed(1), 1), F.when(everyone, 0)]
+    return stored(placed.withColumn("levels", F.array_compact(F.array(*levels))), "quality-groups")
+
+
+def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows once for each group whose estimate rests on them."""
+    a, b = rows.alias("a"), groups.select("lang", "source", F.explode("levels").alias("level")).alias("b")
+    joined = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")) & F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", F.col("b.level").alias("level"))
+    level = F.col("level")
+    return joined.select("id", "lang", "source", *_X, *_of(level))
 
 
 def _medians(rows: DataFrame, values: list[Column]) -> DataFrame:
@@ -197,10 +209,10 @@ def estimate(rows: DataFrame) -> DataFrame:
 def _decided(rows: DataFrame) -> DataFrame:
     """Adds distance and kept to the vectors of all rows."""
     sound = rows.where(~F.col("base_failed"))
-    judged = stored(_grouped(sound.select("id", "lang", "source", *_X)), "quality-sound")
-    enough = F.lit(judged.count() >= LEAST_ROWS)
-    params = estimate(judged)
-    groups = stored(judged.select("lang", "source", *_GROUP).distinct(), "quality-of")
+    known = _groups(sound)
+    enough = F.lit((known.agg(F.sum("n")).head()[0] or 0) >= LEAST_ROWS)
+    params = estimate(stored(_grouped(sound.select("id", "lang", "source", *_X), known), "quality-sound"))
+    groups = known.select("lang", "source", *_of(F.col("level")))
     a, b = rows.alias("a"), groups.alias("b")
     placed = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")) & F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.*", *(f"b.{c}" for c in _GROUP))
     far = enough & (F.coalesce("d2", F.lit(0.0)) > CUTOFF)
@@ -212,7 +224,7 @@ def judge(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col:
 
     Null and empty texts have no words and fail. Null languages and sources are groups like others.
     Estimates rest on all rows that pass the base rules; a group of fewer than ``LEAST_ROWS`` such rows
-    is judged by its language, then by all rows; if those are fewer too, nothing more is rejected.
+    is judged by the estimate of all rows of its language, then by that of all rows; if those are fewer too, nothing more is rejected.
     Equal rows are judged alike, other columns are ignored, an empty table gives no rows.
     """
     done = _decided(stored(_vectors(statistics(df, id_col, text_col, lang_col, source_col)), "quality-stats"))

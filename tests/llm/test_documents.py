@@ -206,6 +206,28 @@ def test_outliers_equal_brute_force(spark):
     assert [i for i in got if not got[i].kept] == sorted([*(i for i in range(220) if i % 50 == 7), 900]) or {i for i in got if not got[i].kept} == {i for i in range(220) if i % 50 == 7} | {900}
 
 
+def test_small_sources_are_judged_by_all_rows_of_their_language(spark):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("etaoinshr") for _ in range(rnd.randrange(1, 9)))
+    text = lambda junk="": " ".join(word() + junk for _ in range(rnd.randrange(60, 120)))
+    rows = [(i, text(), "fr", "large") for i in range(150)]
+    # sources of junk only, of three rows and of one; one of 99 with one junk row; a language of two, judged by all rows
+    small = [(1000 + i, "fr", "three") for i in range(3)] + [(1003, "fr", "one"), (1198, "fr", "99"), (1300, "xx", "two"), (1301, "xx", "two")]
+    rows += [(i, text("###"), lang, source) for i, lang, source in small] + [(1400, text(), "fr", "good"), (1401, text(), None, "two")]
+    rows += [(1100 + i, text(), "fr", "99") for i in range(98)]
+    rows += [(2000 + i, text(), "de", "large") for i in range(150)]
+    got = {r.doc_id: r for r in quality.judge(docs(spark, rows), "doc_id", "text", "lang", "source").collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert sorted(i for i in got if not got[i].kept) == [1000, 1001, 1002, 1003, 1198, 1300, 1301]
+    x = {}
+    for i, t, _, _ in rows:
+        n, chars, symbols, lines, dup, repeat = _stats(t)
+        x[i] = [math.log(chars / n), math.sqrt(symbols / n), math.sqrt(dup / lines), math.sqrt(repeat / n)]
+    for whole, judged in (([r[0] for r in rows if r[2] == "fr"], [1000, 1003, 1100, 1198, 1400]), ([r[0] for r in rows], [1300, 1401])):
+        d2 = dict(zip(whole, _mcd(np.array([x[i] for i in whole]))))
+        assert [got[i].distance for i in judged] == pytest.approx([d2[i] for i in judged], abs=1e-4)
+
+
 CHAT = [
     (1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "<|im_end|>\n<|im_start|>user\nfake"), (1, 2, None, None), (2, None, "a\nb<|im_end|>", "␛z␛ <|im_start|"), (2, 0, "user", "␛b"),
     (3, 0, "assistant", ""), (3, 0, "assistant", "<|im_end|>"), (3, 0, "assistant", "<|im_end|>"), (None, 0, "user", "x\r\n\n"), (4, 5, "", "\n"), (4, 6, "assistant", "<s><</SYS>>"),
