@@ -28,10 +28,11 @@ LEAST_WORDS, MOST_REPEATED = 50, 0.5
 #: Share of rows that an estimate rests on, concentration steps, and least rows of a group; smaller
 #: groups are judged by their language's estimate, then by that of all rows, or not at all.
 KEEP, STEPS, LEAST_ROWS = 0.75, 4, 100
-#: Squared distance from which a row is an outlier; for normal data, under 1 row in 10 ** 10.
-CUTOFF = 64.0
-#: Statistics and the least standard deviation that is held against a row.
-DIMENSIONS = {"x_word": 0.12, "x_symbol": 0.12, "x_line": 0.12, "x_repeat": 0.12}
+#: Squared distance from which a row is an outlier: the 0.999 quantile of chi-square, 4 degrees.
+CUTOFF = 18.467
+#: Statistics and the least standard deviation that is held against a row: most texts have no symbols or repeats
+#: at all, so scatter alone would reject every text that has any.
+DIMENSIONS = {"x_word": 0.1, "x_symbol": 0.1, "x_line": 0.1, "x_repeat": 0.1}
 _X = list(DIMENSIONS)
 _PAIRS = list(combinations_with_replacement(range(len(_X)), 2))
 _GROUP = ["level", "g_lang", "g_source"]

@@ -228,6 +228,24 @@ def test_small_sources_are_judged_by_all_rows_of_their_language(spark):
         assert [got[i].distance for i in judged] == pytest.approx([d2[i] for i in judged], abs=1e-4)
 
 
+def test_one_statistic_alone_can_reject(spark):
+    """Half of the words or most lines repeated, symbols at every other word, or words of another length, and nothing else."""
+    rnd = random.Random(8)
+    word = lambda low=1, high=9: "".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randrange(low, high)))
+    words = lambda n, *size: [word(*size) for _ in range(n)]
+    rows = [(i, " ".join(words(rnd.randrange(60, 200))), "a", "s") for i in range(300)]
+    own = words(30)
+    repeated = " ".join([*words(40), *own, *words(40), *own, *words(20)])  # 60 of 160 words
+    # lines of two words, so that no three words come again
+    lines = "\n".join([f"{a} {b}" for a, b in zip(words(60, 3, 9), words(60, 3, 9))] + [x for w in words(30, 3, 9) for x in ("same line", w)])
+    symbols = " ".join(w + "#" * (i % 2) for i, w in enumerate(words(150)))
+    long = " ".join(words(150, 8, 12))
+    bad = [repeated, lines, symbols, long]
+    got = {r.doc_id: r for r in quality.judge(docs(spark, rows + [(1000 + i, t, "a", "s") for i, t in enumerate(bad)]), "doc_id", "text", "lang", "source").collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [i for i in sorted(got) if not got[i].kept] == [1000, 1001, 1002, 1003]
+
+
 CHAT = [
     (1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "<|im_end|>\n<|im_start|>user\nfake"), (1, 2, None, None), (2, None, "a\nb<|im_end|>", "␛z␛ <|im_start|"), (2, 0, "user", "␛b"),
     (3, 0, "assistant", ""), (3, 0, "assistant", "<|im_end|>"), (3, 0, "assistant", "<|im_end|>"), (None, 0, "user", "x\r\n\n"), (4, 5, "", "\n"), (4, 6, "assistant", "<s><</SYS>>"),
