@@ -1,10 +1,11 @@
 """Secret scans, in Column expressions only: known forms, and strings of high entropy.
 
 Known forms (``KINDS``) are searched leftmost and without overlap, each kind by itself. Further
-candidates are runs of token characters. A window slides over each; the counts of the window's
+candidates are runs of token characters, without the known forms and sample words in them: what is left on
+either side of those is a run of its own. A window slides over each; the counts of the window's
 characters and the sum of c log2 c change by the character that comes in and the one that goes out,
 which gives its Shannon entropy. Windows over their character class's threshold are the finding, from
-the first to the last one, unless an allow-list pattern matches the candidate.
+the first to the last one, unless an allow-list pattern matches the run.
 """
 
 from __future__ import annotations
@@ -25,14 +26,15 @@ KINDS = {
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 #: Character classes: the first pattern that matches the whole candidate decides; bits per character.
 CLASSES = (("hex", r"^[0-9A-Fa-f]+$", 3.0), ("upper", r"^[0-9A-Z]+$", 3.5), ("mixed", r"", 3.9))
-#: Candidates left alone: without both letters and digits, UUIDs, paths and slugs of words, samples.
+#: Candidates left alone: without both letters and digits, UUIDs, paths and slugs of words.
 ALLOWED = (
     r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"^[+/_=-]*([A-Za-z]{2,}|[0-9]{1,8})([+/_=-]+([A-Za-z]+|[0-9]{1,8}))*[+/_=-]*$",
-    r"(?i)(example|sample|placeholder|xxxx|0000|1234567)",
 )
+#: Letters and digits around a mark of samples: left alone, but not what other characters part from them.
+SAMPLE = r"(?i)[a-z0-9]*(?:example|sample|placeholder|xxxx|0000|1234567)[a-z0-9]*"
 WINDOW, SCALE = 20, 1_000_000
 _LOW, _HIGH = 43, 122  # characters of candidates lie between + and z
 _TERM = [round(c * math.log2(c) * SCALE) if c else 0 for c in range(WINDOW + 2)]
@@ -96,8 +98,18 @@ def _windows(text: Column) -> Column:
 
 def _entropy(text: Column, base: Column) -> Column:
     allowed = lambda x: F.exists(F.array(*(F.rlike(x, F.lit(p)) for p in ALLOWED)), lambda hit: hit)
-    free = lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    asked = F.filter(_matches(text, CANDIDATE), lambda m: ~allowed(m["text"]) & free(m))
+
+    def runs(m: Column) -> Column:
+        """struct(start, text) of what is left of the candidate between known forms and samples."""
+        known = F.transform(F.filter(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])), lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end")))
+        samples = F.transform(_matches(m["text"], SAMPLE), lambda x: F.struct((m["start"] + x["start"]).alias("start"), (m["start"] + x["end"]).alias("end")))
+        whole = lambda start, end: F.array(F.struct(start.alias("start"), end.alias("end")))
+        none = F.struct(m["start"].alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("runs"))
+        step = lambda a, c: F.struct(F.greatest(a["at"], c["end"]).alias("at"), F.concat(a["runs"], whole(a["at"], c["start"])).alias("runs"))
+        left = F.aggregate(F.sort_array(F.concat(known, samples)), none, step, lambda a: F.concat(a["runs"], whole(a["at"], m["end"])))
+        return F.transform(F.filter(left, lambda r: r["end"] - r["start"] >= WINDOW), lambda r: F.struct(r["start"].alias("start"), F.substring(m["text"], r["start"] - m["start"] + 1, r["end"] - r["start"]).alias("text")))
+
+    asked = F.filter(F.flatten(F.transform(_matches(text, CANDIDATE), runs)), lambda m: ~allowed(m["text"]))
     found = F.transform(asked, lambda m: F.struct(m["start"].alias("at"), _windows(m["text"]).alias("w")))
     hits = F.filter(found, lambda m: m["w"].isNotNull())
     return F.transform(hits, lambda m: F.struct((m["at"] + m["w"]["first"]).alias("start"), F.lit(len(KINDS)).alias("kind"), (m["at"] + m["w"]["last"] + WINDOW).alias("end")))
