@@ -62,7 +62,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vocabulary, pattern, path = tokenizer_path("byte_bpe_50k.json"), public_tokenizers.PATTERN, new_path(spark, "tokens")
     docs = table(spark, sf_dir, "documents")
-    tokenfiles.write(docs, "doc_id", "text", path, lambda: tokenfiles.library_encoder(vocabulary, pattern), end_id=2)
+    tokenfiles.write(docs, "doc_id", "text", path, lambda: tokenfiles.library_encoder(vocabulary, pattern, added=True), end_id=2)
     back = tokenfiles.read(spark, path, "doc_id")
     return back.select("doc_id", "start", "n_tokens", tokenfiles.checksum(F.col("ids")).alias("ids_crc32"))
 

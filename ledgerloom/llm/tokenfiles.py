@@ -29,16 +29,31 @@ from .simple8b import pack, unpack
 BLOCK_IDS = 1 << 18
 _SPACE = re.compile(r"\s")
 
-_library: dict[tuple[str, str], PieceEncoder] = {}
+_library: dict[tuple[str, str, bool], Callable[[list[str]], list[bytes]]] = {}
 
 
-def library_encoder(path: str, pattern: str) -> PieceEncoder:
+def _with_added(pieces: PieceEncoder, whole: Callable[[list[str]], list[bytes]], added: list[str]) -> Callable[[list[str]], list[bytes]]:
+    """Texts that hold an added token go to the library as they are, so that its own rules find them."""
+
+    def encode(texts: list[str]) -> list[bytes]:
+        held = {i for i, t in enumerate(texts) if any(a in t for a in added)}
+        if not held:
+            return pieces(texts)
+        rest = iter(pieces([t for i, t in enumerate(texts) if i not in held]))
+        own = iter(whole([texts[i] for i in sorted(held)]))
+        return [next(own if i in held else rest) for i in range(len(texts))]
+
+    return encode
+
+
+def library_encoder(path: str, pattern: str, added: bool = False) -> Callable[[list[str]], list[bytes]]:
     """Whole texts by the tokenizers library, which is asked once for each distinct piece.
 
     Its byte-level models split a text by ``pattern`` and merge each match by itself, so ids
-    of the pieces, joined, are the ids of the whole text. Strings of special tokens in a text are text.
+    of the pieces, joined, are the ids of the whole text. Strings of added tokens in a text become
+    their ids with ``added``, as the library does when nothing is set; without, those of special tokens are text.
     """
-    key = (path, pattern)
+    key = (path, pattern, added)
     if key not in _library:
         import os
 
@@ -46,7 +61,7 @@ def library_encoder(path: str, pattern: str) -> PieceEncoder:
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True
+        own.encode_special_tokens = not added
 
         line_end = own.encode("\n", add_special_tokens=False).ids
 
@@ -68,7 +83,8 @@ def library_encoder(path: str, pattern: str) -> PieceEncoder:
             found.update(zip(rest, each(rest)))
             return [found[p] for p in pieces]
 
-        _library[key] = PieceEncoder(pattern, encode, capacity=1_000_000)
+        pieces = PieceEncoder(pattern, encode, capacity=1_000_000)
+        _library[key] = _with_added(pieces, each, [t.content for t in own.get_added_tokens_decoder().values()]) if added else pieces
     return _library[key]
 
 
@@ -81,7 +97,7 @@ def _bounds(df: DataFrame, id_col: str, buckets: int) -> list[int]:
     return sorted(set(found or []))
 
 
-def write(df: DataFrame, id_col: str, text_col: str, path: str, encoder: Callable[[], PieceEncoder], end_id: int, buckets: int | None = None) -> None:
+def write(df: DataFrame, id_col: str, text_col: str, path: str, encoder: Callable[[], Callable[[list[str]], list[bytes]]], end_id: int, buckets: int | None = None) -> None:
     """Encodes every whole text, appends ``end_id`` and writes the token files.
 
     ``id_col`` is an integer; a null id sorts first, equal ids follow each other in the order of their

@@ -85,6 +85,22 @@ def test_token_files(spark):
     assert sorted(map(tuple, got)) == sorted(wanted)
 
 
+def test_token_file_query_equals_the_library_as_loaded(spark, tmp_path):
+    from ledgerloom.llm.queries import QUERIES
+
+    own = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  \n<|endoftext|", "<|endoftext|> é 漢 " * 50, "<|ENDOFTEXT|>", "plain text", "", None]
+    rows = [(i, t) for i, t in enumerate([*own, *texts(80, 7)])]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    library = Tokenizer.from_file(VOCABULARY)
+    wanted, start = [], 0
+    for i, t in rows:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
+        wanted.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert wanted[0][2] == 5
+    assert sorted(map(tuple, QUERIES["op5_token_files"](spark, str(tmp_path)).collect())) == wanted
+
+
 def test_no_token_files(spark):
     path = new_path(spark, "test-tokens")
     tokenfiles.write(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text", path, lambda: tokenfiles.library_encoder(VOCABULARY, P.PATTERN), end_id=2)
