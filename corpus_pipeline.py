@@ -31,14 +31,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the smallest id; wordless ones stay.
 
-    Rows of one id are one document: one of them stays. Rows without an id stay.
+    Where ids repeat or lack, rows are told apart by row, and a row goes only if its text is a near duplicate;
+    of rows of one id, that with the smallest hash stays, and rows without an id come last.
     """
-    found = jaccard.join(docs.where("doc_id is not null"), "doc_id", "text", SHINGLE, *NEAR)
-    gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-gone")
-    if _repeats(docs):
-        named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-        docs = named.unionByName(docs.where("doc_id is null"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    n = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids")).head()
+    if n.n == n.ids:
+        found = jaccard.join(docs, "doc_id", "text", SHINGLE, *NEAR)
+        gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-gone")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    key, names = "pipeline_row", docs.columns
+    docs = stored(docs.withColumn(key, F.monotonically_increasing_id()), "pipeline-rows")
+    found = jaccard.join(docs, key, "text", SHINGLE, *NEAR).select(key, "component_id")
+    rank = F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", F.xxhash64(*(f"`{c}`" for c in names)).alias("hash"), key)
+    first = found.join(docs.select(key, rank.alias("rank")), key).groupBy("component_id").agg(F.min("rank").alias("rank"))
+    kept = stored(first.select(F.col(f"rank.{key}").alias(key)), "pipeline-kept")
+    return docs.join(kept, key, "left_semi").select(*(f"`{c}`" for c in names))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

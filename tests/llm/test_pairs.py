@@ -197,3 +197,15 @@ def test_pipeline(spark, sf):
     for r in ids:
         assert np.frombuffer(r["ids"], "<u4").tolist() == own.encode_ordinary(text[r.doc_id])
         assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
+
+
+def test_pipeline_drops_only_near_duplicates_where_ids_repeat(spark, sf):
+    import corpus_pipeline as p
+
+    words = lambda seed: " ".join(random.Random(seed).choice("abcdefghij") * 3 + str(i) for i in range(60))
+    one, two, three, four = map(words, range(4))
+    rows = [(1, one, "x"), (1, two, "x"), (1, three, "x"), (5, two + " more", "x"), (2, one, "x"), (None, three, "x"), (None, four, "x"), (None, four, "x"), (7, "", "x"), (7, None, "x"), (1, one, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted([(1, one, "x"), (1, two, "x"), (1, three, "x"), (None, four, "x"), (7, "", "x"), (7, None, "x")], key=str)
+    for parts in (1, 4):
+        assert sorted((tuple(r) for r in p.near_duplicates(spark, df.repartition(parts), sf).collect()), key=str) == want
