@@ -148,7 +148,7 @@ add(
     rf"""WITH {_TEMPLATE}, e AS ({_template_sql()})
     SELECT file_id, regexp_replace(d, '^\s+|\s+$', '', 'g') AS description, q::DOUBLE AS quantity, CASE WHEN q IS NOT NULL THEN ((replace(p, '.', '')::BIGINT * 20000 + q::BIGINT) // (2 * q::BIGINT)) / 1000000.0::DOUBLE END AS unit_price, p AS price FROM e""",
 )
-add("enhance_items", lambda r: _exploded(_with_text(r).withColumn("items", F.slice("items", 1, 2)), M.enhance(_t(), F.col("items"))), None)
+add("enhance_items", lambda r: _exploded(_with_text(r), M.enhance(_t(), F.col("items"))), None)
 _extra_line = lambda: F.when(F.col("pos") % 3 == 0, F.concat(F.upper("description"), F.lit(" $"), F.col("price"))).when(F.col("pos") % 3 == 1, F.concat("description", F.lit(" "), F.col("price"))).otherwise(
     F.concat(F.lit("3 @ $"), F.col("price"), F.lit(" = $"), F.when(F.col("pos") % 2 == 0, (F.col("price").cast("decimal(18,2)") * 3).cast("decimal(18,2)").cast("string")).otherwise(F.col("price")))
 )

@@ -195,3 +195,19 @@ def test_entry_needs_no_session():
 
     code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 100"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True, timeout=120)
+
+
+def test_enhance_items_keeps_all_captured_items(spark, sf):
+    from ledgerloom.registry import QUERIES
+
+    key = ["file_id", "description"]
+    captured, got = (QUERIES[q](spark, sf).select(*key).distinct() for q in ("dedup_items", "enhance_items"))
+    assert captured.groupBy("file_id").count().where("count > 2").count() > 0
+    assert captured.join(got, key, "left_anti").count() == 0
+
+
+def test_enhance_adds_to_items_captured_in_part(spark):
+    df = spark.createDataFrame([("MILK $3.00\nbread roll 2.00",)], "t string")
+    part = F.slice(merchants.enhance(F.col("t"), F.array().cast(merchants.ITEMS)), 1, 1)
+    got = df.select(merchants.enhance(F.col("t"), part).alias("x")).head()
+    assert [x.description for x in got.x] == ["MILK", "bread roll"]
