@@ -5,37 +5,45 @@ a tree hold documents in order of size, inner nodes the OR of the bitmaps below
 sizes. Two nodes are compared by the most tokens that two documents below them can share: common bits,
 plus the tokens that bitmaps hide in bits set twice. A pair of nodes whose sizes are too different, or
 that can't share enough, is left with all that is below it; the rest is descended into, and pairs of
-documents that remain are checked exactly on their texts.
+documents that remain are checked exactly on their texts, word by word.
 
-Spread over a cluster, the top of the forest is made of roots that are found without comparing: band
-keys of minima of hashes. A pair at the threshold has a common root but for a chance of under 1e-10.
+Spread over a cluster, the forest has a root for each shingle among the first of some documents. In one order of
+all shingles, two sets that are similar enough share one of their first n - ceil(n * num / den) + 1 shingles, n being
+the size of each, so every pair has a common root, without exception. The order puts shingles that a sample of
+the documents shows to be frequent behind all others; it decides how large roots are and never what is found.
 The steps are:
 
-1. documents of equal sets become one class, whose representative has the smallest id;
-2. each representative is linked to the smallest one under any of its roots, if similar enough,
-   which joins most copies in time proportional to their number;
-3. under each root with documents of more than one component so far, trees are compared; pairs
-   within a component are left out. A large root is cut into blocks of bounded size, compared two by two;
-4. components of all links.
+1. each document under a root that others share is linked to the smallest document of the most of its roots, if
+   similar enough, which joins most copies in time proportional to their number; equal sets are one class;
+2. under each root with documents of more than one component so far, trees are compared; pairs
+   within a component are left out, and of roots over the same documents one is kept. A large root is cut by ranges
+   of sizes, of which only neighbours can be similar, and these into blocks of bounded size, compared two by two;
+3. components of all links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import steps
 from .graph import components
-from .shared import drop, ship, stored
-from .shingles import MinHash, bitmap, digest, folded, shingle_set
+from .shared import drop, ship, stored, tidy
+from .shingles import Order, bitmap, digest, folded, forget, shingle_set, similar, words_of
 
 #: Documents of one block of a root, and of one leaf.
-BLOCK, LEAF = 2048, 16
+BLOCK, LEAF = 512, 16
+#: Documents that show which shingles are frequent: a share of all within these bounds; in how many of them, and the most that are told apart.
+SHARE, SAMPLE, LEAST_SEEN, MOST_FREQUENT = 0.01, (2048, 100_000), 4, 65_536
+#: Keys of rare shingles that one task brings together, about.
+KEYS = 4_000_000
 
 
 class Tree:
@@ -93,24 +101,104 @@ def pairs(x: Tree, y: Tree, num: int, den: int) -> Iterator[tuple[np.ndarray, np
             yield p + a, q + c
 
 
-def _sketches(docs: DataFrame, k: int, threshold: float) -> DataFrame:
+def _frequent(docs: DataFrame, k: int) -> np.ndarray:
+    """Hashes of shingles that several documents of a sample have, the rarest first."""
+    n = docs.count()
+    wanted = min(max(SHARE * n, SAMPLE[0]), SAMPLE[1])
+    sample = docs.where(F.pmod(F.xxhash64("id"), F.lit(n)) < F.lit(math.ceil(wanted))) if n > wanted else docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for batch in batches:
+                for part in steps(batch, 1):
+                    own = np.concatenate([shingle_set(t.as_py(), k) for t in part.column(1)])
+                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["h"])
+        finally:
+            forget()
+            tidy()
+
+    seen = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_SEEN)
+    found = seen.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).collect()
+    return np.array([r.h for r in reversed(found)], np.int64).view(np.uint64)
+
+
+def _sketches(docs: DataFrame, k: int, order: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = MinHash(threshold)
+        first = order.value.first
+        try:
+            for batch in batches:
+                for part in steps(batch, 1):
+                    sets = [shingle_set(t.as_py(), k) for t in part.column(1)]
+                    keys = [first(s) for s in sets]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column(0),
+                            pa.array([len(s) for s in sets], pa.int64()),
+                            pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
+                            pa.array([len(r) for r, _ in keys], pa.int32()),
+                            pa.array([r.tobytes() for r, _ in keys], pa.binary()),
+                            pa.array([f.view(np.int64) for _, f in keys], pa.list_(pa.int64())),
+                            pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()),
+                        ],
+                        ["id", "n", "digest", "n_rare", "rare", "often", "bits"],
+                    )
+        finally:
+            forget()
+            tidy()
+
+    return docs.mapInArrow(run, "id long, n long, digest binary, n_rare int, rare binary, often array<long>, bits binary")
+
+
+def _rare_roots(sketches: DataFrame) -> DataFrame:
+    """(key, id, first): the documents under each root of a rare shingle but its smallest, and that.
+
+    Keys go to their task in packed runs, a run for each batch and task, and most are found to be of one document there.
+    """
+    total = sketches.agg(F.sum("n_rare")).head()[0] or 0
+    buckets = max(int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // KEYS))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch, 1):
-                sets = [shingle_set(t.as_py(), k) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
-                        pa.array([hashes.keys(s) for s in sets], pa.list_(pa.int64())),
-                        pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()),
-                    ],
-                    ["id", "n", "digest", "keys", "bits"],
-                )
-
-    return docs.mapInArrow(run, "id long, n long, digest binary, keys array<long>, bits binary")
+            raw = batch.column(1).to_pylist()
+            keys = np.frombuffer(b"".join(raw), np.uint64)
+            ids = np.repeat(batch.column(0).to_numpy(), [len(x) // 8 for x in raw])
+            bucket = (keys % np.uint64(buckets)).astype(np.int64)
+            own = np.argsort(bucket, kind="stable")
+            some, start = np.unique(bucket[own], return_index=True)
+            keys, ids, ends = keys[own], ids[own], [*start[1:].tolist(), len(own)]
+            runs = list(zip(start.tolist(), ends))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some, pa.int64()), *(pa.array([x[a:b].tobytes() for a, b in runs], pa.binary()) for x in (keys, ids))], ["bucket", "keys", "ids"]
+            )
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(k, i) for batch in batches for k, i in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        keys, ids = (np.frombuffer(b"".join(x), np.int64) for x in zip(*held)) if held else (np.zeros(0, np.int64),) * 2
+        held.clear()
+        own = np.argsort(keys, kind="stable")
+        keys, ids = keys[own], ids[own]
+        new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
+        start = np.flatnonzero(new)
+        if len(start):
+            size = np.diff(np.append(start, len(keys)))
+            low = np.repeat(np.minimum.reduceat(ids, start), size)
+            some = np.flatnonzero(np.repeat(size > 1, size) & (ids != low))
+            for at in range(0, len(some), 1 << 16):
+                part = some[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(ids[part]), pa.array(low[part])], ["key", "id", "first"])
+        tidy()
+
+    packed = sketches.where("n_rare > 0").select("id", "rare").mapInArrow(deal, "bucket long, keys binary, ids binary")
+    dealt = packed.repartitionById(buckets, F.col("bucket").cast("int")).select("bucket", "keys", "ids")
+    return dealt.mapInArrow(merge, "key long, id long, first long")
+
+
+def _frequent_roots(sketches: DataFrame) -> DataFrame:
+    """(key, id, first) under the roots of frequent shingles: equal sets are merged first, and the roots are few enough to be broadcast."""
+    own = sketches.select("digest", "id", F.explode("often").alias("key")).groupBy("key", "digest").agg(F.min("id").alias("id"))
+    own = stored(own.select("key", "id").distinct(), "jaccard-frequent")
+    several = own.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "first")
+    return own.join(F.broadcast(several), "key").where("id <> first").select("key", "id", "first")
 
 
 def _verified(wanted: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -120,20 +208,41 @@ def _verified(wanted: DataFrame, texts: DataFrame, k: int, num: int, den: int) -
     both = wanted.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
         for batch in batches:
             keep = []
-            for b, x, y in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                if b != last:
-                    last, own = b, shingle_set(y.as_py(), k)
-                other = shingle_set(x.as_py(), k)
-                common = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(den * common >= num * (len(own) + len(other) - common))
+            for part in steps(batch, 2):
+                rows = zip(part.column(1).to_pylist(), part.column(2), part.column(3))
+                for _, held in groupby(rows, key=lambda r: r[0]):
+                    held = list(held)
+                    for _, own in groupby(held, key=lambda r: r[2].as_py()):
+                        own = list(own)
+                        keep += similar(words_of(own[0][2].as_py()), [words_of(r[1].as_py()) for r in own], k, num, den)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        tidy()
 
     return both.mapInArrow(run, "a long, b long")
 
 
+def _dealt(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, members, id, n, part, bits) -> (key, i, j, block, ...): roots in blocks that are compared two by two.
+
+    A root of over ``BLOCK`` documents becomes one for each range of sizes, which holds the documents of that range, compared
+    with each other and with those of the range below.
+    """
+    large = F.col("members") > BLOCK
+    step = math.log(den / num) * (1 + 1e-9) if num < den else 0
+    level = F.floor(F.log("n") / step).cast("long") if step else F.col("n")
+    ranges = rows.withColumn("level", F.when(large, level).otherwise(0)).withColumn("upper", F.explode(F.when(large, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    ranges = ranges.withColumn("key", F.when(large, F.xxhash64("key", F.col("level") + F.col("upper"))).otherwise(F.col("key")))
+    sizes = ranges.groupBy("key").agg(F.count(F.when(F.col("upper") == 0, 1)).alias("own"), F.count(F.lit(1)).alias("all")).where("own > 0 AND `all` > 1")
+    first, rest = (F.ceil(n / BLOCK).cast("int") for n in (F.col("own"), F.col("all") - F.col("own")))
+    hashed = F.xxhash64("id")
+    block = F.when(F.col("upper") == 0, F.pmod(hashed, first)).otherwise(first + F.pmod(hashed, F.greatest(rest, F.lit(1)))).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("upper") == 0, first + rest).otherwise(first) - 1)
+    placed = ranges.join(sizes, "key").select("key", "id", "n", "part", "bits", block.alias("block"), F.explode(others).alias("other"))
+    return placed.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "part", "bits")
+
+
 def _compared(rows: DataFrame, num: int, den: int) -> DataFrame:
     """(key, i, j, block, id, n, part, bits) -> pairs (a, b) that trees can't rule out."""
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -165,6 +274,7 @@ def _compared(rows: DataFrame, num: int, den: int) -> DataFrame:
                 out = []
         if out:
             yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+        tidy()
 
     columns = ["key", "i", "j", "block", "id", "n", "part", "bits"]
     return dealt.select(*columns).mapInArrow(run, "a long, b long").distinct()
@@ -177,40 +287,48 @@ def join(df: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 80, d
     ``component_id`` is the smallest id reachable. Null, empty and wordless texts have no shingles
     and link with nothing, equal ones neither. ``id_col`` is an integer; rows with equal ids are
     one vertex with the links of all their texts, a row without an id links with nothing and has no component. Other columns are ignored, an empty table gives no
-    rows. No table is broadcast by hand and no root is compared as a whole: blocks hold ``BLOCK`` documents.
+    rows. Broadcast are at most ``MOST_FREQUENT`` hashes and their roots; no root is compared as a whole: blocks hold about ``BLOCK`` documents.
     """
     spark = df.sparkSession
     ship(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = stored(_sketches(docs, k, num / den), "jaccard-sketches")
-    sound = sketches.where("n > 0")
-    best = F.min_by(F.struct("n", "keys", "bits"), "id")
-    reps = stored(sound.groupBy("digest").agg(F.min("id").alias("id"), best.alias("x")).select("digest", "id", "x.*"), "jaccard-classes")
-
-    rooted = reps.select("id", F.explode("keys").alias("key"))
-    several = rooted.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = stored(rooted.join(several, "key"), "jaccard-roots")
-    stars = stored(members.groupBy(F.col("id").alias("a")).agg(F.min("first").alias("b")).where("a <> b"), "jaccard-stars")
-    wanted = members.select("id").distinct()
+    order = spark.sparkContext.broadcast(Order(_frequent(docs, k), num, den))
+    sketches = stored(_sketches(docs, k, order), "jaccard-sketches")
+    sound = sketches.where("n > 0 AND id IS NOT NULL")
+    classes = sound.groupBy("digest").agg(F.min("id").alias("b"))
+    copies = stored(sound.select("id", "digest").join(classes, "digest").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "jaccard-copies")
+
+    rare, unique = _rare_roots(sound), _unique(docs)
+    if unique:  # a copy is left to its class's smallest document, which has the same roots; an id that repeats can be of several classes
+        rare = rare.alias("r").join(copies.alias("c"), F.col("r.id") == F.col("c.a"), "left").select("key", F.coalesce("b", "id").alias("id"), "first").where("id <> first")
+    members = stored(rare.distinct().union(_frequent_roots(sound)), "jaccard-roots")
+    votes = members.groupBy("id", "first").agg(F.count(F.lit(1)).alias("n"))
+    stars = votes.groupBy(F.col("id").alias("a")).agg(F.min_by("first", F.struct(-F.col("n"), "first")).alias("b"))
+    stars = stored(stars, "jaccard-stars")
+    wanted = members.select("id").union(members.select("first")).distinct()
     asked = docs.join(wanted, "id", "left_semi")
-    texts = stored(asked if _unique(docs) else asked.distinct(), "jaccard-texts")
+    texts = stored(asked if unique else asked.distinct(), "jaccard-texts")
     links = stored(_verified(stars, texts, k, num, den), "jaccard-links")
     joined = components(links)
 
-    placed = members.join(joined.withColumnRenamed("v", "id"), "id", "left").select("key", "id", "members", F.coalesce("component", "id").alias("part"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    left = placed.join(mixed, "key", "left_semi").select("key", "id", "part", own.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    left = left.join(reps.select("id", "n", "bits"), "id").select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "part", "bits")
-    candidates = _compared(left, num, den).join(stars, ["a", "b"], "left_anti")
+    part = lambda column, name: joined.select(F.col("v").alias(column), F.col("component").alias(name))
+    placed = members.join(part("id", "own"), "id", "left").join(part("first", "top"), "first", "left")
+    placed = placed.select("key", "id", "first", F.coalesce("own", "id").alias("part"), F.coalesce("top", "first").alias("top"))
+    alike = [F.bit_xor(F.xxhash64(F.lit(seed), "id")).alias(f"x{seed}") for seed in (1, 2)]
+    mixed = placed.groupBy("key").agg(F.max(F.col("part") != F.col("top")).alias("several"), F.count(F.lit(1)).alias("others"), F.first("first").alias("first"), F.first("top").alias("top"), *alike)
+    mixed = mixed.where("several").groupBy("first", "others", "x1", "x2").agg(F.min("key").alias("key"), F.first("top").alias("top"))
+    mixed = stored(mixed.select("key", "first", "top", (F.col("others") + 1).alias("members")), "jaccard-mixed")
+    left = placed.select("key", "id", "part").join(mixed.select("key", "members"), "key").select("key", "members", "id", "part")
+    left = left.union(mixed.select("key", "members", F.col("first").alias("id"), F.col("top").alias("part")))
+    left = stored(left, "jaccard-left")
+    signed = left.join(sound.select("id", "n", "bits"), "id")
+    candidates = _compared(_dealt(signed, num, den), num, den).where("a <> b").join(stars, ["a", "b"], "left_anti")
     candidates = stored(candidates, "jaccard-candidates")
     more = _verified(candidates, texts, k, num, den)
-    copies = sound.select("id", "digest").join(reps.select("digest", F.col("id").alias("b")), "digest").select(F.col("id").alias("a"), "b").where("a <> b")
     found = components(links.union(more).union(copies))
     done = sketches.select("id", "n").join(found.withColumnRenamed("v", "id"), "id", "left")
     done = stored(done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")), "jaccard-done")
-    for made in (sketches, reps, members, stars, texts, links, candidates, joined, found):
+    for made in (sketches, copies, members, stars, texts, links, mixed, left, candidates, joined, found):
         drop(made)
     return done
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,11 +21,14 @@ _shipped: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (a local test session) a temporary folder of our own takes its place.
+    Only where that is unset in a local session a temporary folder of our own takes its place; on a
+    cluster executors couldn't read it, so there it is an error.
     """
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not re.match(r"local(\[[^\[]*\])?$", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="ledgerloom-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         sc.setCheckpointDir(at)
@@ -40,15 +44,30 @@ def stored(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) -> DataF
     """Writes ``df`` to the shared folder and reads it back: cuts lineage, and outlives executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.stored_at = path
+    return made
 
 
-def drop(df: DataFrame) -> None:
-    """Removes the files of a table from ``stored`` that nothing reads any more."""
-    spark = df.sparkSession
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop(*tables: DataFrame) -> None:
+    """Removes the files of tables from ``stored`` that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy() -> None:
+    """Gives memory that a task of a Python worker freed back to the system: workers are kept for later tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def ship(spark: SparkSession) -> None:

@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_MANY = 300_000
+_MANY = 100_000
 
 
 class _Words(dict):
-    """Hashes of words; emptied when it holds too many."""
+    """Hashes of words; emptied when it holds too many, and after each task."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -26,19 +25,27 @@ class _Words(dict):
 _words = _Words()
 
 
+def forget() -> None:
+    _words.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ x >> np.uint64(30)) * _M2
     x = (x ^ x >> np.uint64(27)) * _M3
     return x ^ x >> np.uint64(31)
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """A-Z are lower-cased; words are what lies between the bytes 20 and 09 to 0D."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles of ``k`` words.
 
-    A-Z are lower-cased; words are what lies between the bytes 20 and 09 to 0D. With fewer than ``k`` words
-    the whole sequence is the one shingle; without words the set is empty.
+    With fewer than ``k`` words the whole sequence is the one shingle; without words the set is empty.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words = words_of(text)
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
@@ -55,35 +62,60 @@ def digest(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-class MinHash:
-    """Band keys: two sets of similarity t share one, but for a chance of (1 - t^rows)^bands."""
-
-    def __init__(self, threshold: float, miss: float = 1e-10, most: int = 200):
-        """The most rows a band for which the bands needed for ``miss`` make at most ``most`` hashes."""
-        self.rows, self.bands = 1, self._needed(threshold, 1, miss)
-        for rows in range(2, 13):
-            bands = self._needed(threshold, rows, miss)
-            if rows * bands <= most:
-                self.rows, self.bands = rows, bands
-        n = self.rows * self.bands
-        seeds = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * _M1)
-        self.times, self.plus = seeds[:n] | np.uint64(1), seeds[n:]
-
-    @staticmethod
-    def _needed(t: float, rows: int, miss: float) -> int:
-        return 1 if t >= 1 else math.ceil(math.log(miss) / math.log1p(-(t**rows)))
-
-    def keys(self, own: np.ndarray) -> np.ndarray:
-        if not len(own):
-            return np.zeros(0, np.int64)
-        least = np.full(len(self.times), np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(own), 1024):
-            part = own[at : at + 1024, None] * self.times + self.plus
-            np.minimum(least, part.min(axis=0), out=least)
-        out = np.arange(self.bands, dtype=np.uint64)
-        for row in least.reshape(self.bands, self.rows).T:
-            out = mix(out * _M1 + row)
-        return out.view(np.int64)
+def similar(words: list[bytes], others: list[list[bytes]], k: int, num: int, den: int) -> list[bool]:
+    """Whether den * |A and B| >= num * |A or B| for the words of A and of each B, without hashes.
+
+    Words are numbered, so a shingle is a sequence of numbers; sequences that are equal get the same code.
+    """
+    number: dict[bytes, int] = {}
+    ids = [np.array([number.setdefault(w, len(number)) for w in own], np.int64) for own in (words, *others)]
+    wide = len(number) + 1
+
+    def codes(own: np.ndarray, size: int) -> np.ndarray:
+        out = own[: len(own) - size + 1].copy()
+        for j in range(1, size):
+            out = out * wide + own[j : len(own) - size + 1 + j]
+        return np.unique(out)
+
+    if wide**k < 1 << 62:
+        sets = [codes(x, min(len(x), k)) for x in ids]
+    else:
+        padded = [np.append(x, np.full(max(0, k - len(x)), -1)) if len(x) else np.zeros(k - 1, np.int64) for x in ids]
+        rows = [np.stack([x[j : len(x) - k + 1 + j] for j in range(k)], axis=1) for x in padded]
+        _, code = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        ends = np.cumsum([len(r) for r in rows])
+        sets = [np.unique(code.ravel()[b - len(r) : b]) for r, b in zip(rows, ends)]
+    short = [len(x) if len(x) < k else 0 for x in ids]  # a sequence of fewer words equals only its like
+    out = []
+    for own, n in zip(sets[1:], short[1:]):
+        common = len(np.intersect1d(sets[0], own, assume_unique=True)) if n == short[0] else 0
+        out.append(bool(len(own)) and den * common >= num * (len(sets[0]) + len(own) - common))
+    return out
+
+
+class Order:
+    """An order of all shingles: rare ones by their hash, then known frequent ones, the rarer first.
+
+    Two sets that share ``num / den`` of their union share a shingle among the first
+    n - ceil(n * num / den) + 1 of each, whatever the order is. The order decides only how many others share it too.
+    """
+
+    def __init__(self, frequent: np.ndarray, num: int, den: int):
+        """``frequent``: hashes, from the rarest to the most frequent."""
+        by_hash = np.argsort(frequent)
+        self.known, self.place, self.listed = frequent[by_hash], by_hash, frequent
+        self.num, self.den = num, den
+
+    def first(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first shingles of a set: the rare ones, and the frequent ones."""
+        n = len(own)
+        few = n - -(-n * self.num // self.den) + 1 if n else 0
+        if not len(self.known):
+            return own[:few], own[:0]
+        at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+        often = self.known[at] == own
+        rare = own[~often][:few]
+        return rare, self.listed[np.sort(self.place[at[often]])[: few - len(rare)]]
 
 
 def bitmap(own: np.ndarray) -> bytes:

@@ -101,6 +101,39 @@ def test_blocks_of_a_large_root(spark, monkeypatch):
     assert sorted(map(tuple, jaccard.join(df, "doc_id", "text", 3, 90, 100).collect())) == brute(rows, 3, 90, 100)
 
 
+@pytest.mark.parametrize("k", [3, 5])
+def test_similar_texts_without_hashes(k, monkeypatch):
+    rows = [(t or "").encode().lower().split() for _, t in corpus(7)[::2]]
+    many = [w + [b"%d" % i for i in range(7000)] for w in rows[:3]]  # so many words that sequences no longer fit a number
+    for num in (80, 90, 100):
+        for own in (rows[0], rows[30], [], [b"word"], many[0]):
+            sets = [own_set(b" ".join(x).decode(), k) for x in (own, *rows, *many)]
+            want = [bool(s) and 100 * len(s & sets[0]) >= num * len(s | sets[0]) for s in sets[1:]]
+            assert shingles.similar(own, rows + many, k, num, 100) == want
+
+
+@pytest.mark.parametrize("num", [50, 80, 90, 100])
+def test_similar_sets_share_a_first_shingle(num):
+    rnd = np.random.default_rng(num)
+    every = np.unique(rnd.integers(0, 2**63, 300).astype(np.uint64))
+    order = shingles.Order(rnd.permutation(every)[:120], num, 100)
+    for _ in range(300):
+        a = np.sort(rnd.permutation(every)[: rnd.integers(1, 60)])
+        b = np.unique(np.concatenate((a[rnd.random(len(a)) < 0.95], rnd.permutation(every)[: rnd.integers(0, 6)])))
+        if len(b) and 100 * len(np.intersect1d(a, b)) >= num * len(np.union1d(a, b)):
+            assert set(np.concatenate(order.first(a)).tolist()) & set(np.concatenate(order.first(b)).tolist())
+
+
+def test_one_shingle_in_every_document(spark, monkeypatch):
+    """A large root of documents of many sizes is compared by ranges of sizes; nothing is lost."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    rnd = random.Random(11)
+    rows = [(i, " ".join(["same", "three", "words"] + [f"w{rnd.randrange(40)}" for _ in range(rnd.choice((0, 1, 2, 30, 33, 200)))])) for i in range(120)]
+    rows += [(1000 + i, t + " end") for i, t in rows[::3]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.join(df, "doc_id", "text", 3, 90, 100).collect())) == brute(rows, 3, 90, 100)
+
+
 def test_components(spark):
     rnd = random.Random(1)
     links = [(i, i + 1) for i in range(40)] + [(rnd.randrange(100, 400), rnd.randrange(100, 400)) for _ in range(150)] + [(900, i) for i in range(500, 560)]
