@@ -13,12 +13,12 @@ the size of each, so every pair has a common root, without exception. The order
 the documents shows to be frequent behind all others; it decides how large roots are and never what is found.
 The steps are:
 
-1. each document under a root that others share is linked to the smallest document of the most of its roots, if
-   similar enough, which joins most copies in time proportional to their number; equal sets are one class;
+1. each document is compared with the smallest document of the most of its roots, if that is smallest in a share ``VOTES`` of
+   its first shingles, which joins most copies in time proportional to their number; equal sets are one class;
 2. under each root with documents of more than one component so far, trees are compared; pairs
    within a component are left out, and of roots over the same documents one is kept. A large root is cut by ranges
    of sizes, of which only neighbours can be similar, and these into blocks of bounded size, compared two by two;
-3. components of all links.
+3. of the pairs that remain each document's likeliest are checked first, then those still between two components.
 """
 
 from __future__ import annotations
@@ -41,7 +41,11 @@ from .shingles import Order, bitmap, digest, folded, forget, shingle_set, simila
 #: Documents of one block of a root, and of one leaf.
 BLOCK, LEAF = 512, 16
 #: Documents that show which shingles are frequent: a share of all within these bounds; in how many of them, and the most that are told apart.
-SHARE, SAMPLE, LEAST_SEEN, MOST_FREQUENT = 0.01, (2048, 100_000), 4, 65_536
+SHARE, SAMPLE, LEAST_SEEN, MOST_FREQUENT = 0.01, (4096, 100_000), 3, 65_536
+#: Share of a document's first shingles under which another must be the smallest to be compared with it at once.
+VOTES = 0.3
+#: Bits by which documents that no pair asks for are left out before the join that decides.
+SPOTS = 1 << 24
 #: Keys of rare shingles that one task brings together, about.
 KEYS = 4_000_000
 
@@ -201,6 +205,18 @@ def _frequent_roots(sketches: DataFrame) -> DataFrame:
     return own.join(F.broadcast(several), "key").where("id <> first").select("key", "id", "first")
 
 
+def _texts(docs: DataFrame, pairs: DataFrame, unique: bool) -> DataFrame:
+    """The documents of the pairs. What is broadcast are ``SPOTS`` bits at most, which keep most other texts from being shuffled."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    spot = F.pmod(F.xxhash64("id"), F.lit(SPOTS))
+    place = lambda x: F.shiftright(x, 6)
+    marks = ids.select(spot.alias("spot")).groupBy(place(F.col("spot")).alias("place")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("spot", F.lit(64)).cast("int"))).alias("marks"))
+    likely = docs.withColumn("spot", spot).join(F.broadcast(marks), place(F.col("spot")) == F.col("place"))
+    likely = likely.where(F.bit_get("marks", F.pmod("spot", F.lit(64)).cast("int")) == 1).select("id", "text")
+    asked = likely.join(ids, "id", "left_semi")
+    return stored(asked if unique else asked.distinct(), "jaccard-texts")
+
+
 def _verified(wanted: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, by their texts."""
     a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
@@ -244,7 +260,7 @@ def _dealt(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _compared(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, i, j, block, id, n, part, bits) -> pairs (a, b) that trees can't rule out."""
+    """(key, i, j, block, id, n, part, bits) -> pairs (a, b) that trees can't rule out, with the share of bits in common."""
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "block", "id")
 
@@ -260,7 +276,8 @@ def _compared(rows: DataFrame, num: int, den: int) -> DataFrame:
             return
         for p, q in pairs(x, y, num, den):
             a, b = ids_x[x.order[p]], ids_y[y.order[q]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+            like = np.bitwise_count(x.bits[p] & y.bits[q]).sum(axis=1, dtype=np.int64) / (x.sizes[p] + y.sizes[q])
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(like)], ["a", "b", "like"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
@@ -277,7 +294,7 @@ def _compared(rows: DataFrame, num: int, den: int) -> DataFrame:
         tidy()
 
     columns = ["key", "i", "j", "block", "id", "n", "part", "bits"]
-    return dealt.select(*columns).mapInArrow(run, "a long, b long").distinct()
+    return dealt.select(*columns).mapInArrow(run, "a long, b long, like double").groupBy("a", "b").agg(F.max("like").alias("like"))
 
 
 def join(df: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -287,7 +304,7 @@ def join(df: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 80, d
     ``component_id`` is the smallest id reachable. Null, empty and wordless texts have no shingles
     and link with nothing, equal ones neither. ``id_col`` is an integer; rows with equal ids are
     one vertex with the links of all their texts, a row without an id links with nothing and has no component. Other columns are ignored, an empty table gives no
-    rows. Broadcast are at most ``MOST_FREQUENT`` hashes and their roots; no root is compared as a whole: blocks hold about ``BLOCK`` documents.
+    rows. Broadcast are at most ``MOST_FREQUENT`` hashes and their roots, and ``SPOTS`` bits; no root is compared as a whole: blocks hold about ``BLOCK`` documents.
     """
     spark = df.sparkSession
     ship(spark)
@@ -303,11 +320,10 @@ def join(df: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 80, d
         rare = rare.alias("r").join(copies.alias("c"), F.col("r.id") == F.col("c.a"), "left").select("key", F.coalesce("b", "id").alias("id"), "first").where("id <> first")
     members = stored(rare.distinct().union(_frequent_roots(sound)), "jaccard-roots")
     votes = members.groupBy("id", "first").agg(F.count(F.lit(1)).alias("n"))
-    stars = votes.groupBy(F.col("id").alias("a")).agg(F.min_by("first", F.struct(-F.col("n"), "first")).alias("b"))
-    stars = stored(stars, "jaccard-stars")
-    wanted = members.select("id").union(members.select("first")).distinct()
-    asked = docs.join(wanted, "id", "left_semi")
-    texts = stored(asked if unique else asked.distinct(), "jaccard-texts")
+    best = votes.groupBy(F.col("id").alias("a")).agg(F.min_by(F.struct(F.col("first").alias("b"), F.col("n").alias("votes")), F.struct(-F.col("n"), "first")).alias("best")).select("a", "best.*")
+    firsts = sound.groupBy(F.col("id").alias("a")).agg(F.min(F.col("n") * (den - num) / den).alias("few"))
+    stars = stored(best.join(firsts, "a").where(F.col("votes") >= VOTES * F.col("few")).select("a", "b"), "jaccard-stars")
+    texts = _texts(docs, stars, unique)
     links = stored(_verified(stars, texts, k, num, den), "jaccard-links")
     joined = components(links)
 
@@ -324,12 +340,19 @@ def join(df: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 80, d
     signed = left.join(sound.select("id", "n", "bits"), "id")
     candidates = _compared(_dealt(signed, num, den), num, den).where("a <> b").join(stars, ["a", "b"], "left_anti")
     candidates = stored(candidates, "jaccard-candidates")
-    more = _verified(candidates, texts, k, num, den)
-    found = components(links.union(more).union(copies))
+    drop(texts)
+    texts = _texts(docs, candidates, unique)
+    likely = stored(candidates.groupBy("a").agg(F.max_by("b", F.struct("like", -F.col("b"))).alias("b")), "jaccard-likely")
+    more = stored(links.union(_verified(likely, texts, k, num, den)), "jaccard-links")
+    drop(joined)
+    joined = components(more)
+    rest = candidates.join(likely, ["a", "b"], "left_anti").join(part("a", "of_a"), "a", "left").join(part("b", "of_b"), "b", "left")
+    rest = stored(rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "jaccard-rest")
+    last = _verified(rest, texts, k, num, den)
+    found = components(more.union(last).union(copies))
     done = sketches.select("id", "n").join(found.withColumnRenamed("v", "id"), "id", "left")
     done = stored(done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")), "jaccard-done")
-    for made in (sketches, copies, members, stars, texts, links, mixed, left, candidates, joined, found):
-        drop(made)
+    drop(sketches, copies, members, stars, texts, links, mixed, left, candidates, likely, more, rest, joined, found)
     return done
 
 
