@@ -11,15 +11,16 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructType
 
 from .pieces import PieceEncoder
-from .shared import ship
+from .shared import ship, tidy
 
 _NONE = 1 << 62
 _MASK = (1 << 32) - 1
@@ -207,6 +208,33 @@ _encoders: dict[tuple[str, str], PieceEncoder] = {}
 _decoders: dict[str, list[bytes]] = {}
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    make = _encoder(ranks_path, pattern)
+    try:
+        for batch in batches:
+            for part in steps(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(make(part.column(1).to_pylist()), pa.binary())], ["id", "ids"])
+    finally:
+        make.forget()
+        tidy()
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], ranks_path: str) -> Iterator[pa.RecordBatch]:
+    get = _tokens(ranks_path).__getitem__
+    for batch in batches:
+        for part in steps(batch, 1):
+            text = [b"".join(map(get, np.frombuffer(x.as_buffer(), "<u4").tolist())) for x in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.binary())], ["id", "ids", "decoded"])
+
+
+def _mapped(df: DataFrame, id_col: str, rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *names: str) -> DataFrame:
+    ship(df.sparkSession)
+    out = StructType().add("id", rows.schema["id"].dataType)
+    for name in names:
+        out = out.add(name, BinaryType())
+    return rows.mapInArrow(run, out).withColumnRenamed("id", id_col)
+
+
 def encode(df: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern: str) -> DataFrame:
     """Returns (``id_col``, ids BINARY): little-endian unsigned 32-bit ids of each whole text.
 
@@ -214,19 +242,8 @@ def encode(df: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern:
     out, whatever their names. A row with a null id is kept. The work is row by row: no shuffle,
     and a lost executor repeats only its own tasks.
     """
-    ship(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = rows.schema["id"].dataType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            make = _encoder(ranks_path, pattern)
-            for part in steps(batch, 1):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(make(part.column(1).to_pylist()), pa.binary())], ["id", "ids"])
-
-    from pyspark.sql.types import BinaryType, StructType
-
-    return rows.mapInArrow(run, StructType().add("id", kind).add("ids", BinaryType())).withColumnRenamed("id", id_col)
+    return _mapped(df, id_col, rows, lambda batches: _encoded(batches, ranks_path, pattern), "ids")
 
 
 def decode(df: DataFrame, id_col: str, ids_col: str, ranks_path: str) -> DataFrame:
@@ -234,21 +251,14 @@ def decode(df: DataFrame, id_col: str, ids_col: str, ranks_path: str) -> DataFra
 
     Null ids give empty bytes. Bytes, not text: cut ids need not end at a character.
     """
-    ship(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(ids_col), F.lit(b"")).alias("ids"))
-    kind = rows.schema["id"].dataType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = _tokens(ranks_path).__getitem__
-        for batch in batches:
-            for part in steps(batch, 1):
-                text = [b"".join(map(get, np.frombuffer(x.as_buffer(), "<u4").tolist())) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.binary())], ["id", "ids", "decoded"])
+    return _mapped(df, id_col, rows, lambda batches: _decoded(batches, ranks_path), "ids", "decoded")
 
-    from pyspark.sql.types import BinaryType, StructType
 
-    out = StructType().add("id", kind).add("ids", BinaryType()).add("decoded", BinaryType())
-    return rows.mapInArrow(run, out).withColumnRenamed("id", id_col)
+def round_trip(df: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern: str) -> DataFrame:
+    """``decode`` of ``encode`` in one pass: a task has one Python worker in place of two, and ids travel once."""
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return _mapped(df, id_col, rows, lambda batches: _decoded(_encoded(batches, ranks_path, pattern), ranks_path), "ids", "decoded")
 
 
 def n_ids(ids: Column) -> Column:

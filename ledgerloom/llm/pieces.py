@@ -39,6 +39,9 @@ class PieceEncoder:
             return self._fast.findall(text)
         return self._full.findall(text)
 
+    def forget(self) -> None:
+        self._known.clear()
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The encoded bytes of each text."""
         known = self._known

@@ -1,9 +1,10 @@
 """Quality rules: robust multivariate outliers, in DataFrame operations only.
 
 Statistics of each text are transformed into a vector. Per language and source, its location and
-scatter are estimated by minimum covariance determinant: starting from medians and median absolute
-deviations, concentration steps take mean and covariance of the share ``KEEP`` of rows with
-the smallest Mahalanobis distances, again and again. Rows at a squared distance over ``CUTOFF`` are rejected.
+scatter are estimated by minimum covariance determinant. From each of several starts (medians and median absolute deviations,
+medians alone, mean and covariance of all rows), concentration steps take mean and covariance of the share ``KEEP``
+of rows with the smallest Mahalanobis distances, again and again; the start whose covariance ends with the least determinant is kept,
+and its covariance made consistent by a factor. Rows at a squared distance over ``CUTOFF`` are rejected.
 
 Distances are counted in bins, with the moments of each bin beside the counts, so that one grouped
 sum over the rows does one concentration step: the bins up to the wanted share are added up. Nothing
@@ -30,12 +31,17 @@ LEAST_WORDS, MOST_REPEATED = 50, 0.5
 KEEP, STEPS, LEAST_ROWS = 0.75, 4, 100
 #: Squared distance from which a row is an outlier: the 0.999 quantile of chi-square, 4 degrees.
 CUTOFF = 18.467
-#: Statistics and the least standard deviation that is held against a row: most texts have no symbols or repeats
+#: Statistics and the standard deviation that is added to their scatter: most texts have no symbols or repeats
 #: at all, so scatter alone would reject every text that has any.
-DIMENSIONS = {"x_word": 0.1, "x_symbol": 0.1, "x_line": 0.1, "x_repeat": 0.1}
+DIMENSIONS = {"x_symbol": 0.1, "x_line": 0.1, "x_repeat": 0.1, "x_word": 0.02}
+#: The last of them is a mean over words, so a text's own share of its variance is this by the number of its words.
+WORD_VARIANCE = 0.5
+STARTS = 3
 _X = list(DIMENSIONS)
 _PAIRS = list(combinations_with_replacement(range(len(_X)), 2))
 _GROUP = ["level", "g_lang", "g_source"]
+_START = [*_GROUP, "start"]
+_LAST = len(_X) - 1
 
 
 def statistics(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, whole: bool = False) -> DataFrame:
@@ -124,7 +130,7 @@ def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
     a, b = rows.alias("a"), groups.select("lang", "source", F.explode("levels").alias("level")).alias("b")
     joined = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")) & F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", F.col("b.level").alias("level"))
     level = F.col("level")
-    return joined.select("id", "lang", "source", *_X, *_of(level))
+    return joined.select("id", "n_words", *_X, *_of(level))
 
 
 def _medians(rows: DataFrame, values: list[Column]) -> DataFrame:
@@ -148,15 +154,18 @@ def _factor() -> float:
 
 
 def _root(params: DataFrame) -> DataFrame:
-    """Adds the Cholesky factor l<i><j> of the covariance c<i><j> plus the least variances."""
+    """Adds the Cholesky factor l<i><j> of the covariance c<i><j> plus the added variances; of its last diagonal element the square, ``rest``."""
     p = len(_X)
     for j in range(p):
         for i in range(j, p):
-            left = F.col(f"c{j}{i}") + (F.lit(DIMENSIONS[_X[i]] ** 2) if i == j else F.lit(0.0))
+            least = F.lit(DIMENSIONS[_X[i]] ** 2)
+            left = F.col(f"c{j}{i}") + (least if i == j else F.lit(0.0))
             for k in range(j):
                 left = left - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            value = F.sqrt(F.greatest(left, F.lit(DIMENSIONS[_X[i]] ** 2))) if i == j else left / F.col(f"l{j}{j}")
-            params = params.withColumn(f"l{i}{j}", value)
+            if i == j == _LAST:
+                params = params.withColumn("rest", F.greatest(left, least))
+            else:
+                params = params.withColumn(f"l{i}{j}", F.sqrt(F.greatest(left, least)) if i == j else left / F.col(f"l{j}{j}"))
     return params
 
 
@@ -165,7 +174,8 @@ def _substitute(i: int, x: str) -> Callable[[Column], Column]:
         rest = F.col(x) - F.col(f"m{i}")
         for k in range(i):
             rest = rest - F.col(f"l{i}{k}") * F.get(z, F.lit(k))
-        return F.concat(z, F.array(rest / F.col(f"l{i}{i}")))
+        of_text = F.lit(WORD_VARIANCE) / F.greatest(F.col("n_words"), F.lit(1))
+        return F.concat(z, F.array(rest / (F.sqrt(F.col("rest") + of_text) if i == _LAST else F.col(f"l{i}{i}"))))
 
     return add
 
@@ -181,30 +191,51 @@ def _distance() -> Column:
 def _judged(rows: DataFrame, params: DataFrame) -> DataFrame:
     own = [c for c in params.columns if c not in _GROUP]
     joined = rows.alias("a").join(params.alias("b"), _same("a", "b"), "left").select("a.*", *(f"b.{c}" for c in own))
-    return joined.withColumn("d2", _distance()).drop(*own)
+    return joined.withColumn("d2", _distance()).drop(*(c for c in own if c != "start"))
 
 
-def estimate(rows: DataFrame) -> DataFrame:
-    """A row for each group: location m0.., covariance c00.. and its factor l00..: the MCD estimate."""
+def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts and sums of the values and of their products."""
+    sums = [F.count(F.lit(1)).alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(_X)), *(F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"q{i}{j}") for i, j in _PAIRS)]
+    return rows.groupBy(*keys).agg(*sums)
+
+
+def _scatter(sums: DataFrame, keys: list[str], factor: float) -> DataFrame:
+    """Mean and covariance, times a factor, from the moments."""
+    mean = [(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(len(_X))]
+    cov = [(F.lit(factor) * (F.col(f"q{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n"))).alias(f"c{i}{j}") for i, j in _PAIRS]
+    return sums.select(*keys, *mean, *cov)
+
+
+def _starts(rows: DataFrame) -> DataFrame:
     middle = stored(_medians(rows, [F.col(x) for x in _X]), "quality-medians")
     near = rows.alias("a").join(middle.alias("b"), _same("a", "b")).select("a.*", *(f"m{i}" for i in range(len(_X))))
     spread = _medians(near, [F.abs(F.col(x) - F.col(f"m{i}")) for i, x in enumerate(_X)])
     spread = spread.select(*_GROUP, *((F.col(f"m{i}") * 1.4826).alias(f"s{i}") for i in range(len(_X))))
-    start = middle.alias("a").join(spread.alias("b"), _same("a", "b")).select("a.*", *(f"b.s{i}" for i in range(len(_X))))
+    both = middle.alias("a").join(spread.alias("b"), _same("a", "b")).select("a.*", *(f"b.s{i}" for i in range(len(_X))))
+    at = [f"m{i}" for i in range(len(_X))]
     diagonal = [(F.col(f"s{i}") * F.col(f"s{i}") if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _PAIRS]
-    params = stored(_root(start.select(*_GROUP, *(f"m{i}" for i in range(len(_X))), *diagonal)), "quality-start")
+    first = both.select(F.lit(0).alias("start"), *_GROUP, *at, *diagonal)
+    second = middle.select(F.lit(1).alias("start"), *_GROUP, *at, *(F.lit(0.0).alias(f"c{i}{j}") for i, j in _PAIRS))
+    third = _scatter(_moments(rows, _GROUP), _GROUP, 1.0).withColumn("start", F.lit(2))
+    return first.unionByName(second).unionByName(third)
+
+
+def estimate(rows: DataFrame) -> DataFrame:
+    """A row for each group: location m0.., covariance c00.. and its factor l00..: the MCD estimate."""
+    params = stored(_root(_starts(rows)), "quality-start")
     for _ in range(STEPS):
         held = _judged(rows, params).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * 16).cast("int"))
-        sums = [F.count(F.lit(1)).alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(_X)), *(F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"q{i}{j}") for i, j in _PAIRS)]
-        bins = held.groupBy(*_GROUP, "bin").agg(*sums)
-        own = Window.partitionBy(*_GROUP)
+        bins = _moments(held, [*_START, "bin"])
+        own = Window.partitionBy(*_START)
         bins = bins.select("*", (F.sum("n").over(own.orderBy("bin")) - F.col("n")).alias("under"), F.sum("n").over(own).alias("all"))
         added = [F.sum(c).alias(c) for c in ("n", *(f"s{i}" for i in range(len(_X))), *(f"q{i}{j}" for i, j in _PAIRS))]
-        kept = bins.where(F.col("under") < F.ceil(F.col("all") * KEEP)).groupBy(*_GROUP).agg(*added)
-        mean = [(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(len(_X))]
-        cov = [(F.lit(_factor()) * (F.col(f"q{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n"))).alias(f"c{i}{j}") for i, j in _PAIRS]
-        params = stored(_root(kept.select(*_GROUP, *mean, *cov)), "quality-step")
-    return params
+        kept = bins.where(F.col("under") < F.ceil(F.col("all") * KEEP)).groupBy(*_START).agg(*added)
+        params = stored(_root(_scatter(kept, _START, _factor())), "quality-step")
+    determinant = F.log("rest") + sum(2 * F.log(f"l{i}{i}") for i in range(_LAST))
+    values = [c for c in params.columns if c not in _START]
+    best = F.min_by(F.struct(*values), F.struct(F.round(determinant, 9), "start")).alias("best")
+    return stored(params.groupBy(*_GROUP).agg(best).select(*_GROUP, "best.*"), "quality-best")
 
 
 def _decided(rows: DataFrame) -> DataFrame:
@@ -212,7 +243,7 @@ def _decided(rows: DataFrame) -> DataFrame:
     sound = rows.where(~F.col("base_failed"))
     known = _groups(sound)
     enough = F.lit((known.agg(F.sum("n")).head()[0] or 0) >= LEAST_ROWS)
-    params = estimate(stored(_grouped(sound.select("id", "lang", "source", *_X), known), "quality-sound"))
+    params = estimate(stored(_grouped(sound.select("id", "lang", "source", "n_words", *_X), known), "quality-sound"))
     groups = known.select("lang", "source", *_of(F.col("level")))
     a, b = rows.alias("a"), groups.alias("b")
     placed = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")) & F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.*", *(f"b.{c}" for c in _GROUP))

@@ -47,8 +47,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = tokenizer_path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text", ranks, public_tokenizers.PATTERN)
-    back = bpe.decode(ids, "doc_id", "ids", ranks)
+    back = bpe.round_trip(table(spark, sf_dir, "documents"), "doc_id", "text", ranks, public_tokenizers.PATTERN)
     return back.select(
         "doc_id",
         bpe.n_ids(F.col("ids")).alias("n_tokens"),

@@ -19,17 +19,20 @@ _COUNT = np.array([1] + [c for _, c, _ in SELECTORS], np.int64)
 
 
 def _pack_chunk(values: np.ndarray) -> np.ndarray:
-    n = len(values)
-    count, chosen = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    n, top = len(values), int(values.max())
+    small = values.astype(np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+    count, chosen = np.zeros(n, np.int16), np.zeros(n, np.int8)
     for s, c, bits in reversed(SELECTORS):
-        wide = values >= np.uint64(1 << bits)
-        total = int(np.count_nonzero(wide))
-        if total == n:
-            break
-        gone = np.empty(n + c + 1, np.int32)
-        gone[0], gone[n + 1 :] = 0, total
-        np.cumsum(wide, out=gone[1 : n + 1])
+        if top < 1 << bits:
+            count[:], chosen[:] = c, s
+            continue
+        gone = np.empty(n + c + 1, np.int16)
+        gone[0] = 0
+        np.cumsum(small >= small.dtype.type(1 << bits), out=gone[1 : n + 1])
+        gone[n + 1 :] = gone[n]
         fits = gone[c : c + n] == gone[:n]
+        if not fits.any():
+            break  # nor do more of smaller values
         count[fits], chosen[fits] = c, s
     starts, at, step = [], 0, np.maximum(count, 1).tolist()
     while at < n:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from .simple8b import pack, unpack
 
 #: A block is closed when it holds that many token ids; a longer document makes a larger block.
 BLOCK_IDS = 1 << 18
-_SPACE = re.compile(r"\s")
+_SPACE, _LINE_ENDS = re.compile(r"\s"), "\t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0"
 
 _library: dict[tuple[str, str, bool], Callable[[list[str]], list[bytes]]] = {}
 
@@ -65,25 +66,27 @@ def library_encoder(path: str, pattern: str, added: bool = False) -> Callable[[l
 
         line_end = own.encode("\n", add_special_tokens=False).ids
 
-        def each(pieces: list[str]) -> list[bytes]:
-            return [np.array(x.ids, "<u4").tobytes() for x in own.encode_batch_fast(pieces, add_special_tokens=False)]
+        def each(texts: list[str]) -> list[bytes]:
+            return [np.array(x.ids, "<u4").tobytes() for x in own.encode_batch_fast(texts, add_special_tokens=False)]
 
         def encode(pieces: list[str]) -> list[bytes]:
-            """Pieces without white space but a first space go to the library as lines of one text."""
-            lines = [p for p in pieces if p and not p.isspace() and not _SPACE.search(p, 1)]
+            """Strings without white space but a first space go to the library as lines of one text."""
+            line = [len(p) > 0 and p[-1] != " " and _SPACE.search(p, 1) is None and p[0] not in _LINE_ENDS for p in pieces]
+            lines = list(compress(pieces, line))
             if len(line_end) != 1 or not lines:
                 return each(pieces)
             ids = np.array(own.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(ids == line_end[0])
             if len(ends) != len(lines) - 1:
                 return each(pieces)
-            data, at = ids.tobytes(), [-1, *ends.tolist(), len(ids)]
-            found = {p: data[4 * a + 4 : 4 * b] for p, a, b in zip(lines, at, at[1:])}
-            rest = [p for p in pieces if p not in found]
-            found.update(zip(rest, each(rest)))
-            return [found[p] for p in pieces]
-
-        pieces = PieceEncoder(pattern, encode, capacity=1_000_000)
+            data, at = ids.tobytes(), [-4, *(4 * ends).tolist(), 4 * len(ids)]
+            found = [data[a + 4 : b] for a, b in zip(at, at[1:])]
+            if len(lines) == len(pieces):
+                return found
+            first, second = iter(found), iter(each([p for p, good in zip(pieces, line) if not good]))
+            return [next(first if good else second) for good in line]
+
+        pieces = PieceEncoder(pattern, encode, capacity=700_000)
         _library[key] = _with_added(pieces, each, [t.content for t in own.get_added_tokens_decoder().values()]) if added else pieces
     return _library[key]
 

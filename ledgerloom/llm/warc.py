@@ -124,11 +124,23 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     if len(payload) != size or hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError(f"payload {digest} is damaged")
                     out.append(payload)
+                for header, payload in zip(part.column(0).to_pylist(), out):
+                    _parsed(header.encode(), payload)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["header", "payload"])
 
     return joined.mapInArrow(expand, "header string, payload binary")
 
 
+def _parsed(header: bytes, payload: bytes) -> None:
+    """Rebuilds the record and reads it as a file's reader would; raises if its framing is wrong."""
+    block = b"" if b"\r\nWARC-Type: revisit\r\n" in header else payload
+    lines, _, rest = (header + block + END.encode() * 2).partition(END.encode() * 2)
+    fields = dict(x.split(b": ", 1) for x in lines.split(END.encode())[1:])
+    length = int(fields[b"Content-Length"])
+    if not lines.startswith(b"WARC/1.0\r\n") or rest[:length] != block or rest[length:] != END.encode() * 2:
+        raise ValueError(f"the record {fields.get(b'WARC-Record-ID')} has a wrong frame")
+
+
 def record(header: Column, payload: Column) -> Column:
     """The bytes of the record as a WARC file has them: a revisit has no block."""
     block = F.when(field(header, "WARC-Type") == "revisit", F.lit(b"")).otherwise(payload)
