@@ -12,15 +12,19 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, jaccard, mixing, quality, secrets
 from ledgerloom.llm.queries import tokenizer_path
-from ledgerloom.llm.shared import stored, table
+from ledgerloom.llm.shared import drop, stored, table
 
 #: Near duplicates: words of a shingle and the least similarity.
 SHINGLE, NEAR = 5, (80, 100)
 
 
-def _repeats(docs: DataFrame) -> bool:
-    n = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.struct("doc_id")).alias("ids")).head()
-    return n.n != n.ids
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(id, row) of every document, the row with all its columns, and the kind of the id: doc_id where it is a key, else one of our own."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    n = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids")).head()
+    if n.n == n.ids:
+        return docs.select(F.col("doc_id").alias("id"), row), "doc_id"
+    return stored(docs.select(F.monotonically_increasing_id().alias("id"), row), "pipeline-rows"), "row"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,18 +38,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Where ids repeat or lack, rows are told apart by row, and a row goes only if its text is a near duplicate;
     of rows of one id, that with the smallest hash stays, and rows without an id come last.
     """
-    n = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids")).head()
-    if n.n == n.ids:
-        found = jaccard.join(docs, "doc_id", "text", SHINGLE, *NEAR)
-        gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-gone")
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    key, names = "pipeline_row", docs.columns
-    docs = stored(docs.withColumn(key, F.monotonically_increasing_id()), "pipeline-rows")
-    found = jaccard.join(docs, key, "text", SHINGLE, *NEAR).select(key, "component_id")
-    rank = F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", F.xxhash64(*(f"`{c}`" for c in names)).alias("hash"), key)
-    first = found.join(docs.select(key, rank.alias("rank")), key).groupBy("component_id").agg(F.min("rank").alias("rank"))
-    kept = stored(first.select(F.col(f"rank.{key}").alias(key)), "pipeline-kept")
-    return docs.join(kept, key, "left_semi").select(*(f"`{c}`" for c in names))
+    rows, kind = _keyed(docs)
+    texts = rows.select("id", F.col("row.text").alias("text"))
+    found = jaccard.join(texts, "id", "text", SHINGLE, *NEAR)
+    if kind == "doc_id":
+        gone = stored(found.where("id <> component_id").select("id"), "pipeline-gone")
+        return rows.join(gone, "id", "left_anti").select("row.*")
+    rank = F.struct(F.col("row.doc_id").isNull().alias("lacks"), F.col("row.doc_id").alias("doc_id"), F.xxhash64("row").alias("hash"), "id")
+    first = found.join(rows.select("id", rank.alias("rank")), "id").groupBy("component_id").agg(F.min("rank").alias("rank"))
+    kept = stored(first.select(F.col("rank.id").alias("id")), "pipeline-kept")
+    return rows.join(kept, "id", "left_semi").select("row.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,16 +64,13 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The last copy of a source's stream counts whole. Repeated ids are told apart by row.
     """
-    names, key = docs.columns, "doc_id"
-    if _repeats(docs):
-        key = "pipeline row"
-        docs = stored(docs.withColumn(key, F.monotonically_increasing_id()), "pipeline-rows")
-    taken = mixing.mix(docs, key, "text", "source").where("taken > 0").select(F.col(key).alias("mixed id"), F.explode("positions").alias("position"))
-    joined = docs.join(stored(taken, "pipeline-taken"), F.col(f"`{key}`") == F.col("`mixed id`"))
+    rows, _ = _keyed(docs)
+    mixed = mixing.mix(rows.select("id", "row.text", "row.source"), "id", "text", "source")
+    taken = stored(mixed.where("taken > 0").select("id", F.explode("positions").alias("at")), "pipeline-taken")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # positions spread evenly over [0, 1), so ranges need no sampling
-    dealt = joined.repartitionById(parts, F.least(F.lit(parts - 1), F.floor(F.col("position") * parts)).cast("int"))
-    return dealt.sortWithinPartitions("position", f"`{key}`").select(*(f"`{c}`" for c in names))
+    dealt = rows.join(taken, "id").repartitionById(parts, F.least(F.lit(parts - 1), F.floor(F.col("at") * parts)).cast("int"))
+    return dealt.sortWithinPartitions("at", "id").select("row.*")
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,8 +78,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = tokenizer_path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(docs, "doc_id", "text", ranks, public_tokenizers.PATTERN)
-    back = bpe.decode(ids, "doc_id", "ids", ranks)
+    back = bpe.round_trip(docs, "doc_id", "text", ranks, public_tokenizers.PATTERN)
     return back.select("doc_id", bpe.n_ids(F.col("ids")).alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -97,7 +95,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage over all others; each one's table goes when the next one's is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        if before:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
