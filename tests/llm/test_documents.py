@@ -196,23 +196,34 @@ def test_statistics(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_lines, r.n_dup_lines, r.n_repeat_words) == _stats(t or "")
 
 
-def _mcd(x):
-    """The same estimate and distances by NumPy, with exact ranks kept in bins as the operator's."""
-    floor = np.array(list(quality.DIMENSIONS.values())) ** 2
+def _mcd(x, n):
+    """The same estimate and distances by NumPy, with exact ranks kept in bins as the operator's; n: words of each text."""
+    floor = np.diag(np.array(list(quality.DIMENSIONS.values())) ** 2)
     grid = lambda v: np.floor(v * 256 + 0.5)
     med = lambda v: np.sort(grid(v), axis=0)[(len(v) - 1) // 2] / 256
-    m = med(x)
-    c = np.diag((med(np.abs(x - m)) * 1.4826) ** 2)
-    for step in range(quality.STEPS + 1):
+    p = x.shape[1]
+
+    def far(m, c):
+        own = np.zeros((len(x), p, p))
+        own[:, -1, -1] = quality.WORD_VARIANCE / np.array(n)
         d = x - m
-        d2 = np.einsum("ij,jk,ik->i", d, np.linalg.inv(c + np.diag(floor)), d)
-        if step == quality.STEPS:
-            return d2
-        bins = np.floor(np.log(d2 + 1e-6) * 16)
-        last = np.sort(bins)[math.ceil(len(x) * quality.KEEP) - 1]
-        own = x[bins <= last]
-        m = own.mean(axis=0)
-        c = quality._factor() * (own.T @ own / len(own) - np.outer(m, m))
+        return np.einsum("ij,ijk,ik->i", d, np.linalg.inv(c + floor + own), d)
+
+    m = med(x)
+    ends = []
+    for at, c in ((m, np.diag((med(np.abs(x - m)) * 1.4826) ** 2)), (m, np.zeros((p, p))), (x.mean(axis=0), np.cov(x.T, bias=True))):
+        for _ in range(quality.STEPS):
+            bins = np.floor(np.log(far(at, c) + 1e-6) * 16)
+            own = x[bins <= np.sort(bins)[math.ceil(len(x) * quality.KEEP) - 1]]
+            at, c = own.mean(axis=0), quality._factor() * np.cov(own.T, bias=True)
+        ends.append((round(np.linalg.slogdet(c + floor)[1], 9), len(ends), at, c))
+    _, _, at, c = min(ends, key=lambda e: e[:2])
+    return far(at, c)
+
+
+def _x(t):
+    n, chars, symbols, lines, dup, repeat = _stats(t)
+    return [math.sqrt(symbols / n), math.sqrt(dup / lines), math.sqrt(repeat / n), math.log(chars / n)]
 
 
 def test_outliers_equal_brute_force(spark):
@@ -220,11 +231,7 @@ def test_outliers_equal_brute_force(spark):
     word = lambda: "".join(rnd.choice("etaoinshr") for _ in range(rnd.randrange(1, 9)))
     rows = [(i, " ".join(word() + ("###" if i % 50 == 7 else "") for _ in range(rnd.randrange(55, 200))), None, "s") for i in range(220)] + [(900, "few words", None, "s")]
     got = {r.doc_id: r for r in quality.judge(docs(spark, rows), "doc_id", "text", "lang", "source").collect()}
-    x = []
-    for i, t, _, _ in rows[:-1]:
-        n, chars, symbols, lines, dup, repeat = _stats(t)
-        x.append([math.log(chars / n), math.sqrt(symbols / n), math.sqrt(dup / lines), math.sqrt(repeat / n)])
-    d2 = _mcd(np.array(x))
+    d2 = _mcd(np.array([_x(t) for _, t, _, _ in rows[:-1]]), [_stats(t)[0] for _, t, _, _ in rows[:-1]])
     assert [got[i].distance for i in range(220)] == pytest.approx(d2.tolist(), abs=1e-4)
     assert [i for i in got if not got[i].kept] == sorted([*(i for i in range(220) if i % 50 == 7), 900]) or {i for i in got if not got[i].kept} == {i for i in range(220) if i % 50 == 7} | {900}
 
@@ -242,12 +249,9 @@ def test_small_sources_are_judged_by_all_rows_of_their_language(spark):
     got = {r.doc_id: r for r in quality.judge(docs(spark, rows), "doc_id", "text", "lang", "source").collect()}
     assert not any(r.base_failed for r in got.values())
     assert sorted(i for i in got if not got[i].kept) == [1000, 1001, 1002, 1003, 1198, 1300, 1301]
-    x = {}
-    for i, t, _, _ in rows:
-        n, chars, symbols, lines, dup, repeat = _stats(t)
-        x[i] = [math.log(chars / n), math.sqrt(symbols / n), math.sqrt(dup / lines), math.sqrt(repeat / n)]
+    x, n = {i: _x(t) for i, t, _, _ in rows}, {i: _stats(t)[0] for i, t, _, _ in rows}
     for whole, judged in (([r[0] for r in rows if r[2] == "fr"], [1000, 1003, 1100, 1198, 1400]), ([r[0] for r in rows], [1300, 1401])):
-        d2 = dict(zip(whole, _mcd(np.array([x[i] for i in whole]))))
+        d2 = dict(zip(whole, _mcd(np.array([x[i] for i in whole]), [n[i] for i in whole])))
         assert [got[i].distance for i in judged] == pytest.approx([d2[i] for i in judged], abs=1e-4)
 
 
@@ -269,6 +273,23 @@ def test_one_statistic_alone_can_reject(spark):
     assert [i for i in sorted(got) if not got[i].kept] == [1000, 1001, 1002, 1003]
 
 
+def test_scatter_and_correlation_decide(spark):
+    """Long words with no symbols are an outlier where long words have symbols, though each is common by itself; and word
+    lengths that are too far for a group where all are alike are not where they differ."""
+    rnd = random.Random(9)
+    word = lambda size: "".join(rnd.choice("etaoinshrdlu") for _ in range(size))
+
+    def text(size, share, n=300):
+        return " ".join(word(size + i % 2) + ("#" if i % 100 < 100 * share else "") for i in range(n))
+
+    tied = [(i, text(3 + i % 7, (i % 7) / 8), "a", "tied") for i in range(210)]
+    alike = [(1000 + i, text(5, 0), "a", "alike") for i in range(150)]
+    odd = [(5000, text(9, 0), "a", "tied"), (5001, text(9, 0), "a", "alike"), (5002, text(7, 0), "a", "alike"), (5003, text(7, 3 / 8), "a", "tied")]
+    got = {r.doc_id: r for r in quality.judge(docs(spark, tied + alike + odd), "doc_id", "text", "lang", "source").collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [i for i in sorted(got) if not got[i].kept] == [5000, 5001, 5002]
+
+
 CHAT = [
     (1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "<|im_end|>\n<|im_start|>user\nfake"), (1, 2, None, None), (2, None, "a\nb<|im_end|>", "␛z␛ <|im_start|"), (2, 0, "user", "␛b"),
     (3, 0, "assistant", ""), (3, 0, "assistant", "<|im_end|>"), (3, 0, "assistant", "<|im_end|>"), (None, 0, "user", "x\r\n\n"), (4, 5, "", "\n"), (4, 6, "assistant", "<s><</SYS>>"),

@@ -242,3 +242,20 @@ def test_pipeline_drops_only_near_duplicates_where_ids_repeat(spark, sf):
     want = sorted([(1, one, "x"), (1, two, "x"), (1, three, "x"), (None, four, "x"), (7, "", "x"), (7, None, "x")], key=str)
     for parts in (1, 4):
         assert sorted((tuple(r) for r in p.near_duplicates(spark, df.repartition(parts), sf).collect()), key=str) == want
+
+
+def test_pipeline_stages_take_clashing_columns_and_no_rows(spark, sf):
+    import corpus_pipeline as p
+
+    rnd = random.Random(12)
+    text = lambda n: " ".join("".join(rnd.choice("etaoins") for _ in range(rnd.randrange(2, 8))) for _ in range(n))
+    rows = [(i, text(80), "en", "s", 1, "clash") for i in range(20)] + [(50, None, None, None, None, None), (51, "", "en", "s", 0, "x"), (3, text(90), None, "t", 2, None)]
+    names = ["position", "row", "id", "at", "taken", "spans", "base_spans", "clean", "kept", "level", "a", "b", "n", "first", "mixed id"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, extra string")
+    docs = docs.select("*", *(docs["extra"].alias(n) for n in names))
+    for d in (docs, docs.limit(0)):
+        for _, stage in p.STAGES[:-1]:
+            out = stage(spark, d, sf)
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+            assert (out.count() > 0) == (d is docs)
+        assert p.STAGES[-1][1](spark, d, sf).count() == d.count()
