@@ -16,7 +16,7 @@ The steps are:
 1. each document is compared with the smallest document of the most of its roots, if that is smallest in a share ``VOTES`` of
    its first shingles, which joins most copies in time proportional to their number; equal sets are one class;
 2. under each root with documents of more than one component so far, trees are compared; pairs
-   within a component are left out, and of roots over the same documents one is kept. A large root is cut by ranges
+   within a component are left out, and so are roots whose documents all stand under another root. A large root is cut by ranges
    of sizes, of which only neighbours can be similar, and these into blocks of bounded size, compared two by two;
 3. of the pairs that remain each document's likeliest are checked first, then those still between two components.
 """
@@ -30,7 +30,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import steps
@@ -44,6 +44,8 @@ BLOCK, LEAF = 512, 16
 SHARE, SAMPLE, LEAST_SEEN, MOST_FREQUENT = 0.01, (4096, 100_000), 3, 65_536
 #: Share of a document's first shingles under which another must be the smallest to be compared with it at once.
 VOTES = 0.3
+#: Roots of a document before one of its roots that are tried for holding all of its documents.
+TRIED = 4
 #: Bits by which documents that no pair asks for are left out before the join that decides.
 SPOTS = 1 << 24
 #: Keys of rare shingles that one task brings together, about.
@@ -239,6 +241,22 @@ def _verified(wanted: DataFrame, texts: DataFrame, k: int, num: int, den: int) -
     return both.mapInArrow(run, "a long, b long")
 
 
+def _outermost(left: DataFrame) -> DataFrame:
+    """Leaves out roots whose documents all stand under another root, which stays or is inside one that does.
+
+    A passage that documents share gives roots one inside the other, as each document has the first of its shingles
+    up to some place of the order. So for the document with the fewest roots under a root, the ones before it are tried.
+    """
+    own = Window.partitionBy("id").orderBy("key")
+    before = F.array(*(F.lag("key", i).over(own) for i in range(1, TRIED + 1)))
+    ranked = left.select("key", "id", before.alias("before"), F.count(F.lit(1)).over(Window.partitionBy("id")).alias("roots"))
+    tried = ranked.groupBy("key").agg(F.min_by("before", F.struct("roots", "id")).alias("before"), F.count(F.lit(1)).alias("size"))
+    tried = tried.select("key", "size", F.explode(F.array_compact("before")).alias("outer"))
+    inside = left.select("key", "id").join(tried, "key")
+    found = inside.join(left.select(F.col("key").alias("outer"), "id"), ["outer", "id"]).groupBy("key", "outer").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
+    return left.join(found.where("n = size").select("key").distinct(), "key", "left_anti")
+
+
 def _dealt(rows: DataFrame, num: int, den: int) -> DataFrame:
     """(key, members, id, n, part, bits) -> (key, i, j, block, ...): roots in blocks that are compared two by two.
 
@@ -325,6 +343,7 @@ def join(df: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 80, d
     stars = stored(best.join(firsts, "a").where(F.col("votes") >= VOTES * F.col("few")).select("a", "b"), "jaccard-stars")
     texts = _texts(docs, stars, unique)
     links = stored(_verified(stars, texts, k, num, den), "jaccard-links")
+    drop(texts)
     joined = components(links)
 
     part = lambda column, name: joined.select(F.col("v").alias(column), F.col("component").alias(name))
@@ -336,11 +355,14 @@ def join(df: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 80, d
     mixed = stored(mixed.select("key", "first", "top", (F.col("others") + 1).alias("members")), "jaccard-mixed")
     left = placed.select("key", "id", "part").join(mixed.select("key", "members"), "key").select("key", "members", "id", "part")
     left = left.union(mixed.select("key", "members", F.col("first").alias("id"), F.col("top").alias("part")))
-    left = stored(left, "jaccard-left")
+    every = stored(left.distinct(), "jaccard-every")
+    drop(members, mixed)
+    left = stored(_outermost(every), "jaccard-left")
+    drop(every)
     signed = left.join(sound.select("id", "n", "bits"), "id")
     candidates = _compared(_dealt(signed, num, den), num, den).where("a <> b").join(stars, ["a", "b"], "left_anti")
     candidates = stored(candidates, "jaccard-candidates")
-    drop(texts)
+    drop(left)
     texts = _texts(docs, candidates, unique)
     likely = stored(candidates.groupBy("a").agg(F.max_by("b", F.struct("like", -F.col("b"))).alias("b")), "jaccard-likely")
     more = stored(links.union(_verified(likely, texts, k, num, den)), "jaccard-links")
@@ -352,7 +374,7 @@ def join(df: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 80, d
     found = components(more.union(last).union(copies))
     done = sketches.select("id", "n").join(found.withColumnRenamed("v", "id"), "id", "left")
     done = stored(done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")), "jaccard-done")
-    drop(sketches, copies, members, stars, texts, links, mixed, left, candidates, likely, more, rest, joined, found)
+    drop(sketches, copies, stars, texts, links, candidates, likely, more, rest, joined, found)
     return done
 
 

@@ -119,8 +119,8 @@ class Order:
 
 
 def bitmap(own: np.ndarray) -> bytes:
-    """One bit for each token, at its hash modulo the width: a power of two, at least four times the set."""
-    width = max(256, 1 << (4 * len(own) - 1).bit_length()) if len(own) else 256
+    """One bit for each token, at its hash modulo the width: a power of two, at least twice the set."""
+    width = max(256, 1 << (2 * len(own) - 1).bit_length()) if len(own) else 256
     bits = np.zeros(width, bool)
     bits[(own & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
