@@ -18,7 +18,8 @@ The steps are:
 2. under each root with documents of more than one component so far, trees are compared; pairs
    within a component are left out, and so are roots whose documents all stand under another root. A large root is cut by ranges
    of sizes, of which only neighbours can be similar, and these into blocks of bounded size, compared two by two;
-3. of the pairs that remain each document's likeliest are checked first, then those still between two components.
+3. the pairs that remain are checked in groups, a root's or a part of it, to which each document's text comes once; the
+   likeliest go first, and a pair that others have joined already is left out.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .bpe import steps
 from .graph import components
 from .shared import drop, ship, stored, tidy
-from .shingles import Order, bitmap, digest, folded, forget, shingle_set, similar, words_of
+from .shingles import Order, alike, bitmap, digest, exact_sets, folded, forget, shingle_set
 
 #: Documents of one block of a root, and of one leaf.
 BLOCK, LEAF = 512, 16
@@ -219,26 +220,56 @@ def _texts(docs: DataFrame, pairs: DataFrame, unique: bool) -> DataFrame:
     return stored(asked if unique else asked.distinct(), "jaccard-texts")
 
 
-def _verified(wanted: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by their texts."""
-    a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    both = wanted.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
+def _verified(asked: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(key, i, j, a, b, like) -> the pairs (a, b) that are similar enough by their texts, but those joined by others of their (key, i, j)."""
+    parts = max(1, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    group = ["key", "i", "j"]
+    ids = asked.select(*group, F.col("a").alias("id")).union(asked.select(*group, "b")).distinct()
+    held = ids.join(texts, "id").select(*group, F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("like"), "text")
+    both = held.union(asked.select(*group, F.lit(1), "a", "b", "like", F.lit(None).cast("string")))
+    dealt = both.repartition(parts, *group).sortWithinPartitions(*group, "kind", F.desc("like"), "a", "b")
+
+    def check(rows: list[tuple[int, int]], ids: list[int], texts: list[str]) -> Iterator[tuple[int, int]]:
+        of: dict[int, list] = {}
+        for i, own in zip(ids, exact_sets(texts, k)):
+            of.setdefault(i, []).append(own)
+        up = {i: i for i in of}
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for a, b in rows:
+            x, y = top(a), top(b)
+            if x != y and any(alike(s, t, num, den) for s in of[a] for t in of[b]):
+                up[x] = y
+                yield a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for part in steps(batch, 2):
-                rows = zip(part.column(1).to_pylist(), part.column(2), part.column(3))
-                for _, held in groupby(rows, key=lambda r: r[0]):
-                    held = list(held)
-                    for _, own in groupby(held, key=lambda r: r[2].as_py()):
-                        own = list(own)
-                        keep += similar(words_of(own[0][2].as_py()), [words_of(r[1].as_py()) for r in own], k, num, den)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    yield from zip(*(c.to_pylist() for c in batch.slice(at, 256).columns))
+
+        out: list[tuple[int, int]] = []
+        for _, own in groupby(rows(), key=lambda r: r[:3]):
+            ids, texts, asked = [], [], []
+            for _, _, _, kind, a, b, _, text in own:
+                if kind:
+                    asked.append((a, b))
+                else:
+                    ids.append(a)
+                    texts.append(text)
+            out += check(asked, ids, texts)
+            if len(out) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
         tidy()
 
-    return both.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _outermost(left: DataFrame) -> DataFrame:
@@ -278,7 +309,10 @@ def _dealt(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _compared(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, i, j, block, id, n, part, bits) -> pairs (a, b) that trees can't rule out, with the share of bits in common."""
+    """(key, i, j, block, id, n, part, bits) -> (key, i, j, a, b, like): pairs that trees can't rule out, with the share of bits in common.
+
+    A pair of several roots is left to the first of them in the order of keys, so that it meets as many others as can be there.
+    """
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "block", "id")
 
@@ -295,7 +329,9 @@ def _compared(rows: DataFrame, num: int, den: int) -> DataFrame:
         for p, q in pairs(x, y, num, den):
             a, b = ids_x[x.order[p]], ids_y[y.order[q]]
             like = np.bitwise_count(x.bits[p] & y.bits[q]).sum(axis=1, dtype=np.int64) / (x.sizes[p] + y.sizes[q])
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(like)], ["a", "b", "like"])
+            one = np.ones(len(a), np.int64)
+            columns = [held[0][0] * one, held[0][1] * one, held[0][2] * one, np.maximum(a, b), np.minimum(a, b), like]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "i", "j", "a", "b", "like"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
@@ -312,7 +348,8 @@ def _compared(rows: DataFrame, num: int, den: int) -> DataFrame:
         tidy()
 
     columns = ["key", "i", "j", "block", "id", "n", "part", "bits"]
-    return dealt.select(*columns).mapInArrow(run, "a long, b long, like double").groupBy("a", "b").agg(F.max("like").alias("like"))
+    found = dealt.select(*columns).mapInArrow(run, "key long, i long, j long, a long, b long, like double").where("a <> b")
+    return found.groupBy("a", "b").agg(F.min(F.struct("key", "i", "j")).alias("at"), F.max("like").alias("like")).select("at.*", "a", "b", "like")
 
 
 def join(df: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -341,16 +378,19 @@ def join(df: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 80, d
     best = votes.groupBy(F.col("id").alias("a")).agg(F.min_by(F.struct(F.col("first").alias("b"), F.col("n").alias("votes")), F.struct(-F.col("n"), "first")).alias("best")).select("a", "best.*")
     firsts = sound.groupBy(F.col("id").alias("a")).agg(F.min(F.col("n") * (den - num) / den).alias("few"))
     stars = stored(best.join(firsts, "a").where(F.col("votes") >= VOTES * F.col("few")).select("a", "b"), "jaccard-stars")
+    # a group for each document that leads others, in parts of about a block
+    leads = stars.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
+    led = stars.join(leads, "b").select(F.col("b").alias("key"), F.pmod(F.xxhash64("a"), F.col("blocks")).alias("i"), F.lit(0).cast("long").alias("j"), "a", "b", F.lit(0.0).alias("like"))
     texts = _texts(docs, stars, unique)
-    links = stored(_verified(stars, texts, k, num, den), "jaccard-links")
+    links = stored(_verified(led, texts, k, num, den), "jaccard-links")
     drop(texts)
     joined = components(links)
 
     part = lambda column, name: joined.select(F.col("v").alias(column), F.col("component").alias(name))
     placed = members.join(part("id", "own"), "id", "left").join(part("first", "top"), "first", "left")
     placed = placed.select("key", "id", "first", F.coalesce("own", "id").alias("part"), F.coalesce("top", "first").alias("top"))
-    alike = [F.bit_xor(F.xxhash64(F.lit(seed), "id")).alias(f"x{seed}") for seed in (1, 2)]
-    mixed = placed.groupBy("key").agg(F.max(F.col("part") != F.col("top")).alias("several"), F.count(F.lit(1)).alias("others"), F.first("first").alias("first"), F.first("top").alias("top"), *alike)
+    same = [F.bit_xor(F.xxhash64(F.lit(seed), "id")).alias(f"x{seed}") for seed in (1, 2)]
+    mixed = placed.groupBy("key").agg(F.max(F.col("part") != F.col("top")).alias("several"), F.count(F.lit(1)).alias("others"), F.first("first").alias("first"), F.first("top").alias("top"), *same)
     mixed = mixed.where("several").groupBy("first", "others", "x1", "x2").agg(F.min("key").alias("key"), F.first("top").alias("top"))
     mixed = stored(mixed.select("key", "first", "top", (F.col("others") + 1).alias("members")), "jaccard-mixed")
     left = placed.select("key", "id", "part").join(mixed.select("key", "members"), "key").select("key", "members", "id", "part")
@@ -360,21 +400,15 @@ def join(df: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 80, d
     left = stored(_outermost(every), "jaccard-left")
     drop(every)
     signed = left.join(sound.select("id", "n", "bits"), "id")
-    candidates = _compared(_dealt(signed, num, den), num, den).where("a <> b").join(stars, ["a", "b"], "left_anti")
-    candidates = stored(candidates, "jaccard-candidates")
+    candidates = stored(_compared(_dealt(signed, num, den), num, den).join(stars, ["a", "b"], "left_anti"), "jaccard-candidates")
     drop(left)
     texts = _texts(docs, candidates, unique)
-    likely = stored(candidates.groupBy("a").agg(F.max_by("b", F.struct("like", -F.col("b"))).alias("b")), "jaccard-likely")
-    more = stored(links.union(_verified(likely, texts, k, num, den)), "jaccard-links")
-    drop(joined)
-    joined = components(more)
-    rest = candidates.join(likely, ["a", "b"], "left_anti").join(part("a", "of_a"), "a", "left").join(part("b", "of_b"), "b", "left")
-    rest = stored(rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "jaccard-rest")
-    last = _verified(rest, texts, k, num, den)
-    found = components(more.union(last).union(copies))
+    more = stored(_verified(candidates, texts, k, num, den), "jaccard-more")
+    drop(texts)
+    found = components(links.union(more).union(copies))
     done = sketches.select("id", "n").join(found.withColumnRenamed("v", "id"), "id", "left")
     done = stored(done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")), "jaccard-done")
-    drop(sketches, copies, stars, texts, links, candidates, likely, more, rest, joined, found)
+    drop(sketches, copies, stars, links, candidates, more, joined, found)
     return done
 
 

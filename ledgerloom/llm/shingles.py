@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -62,35 +63,36 @@ def digest(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def similar(words: list[bytes], others: list[list[bytes]], k: int, num: int, den: int) -> list[bool]:
-    """Whether den * |A and B| >= num * |A or B| for the words of A and of each B, without hashes.
+def exact_sets(texts: Iterable[str | None], k: int) -> list[tuple[np.ndarray, int]]:
+    """The set of shingles of each text without hashes, and the number of its words if they are fewer than ``k``, else 0.
 
-    Words are numbered, so a shingle is a sequence of numbers; sequences that are equal get the same code.
+    Words are numbered over all texts, and a shingle is the number that its words' numbers make; where that would not
+    fit, the shingles' beginnings are numbered first. Sets of full shingles can be compared with each other, those of
+    shorter texts with those of as many words.
     """
     number: dict[bytes, int] = {}
-    ids = [np.array([number.setdefault(w, len(number)) for w in own], np.int64) for own in (words, *others)]
-    wide = len(number) + 1
-
-    def codes(own: np.ndarray, size: int) -> np.ndarray:
-        out = own[: len(own) - size + 1].copy()
-        for j in range(1, size):
-            out = out * wide + own[j : len(own) - size + 1 + j]
-        return np.unique(out)
-
-    if wide**k < 1 << 62:
-        sets = [codes(x, min(len(x), k)) for x in ids]
-    else:
-        padded = [np.append(x, np.full(max(0, k - len(x)), -1)) if len(x) else np.zeros(k - 1, np.int64) for x in ids]
-        rows = [np.stack([x[j : len(x) - k + 1 + j] for j in range(k)], axis=1) for x in padded]
-        _, code = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
-        ends = np.cumsum([len(r) for r in rows])
-        sets = [np.unique(code.ravel()[b - len(r) : b]) for r, b in zip(rows, ends)]
-    short = [len(x) if len(x) < k else 0 for x in ids]  # a sequence of fewer words equals only its like
-    out = []
-    for own, n in zip(sets[1:], short[1:]):
-        common = len(np.intersect1d(sets[0], own, assume_unique=True)) if n == short[0] else 0
-        out.append(bool(len(own)) and den * common >= num * (len(sets[0]) + len(own) - common))
-    return out
+    ids = []
+    for text in texts:
+        words = words_of(text)
+        ids.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
+    wide, codes, most = len(number) + 1, [x.copy() for x in ids], len(number) + 1
+    for j in range(1, k):
+        if most * wide >= 1 << 62:
+            _, flat = np.unique(np.concatenate(codes), return_inverse=True)
+            ends = np.cumsum([len(c) for c in codes])
+            codes, most = [flat[e - len(c) : e] for c, e in zip(codes, ends)], len(flat) + 1
+        codes = [c[: len(x) - j] * wide + x[j:] if len(x) > j else c for c, x in zip(codes, ids)]
+        most *= wide
+    return [(np.unique(c), len(x) if len(x) < k else 0) for c, x in zip(codes, ids)]
+
+
+def alike(a: tuple[np.ndarray, int], b: tuple[np.ndarray, int], num: int, den: int) -> bool:
+    """Whether den * |A and B| >= num * |A or B| for two of ``exact_sets``."""
+    (x, n), (y, m) = a, b
+    if n != m or not len(x) or not len(y) or den * min(len(x), len(y)) < num * max(len(x), len(y)):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return den * common >= num * (len(x) + len(y) - common)
 
 
 class Order:

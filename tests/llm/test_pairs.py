@@ -102,14 +102,16 @@ def test_blocks_of_a_large_root(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("k", [3, 5])
-def test_similar_texts_without_hashes(k, monkeypatch):
-    rows = [(t or "").encode().lower().split() for _, t in corpus(7)[::2]]
-    many = [w + [b"%d" % i for i in range(7000)] for w in rows[:3]]  # so many words that sequences no longer fit a number
-    for num in (80, 90, 100):
-        for own in (rows[0], rows[30], [], [b"word"], many[0]):
-            sets = [own_set(b" ".join(x).decode(), k) for x in (own, *rows, *many)]
-            want = [bool(s) and 100 * len(s & sets[0]) >= num * len(s | sets[0]) for s in sets[1:]]
-            assert shingles.similar(own, rows + many, k, num, 100) == want
+def test_similar_texts_without_hashes(k):
+    rows = [t for _, t in corpus(7)[::2]]
+    many = [(t or "") + "".join(f" {i}" for i in range(7000)) for t in rows[:3]]  # so many words that sequences no longer fit a number
+    for every in (rows + ["", None, "word", "word word"], rows + many):
+        sets, want = shingles.exact_sets(every, k), [own_set(t, k) for t in every]
+        assert [len(x) for x, _ in sets] == [len(x) for x in want]
+        for num in (80, 90, 100):
+            for i in range(0, len(every), 5):
+                got = [shingles.alike(sets[i], x, num, 100) for x in sets]
+                assert got == [bool(x) and 100 * len(x & want[i]) >= num * len(x | want[i]) for x in want]
 
 
 @pytest.mark.parametrize("num", [50, 80, 90, 100])
