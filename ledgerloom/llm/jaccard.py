@@ -208,16 +208,14 @@ def _frequent_roots(sketches: DataFrame) -> DataFrame:
     return own.join(F.broadcast(several), "key").where("id <> first").select("key", "id", "first")
 
 
-def _texts(docs: DataFrame, pairs: DataFrame, unique: bool) -> DataFrame:
-    """The documents of the pairs. What is broadcast are ``SPOTS`` bits at most, which keep most other texts from being shuffled."""
+def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The documents of the pairs, and some others. What is broadcast are ``SPOTS`` bits at most, which keep most other texts from being shuffled."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     spot = F.pmod(F.xxhash64("id"), F.lit(SPOTS))
     place = lambda x: F.shiftright(x, 6)
     marks = ids.select(spot.alias("spot")).groupBy(place(F.col("spot")).alias("place")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("spot", F.lit(64)).cast("int"))).alias("marks"))
     likely = docs.withColumn("spot", spot).join(F.broadcast(marks), place(F.col("spot")) == F.col("place"))
-    likely = likely.where(F.bit_get("marks", F.pmod("spot", F.lit(64)).cast("int")) == 1).select("id", "text")
-    asked = likely.join(ids, "id", "left_semi")
-    return stored(asked if unique else asked.distinct(), "jaccard-texts")
+    return likely.where(F.bit_get("marks", F.pmod("spot", F.lit(64)).cast("int")) == 1).select("id", "text")
 
 
 def _verified(asked: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -370,8 +368,8 @@ def join(df: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 80, d
     classes = sound.groupBy("digest").agg(F.min("id").alias("b"))
     copies = stored(sound.select("id", "digest").join(classes, "digest").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "jaccard-copies")
 
-    rare, unique = _rare_roots(sound), _unique(docs)
-    if unique:  # a copy is left to its class's smallest document, which has the same roots; an id that repeats can be of several classes
+    rare = _rare_roots(sound)
+    if _unique(docs):  # a copy is left to its class's smallest document, which has the same roots; an id that repeats can be of several classes
         rare = rare.alias("r").join(copies.alias("c"), F.col("r.id") == F.col("c.a"), "left").select("key", F.coalesce("b", "id").alias("id"), "first").where("id <> first")
     members = stored(rare.distinct().union(_frequent_roots(sound)), "jaccard-roots")
     votes = members.groupBy("id", "first").agg(F.count(F.lit(1)).alias("n"))
@@ -381,9 +379,7 @@ def join(df: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 80, d
     # a group for each document that leads others, in parts of about a block
     leads = stars.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
     led = stars.join(leads, "b").select(F.col("b").alias("key"), F.pmod(F.xxhash64("a"), F.col("blocks")).alias("i"), F.lit(0).cast("long").alias("j"), "a", "b", F.lit(0.0).alias("like"))
-    texts = _texts(docs, stars, unique)
-    links = stored(_verified(led, texts, k, num, den), "jaccard-links")
-    drop(texts)
+    links = stored(_verified(led, _texts(docs, stars), k, num, den), "jaccard-links")
     joined = components(links)
 
     part = lambda column, name: joined.select(F.col("v").alias(column), F.col("component").alias(name))
@@ -402,9 +398,7 @@ def join(df: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 80, d
     signed = left.join(sound.select("id", "n", "bits"), "id")
     candidates = stored(_compared(_dealt(signed, num, den), num, den).join(stars, ["a", "b"], "left_anti"), "jaccard-candidates")
     drop(left)
-    texts = _texts(docs, candidates, unique)
-    more = stored(_verified(candidates, texts, k, num, den), "jaccard-more")
-    drop(texts)
+    more = stored(_verified(candidates, _texts(docs, candidates), k, num, den), "jaccard-more")
     found = components(links.union(more).union(copies))
     done = sketches.select("id", "n").join(found.withColumnRenamed("v", "id"), "id", "left")
     done = stored(done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")), "jaccard-done")

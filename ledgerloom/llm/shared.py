@@ -50,10 +50,15 @@ def stored(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) -> DataF
 
 
 def drop(*tables: DataFrame) -> None:
-    """Removes the files of tables from ``stored`` that nothing reads any more."""
+    """Removes the files of tables from ``stored`` that nothing reads any more.
+
+    Shuffle files of finished steps go only when the driver's collector finds them unused, which a driver with
+    little to do hardly ever starts by itself, so that is asked for, too.
+    """
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def tidy() -> None:
