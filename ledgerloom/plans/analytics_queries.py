@@ -160,8 +160,8 @@ add(
 for _key, _order in (("date", "coalesce(dt, DATE '0001-01-01')"), ("merchant", "lower(coalesce(merchant_name, ''))"), ("amount", "total_c DESC"), ("confidence", "confidence_score DESC")):
     add(
         f"sort_{_key}",
-        lambda r, key=_key, down=_key in ("amount", "confidence"): A.ordered(A.valid(r), key, down).limit(500).select("file_id", "merchant_name", "total_c"),
-        f"SELECT file_id, merchant_name, total_c FROM r WHERE {_VALID} ORDER BY {_order}, file_id LIMIT 500",
+        lambda r, key=_key, down=_key in ("amount", "confidence"): A.ordered(A.valid(r), key, down).select("file_id", "merchant_name", "total_c"),
+        f"SELECT file_id, merchant_name, total_c FROM r WHERE {_VALID} ORDER BY {_order}, file_id",
     )
 add("topk", lambda r: A.top(A.valid(r).select("file_id", "total_c"), 25, "total_c", "file_id"), f"SELECT file_id, total_c FROM r WHERE {_VALID} ORDER BY total_c DESC, file_id LIMIT 25")
 add(
