@@ -318,18 +318,31 @@ def _compared(rows: DataFrame, num: int, den: int) -> DataFrame:
         bits = np.stack([folded(np.frombuffer(x[7], np.uint64), width) for x in held])
         return Tree(np.array([x[5] for x in held]), bits, np.array([x[6] for x in held])), np.array([x[4] for x in held])
 
+    def by_width(held: list[tuple]) -> dict[int, list[tuple]]:
+        out: dict[int, list[tuple]] = {}
+        for x in held:
+            out.setdefault(8 * len(x[7]), []).append(x)
+        return out
+
     def compare(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        width = 64 * min(len(x[7]) // 8 for x in held)
-        sides = [tree(list(g), width) for _, g in groupby(held, key=lambda x: x[3])]
-        (x, ids_x), (y, ids_y) = sides[0], sides[-1]
-        if held[0][1] != held[0][2] and len(sides) == 1:
+        """Bitmaps of one width make a tree: folded to that of a much smaller document, a large one's would be full."""
+        sides = [by_width(list(g)) for _, g in groupby(held, key=lambda x: x[3])]
+        same = held[0][1] == held[0][2]
+        if not same and len(sides) == 1:
             return
-        for p, q in pairs(x, y, num, den):
-            a, b = ids_x[x.order[p]], ids_y[y.order[q]]
-            like = np.bitwise_count(x.bits[p] & y.bits[q]).sum(axis=1, dtype=np.int64) / (x.sizes[p] + y.sizes[q])
-            one = np.ones(len(a), np.int64)
-            columns = [held[0][0] * one, held[0][1] * one, held[0][2] * one, np.maximum(a, b), np.minimum(a, b), like]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "i", "j", "a", "b", "like"])
+        for wide, own in sides[0].items():
+            for width, others in sides[-1].items():
+                low, high = (own, others) if wide < width else (others, own)
+                if same and width < wide or wide != width and max(x[5] for x in low) * den < num * min(x[5] for x in high):
+                    continue
+                x, ids_x = tree(own, min(wide, width))
+                y, ids_y = (x, ids_x) if same and wide == width else tree(others, min(wide, width))
+                for p, q in pairs(x, y, num, den):
+                    a, b = ids_x[x.order[p]], ids_y[y.order[q]]
+                    like = np.bitwise_count(x.bits[p] & y.bits[q]).sum(axis=1, dtype=np.int64) / (x.sizes[p] + y.sizes[q])
+                    one = np.ones(len(a), np.int64)
+                    columns = [held[0][0] * one, held[0][1] * one, held[0][2] * one, np.maximum(a, b), np.minimum(a, b), like]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "i", "j", "a", "b", "like"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
