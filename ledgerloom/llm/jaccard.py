@@ -287,7 +287,7 @@ def _outermost(left: DataFrame) -> DataFrame:
 
 
 def _dealt(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, members, id, n, part, bits) -> (key, i, j, block, ...): roots in blocks that are compared two by two.
+    """(key, members, id, which, n, part) -> (key, i, j, block, root, ...): roots in blocks that are compared two by two.
 
     A root of over ``BLOCK`` documents becomes one for each range of sizes, which holds the documents of that range, compared
     with each other and with those of the range below.
@@ -295,21 +295,22 @@ def _dealt(rows: DataFrame, num: int, den: int) -> DataFrame:
     large = F.col("members") > BLOCK
     step = math.log(den / num) * (1 + 1e-9) if num < den else 0
     level = F.floor(F.log("n") / step).cast("long") if step else F.col("n")
-    ranges = rows.withColumn("level", F.when(large, level).otherwise(0)).withColumn("upper", F.explode(F.when(large, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    ranges = rows.withColumn("root", F.col("key")).withColumn("level", F.when(large, level).otherwise(0)).withColumn("upper", F.explode(F.when(large, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     ranges = ranges.withColumn("key", F.when(large, F.xxhash64("key", F.col("level") + F.col("upper"))).otherwise(F.col("key")))
     sizes = ranges.groupBy("key").agg(F.count(F.when(F.col("upper") == 0, 1)).alias("own"), F.count(F.lit(1)).alias("all")).where("own > 0 AND `all` > 1")
     first, rest = (F.ceil(n / BLOCK).cast("int") for n in (F.col("own"), F.col("all") - F.col("own")))
     hashed = F.xxhash64("id")
     block = F.when(F.col("upper") == 0, F.pmod(hashed, first)).otherwise(first + F.pmod(hashed, F.greatest(rest, F.lit(1)))).cast("int")
     others = F.sequence(F.lit(0), F.when(F.col("upper") == 0, first + rest).otherwise(first) - 1)
-    placed = ranges.join(sizes, "key").select("key", "id", "n", "part", "bits", block.alias("block"), F.explode(others).alias("other"))
-    return placed.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "part", "bits")
+    placed = ranges.join(sizes, "key").select("key", "root", "id", "which", "n", "part", block.alias("block"), F.explode(others).alias("other"))
+    return placed.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", "id", "which", "n", "part")
 
 
 def _compared(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, i, j, block, id, n, part, bits) -> (key, i, j, a, b, like): pairs that trees can't rule out, with the share of bits in common.
+    """(key, i, j, block, id, n, part, bits, root, roots) -> (key, i, j, a, b, like): pairs that trees can't rule out, with the share of bits in common.
 
-    A pair of several roots is left to the first of them in the order of keys, so that it meets as many others as can be there.
+    A pair of several roots leaves its task only under the first of them in the order of keys, which both documents know by
+    their ``roots``: so it is one row however many roots it shares, and meets as many others as can be there.
     """
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "block", "id")
@@ -318,6 +319,10 @@ def _compared(rows: DataFrame, num: int, den: int) -> DataFrame:
         bits = np.stack([folded(np.frombuffer(x[7], np.uint64), width) for x in held])
         return Tree(np.array([x[5] for x in held]), bits, np.array([x[6] for x in held])), np.array([x[4] for x in held])
 
+    def first(x: tuple, y: tuple) -> bool:
+        """Whether the root where the two meet is the first that they share."""
+        return x[9] == y[9] == x[8] or x[8] == min(set(x[10]).intersection(y[10]))
+
     def by_width(held: list[tuple]) -> dict[int, list[tuple]]:
         out: dict[int, list[tuple]] = {}
         for x in held:
@@ -338,6 +343,8 @@ def _compared(rows: DataFrame, num: int, den: int) -> DataFrame:
                 x, ids_x = tree(own, min(wide, width))
                 y, ids_y = (x, ids_x) if same and wide == width else tree(others, min(wide, width))
                 for p, q in pairs(x, y, num, den):
+                    here = np.array([first(own[u], others[v]) for u, v in zip(x.order[p].tolist(), y.order[q].tolist())], bool)
+                    p, q = p[here], q[here]
                     a, b = ids_x[x.order[p]], ids_y[y.order[q]]
                     like = np.bitwise_count(x.bits[p] & y.bits[q]).sum(axis=1, dtype=np.int64) / (x.sizes[p] + y.sizes[q])
                     one = np.ones(len(a), np.int64)
@@ -358,9 +365,9 @@ def _compared(rows: DataFrame, num: int, den: int) -> DataFrame:
             yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
         tidy()
 
-    columns = ["key", "i", "j", "block", "id", "n", "part", "bits"]
-    found = dealt.select(*columns).mapInArrow(run, "key long, i long, j long, a long, b long, like double").where("a <> b")
-    return found.groupBy("a", "b").agg(F.min(F.struct("key", "i", "j")).alias("at"), F.max("like").alias("like")).select("at.*", "a", "b", "like")
+    columns = ["key", "i", "j", "block", "id", "n", "part", "bits", "root", F.get("roots", F.lit(0)).alias("least"), "roots"]
+    found = dealt.select(*columns).mapInArrow(run, "key long, i long, j long, a long, b long, like double")
+    return found.where("a <> b")
 
 
 def join(df: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -382,7 +389,8 @@ def join(df: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 80, d
     copies = stored(sound.select("id", "digest").join(classes, "digest").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "jaccard-copies")
 
     rare = _rare_roots(sound)
-    if _unique(docs):  # a copy is left to its class's smallest document, which has the same roots; an id that repeats can be of several classes
+    unique = _unique(docs)
+    if unique:  # a copy is left to its class's smallest document, which has the same roots; an id that repeats can be of several classes
         rare = rare.alias("r").join(copies.alias("c"), F.col("r.id") == F.col("c.a"), "left").select("key", F.coalesce("b", "id").alias("id"), "first").where("id <> first")
     members = stored(rare.distinct().union(_frequent_roots(sound)), "jaccard-roots")
     votes = members.groupBy("id", "first").agg(F.count(F.lit(1)).alias("n"))
@@ -408,8 +416,13 @@ def join(df: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 80, d
     drop(members, mixed)
     left = stored(_outermost(every), "jaccard-left")
     drop(every)
-    signed = left.join(sound.select("id", "n", "bits"), "id")
-    candidates = stored(_compared(_dealt(signed, num, den), num, den).join(stars, ["a", "b"], "left_anti"), "jaccard-candidates")
+    # bitmaps join when it is known where documents go, so that they move there at once
+    texts = sound.select("id", F.xxhash64("digest").alias("which"), "n", "bits")
+    texts = texts if unique else texts.dropDuplicates(["id", "which"])
+    roots = left.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("roots"))  # no more than the first shingles of the document
+    dealt = _dealt(left.join(texts.select("id", "which", "n"), "id"), num, den)
+    signed = dealt.join(texts.select("id", "which", "bits").join(roots, "id"), ["id", "which"])
+    candidates = stored(_compared(signed, num, den).join(stars, ["a", "b"], "left_anti"), "jaccard-candidates")
     drop(left)
     more = stored(_verified(candidates, _texts(docs, candidates), k, num, den), "jaccard-more")
     found = components(links.union(more).union(copies))
