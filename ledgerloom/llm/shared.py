@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parents[1]
 _shipped: set[str] = set()
+_open: dict[str, DataFrame] = {}  # tables of ``stored`` that aren't dropped yet, by path
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,9 +47,15 @@ def stored(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) -> DataF
     df.write.partitionBy(*partition_by).parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made.stored_at = path
+    _open[path] = made
     return made
 
 
+def held(spark: SparkSession) -> dict[str, DataFrame]:
+    """Tables of ``stored`` in this application that aren't dropped yet, by path."""
+    return {path: df for path, df in _open.items() if df.sparkSession.sparkContext is spark.sparkContext}
+
+
 def drop(*tables: DataFrame) -> None:
     """Removes the files of tables from ``stored`` that nothing reads any more.
 
@@ -58,6 +65,7 @@ def drop(*tables: DataFrame) -> None:
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _open.pop(df.stored_at, None)
     tables[0].sparkSession._jvm.System.gc()
 
 
