@@ -246,6 +246,20 @@ def test_pipeline_drops_only_near_duplicates_where_ids_repeat(spark, sf):
         assert sorted((tuple(r) for r in p.near_duplicates(spark, df.repartition(parts), sf).collect()), key=str) == want
 
 
+def test_pipeline_stages_leave_no_tables_that_nothing_reads(spark, sf):
+    import corpus_pipeline as p
+    from ledgerloom.llm.shared import held
+
+    docs, before = spark.read.parquet(f"{sf}/documents.parquet"), set(held(spark))
+    good = p.quality_rules(spark, docs, sf)
+    own = set(held(spark)) - before
+    lazily = p.secret_scan(spark, good, sf)  # docs that still read the first stage's tables keep them
+    n = lazily.count()
+    assert any("quality-rows" in path for path in own & set(held(spark))) and n == good.count()
+    p.byte_bpe(spark, docs, sf)
+    assert not own & set(held(spark))
+
+
 def test_pipeline_stages_take_clashing_columns_and_no_rows(spark, sf):
     import corpus_pipeline as p
 
