@@ -134,7 +134,7 @@ def write_all(df: DataFrame, folder: str, wanted: str = "csv", names: tuple[str,
     jobs.append(("spreadsheet", "info", lambda: export.write(envelope(df), f"{folder}/receipts.info", "json")))
     for n in names:
         jobs.append(("template", n, lambda n=n: export.write(export.apply(A.valid(df), export.TEMPLATES[n]), f"{folder}/{n}.csv")))
-    jobs.append(("report", "txt", lambda: report(df).sort(F.array_position(F.array(*map(F.lit, SECTIONS)), "section"), "place", "line").select("line").write.mode("overwrite").text(f"{folder}/report.txt")))
+    jobs.append(("report", "txt", lambda: report(df).sort(F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("section")), "place", "line").select("line").write.mode("overwrite").text(f"{folder}/report.txt")))
     for kind, name, job in jobs:
         try:
             job()
