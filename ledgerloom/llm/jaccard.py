@@ -309,11 +309,12 @@ def _dealt(rows: DataFrame, num: int, den: int) -> DataFrame:
 def _compared(rows: DataFrame, num: int, den: int) -> DataFrame:
     """(key, i, j, block, id, n, part, bits, root, roots) -> (key, i, j, a, b, like): pairs that trees can't rule out, with the share of bits in common.
 
+    Rows of one (key, i, j) are in one partition.
+
     A pair of several roots leaves its task only under the first of them in the order of keys, which both documents know by
     their ``roots``: so it is one row however many roots it shares, and meets as many others as can be there.
     """
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "block", "id")
+    dealt = rows.sortWithinPartitions("key", "i", "j", "block", "id")
 
     def tree(held: list[tuple], width: int) -> tuple[Tree, np.ndarray]:
         bits = np.stack([folded(np.frombuffer(x[7], np.uint64), width) for x in held])
@@ -370,6 +371,24 @@ def _compared(rows: DataFrame, num: int, den: int) -> DataFrame:
     return found.where("a <> b")
 
 
+def _sent(dealt: DataFrame, left: DataFrame, signed: DataFrame) -> DataFrame:
+    """The rows of _dealt with the (id, which, bits, roots) of their documents, all rows of one (key, i, j) in one partition.
+
+    Bitmaps are what is heavy here, and a document of a group of near copies stands under several roots of that group. Such roots mostly have
+    the same least root among those of their documents, and those with the same one go to the same task, to which a document's bitmap is
+    sent once. Blocks of large roots are spread by themselves.
+    """
+    parts = max(1, int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    least = left.select("key", F.min("key").over(Window.partitionBy("id")).alias("least"))
+    near = least.groupBy(F.col("key").alias("root")).agg(F.min("least").alias("near"))
+    alone = (F.col("key") == F.col("root")) & (F.col("i") == 0) & (F.col("j") == 0)
+    task = F.pmod(F.xxhash64(F.when(alone, F.col("near")).otherwise(F.col("key")), "i", "j"), F.lit(parts)).cast("int")
+    rows = dealt.join(near, "root").select("id", "which", task.alias("task"), F.struct("key", "i", "j", "block", "root", "n", "part").alias("row"))
+    once = rows.repartition(parts, "id", "which").groupBy("id", "which", "task").agg(F.collect_list("row").alias("rows"))  # its roots, and this task's share of the blocks of large ones
+    there = once.join(signed, ["id", "which"]).repartitionById(parts, F.col("task"))
+    return there.select("id", "which", "bits", "roots", F.explode("rows").alias("row")).select("id", "which", "bits", "roots", "row.*")
+
+
 def join(df: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Returns (``id_col``, n_shingles, component_id) of every row.
 
@@ -421,8 +440,8 @@ def join(df: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 80, d
     texts = texts if unique else texts.dropDuplicates(["id", "which"])
     roots = left.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("roots"))  # no more than the first shingles of the document
     dealt = _dealt(left.join(texts.select("id", "which", "n"), "id"), num, den)
-    signed = dealt.join(texts.select("id", "which", "bits").join(roots, "id"), ["id", "which"])
-    candidates = stored(_compared(signed, num, den).join(stars, ["a", "b"], "left_anti"), "jaccard-candidates")
+    sent = _sent(dealt, left, texts.select("id", "which", "bits").join(roots, "id"))
+    candidates = stored(_compared(sent, num, den).join(stars, ["a", "b"], "left_anti"), "jaccard-candidates")
     drop(left)
     more = stored(_verified(candidates, _texts(docs, candidates), k, num, den), "jaccard-more")
     found = components(links.union(more).union(copies))
