@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, mixing, pivots, quality, secrets, sharding, tokenfiles, warc
+from . import bpe, chat, codes, jaccard, mixing, pivots, quality, secrets, sharding, tokenfiles, trie, warc
 from .shared import new_path, table
 
 
@@ -105,6 +105,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.select("doc_id", "size", "source_size", "target", "taken", F.size("positions").cast("long").alias("copies"), first.alias("position_ppm"))
 
 
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encode(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text", spliced=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embeddings": op1_embeddings,
     "op2_chat": op2_chat,
@@ -116,8 +124,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "op12_codes": op12_codes,
+    "op13_trie": op13_trie,
 }
 
+
 def _op2_sql() -> str:
     text = f"replace(text, '{chat.ESCAPE}', '{chat.ESCAPE}{chat.SELF}')"
     for control, code in chat.CODES.items():
@@ -154,7 +165,51 @@ _OP10_SQL = """
     FROM n
 """
 
+def _op12_sql() -> str:
+    """Six rounds spelled out; a distance and its entry are compared as one number."""
+    parts, n = codes.PARTS, codes.ENTRIES
+    rounds = []
+    for k in range(codes.ROUNDS + 1):
+        rounds.append(f"""a{k} AS MATERIALIZED (SELECT vec_id, p.p, min(list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * {n} + e) AS m
+          FROM p JOIN b{k} b ON p.p = b.p GROUP BY vec_id, p.p)""")
+        if k < codes.ROUNDS:
+            rounds.append(f"""s{k} AS (SELECT p, e, list(((s - (s % n + n) % n) // n)::BIGINT ORDER BY i) AS x FROM (
+            SELECT p.p, m % {n} AS e, i, sum(p.x[i]) AS s, count(*) AS n FROM p JOIN a{k} a ON p.vec_id = a.vec_id AND p.p = a.p, range(1, 1 + (SELECT max(len(x)) FROM p)) t(i) GROUP BY p.p, m % {n}, i) GROUP BY p, e),
+          b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(s.x, b.x) AS x FROM b{k} b LEFT JOIN s{k} s ON b.p = s.p AND b.e = s.e)""")
+    return f"""
+        WITH v AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS place, list_transform(embedding, lambda x: floor({codes.SCALE} * x::DOUBLE)::BIGINT) AS x
+          FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS MATERIALIZED (SELECT vec_id, label, place, p, x[p * len(x) // {parts} + 1 : (p + 1) * len(x) // {parts}] AS x FROM v, range({parts}) t(p)),
+        b0 AS (SELECT p, place - 1 AS e, x FROM p WHERE place <= {n}),
+        {", ".join(rounds)},
+        f AS (SELECT vec_id, string_agg(printf('%02x', (m % {n})::INT), '' ORDER BY p) AS code, sum(m // {n})::BIGINT AS error FROM a{codes.ROUNDS} GROUP BY vec_id)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+          (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM b{codes.ROUNDS}) AS codebooks_sha256
+        FROM f JOIN v USING (vec_id)
+    """
+
+
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda j: ascii(substr(conv_id::VARCHAR, j::INT, 1))::BIGINT)),
+  lambda s, b: list_reduce(list_concat([xor(s, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+_OP13_SQL = f"""
+    WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+      sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said, strlen(coalesce(text, '')) AS bytes FROM conversations WHERE conv_id IS NOT NULL),
+    l AS (SELECT conv_id, max(i) AS n FROM t GROUP BY conv_id),
+    c AS (SELECT l.conv_id, base, h, least(h, coalesce(b.n, 0)) AS taken FROM (SELECT conv_id, conv_id - conv_id % {trie.FAMILY} AS base, {_CRC} % {trie.SPLICE} AS h FROM l) l LEFT JOIN l b ON b.conv_id = base),
+    r AS (SELECT c.conv_id, i AS depth, said, bytes FROM c JOIN t ON t.conv_id = base AND i <= h UNION ALL SELECT conv_id, taken + i - h, said, bytes FROM c JOIN t USING (conv_id) WHERE i > h),
+    p AS MATERIALIZED (SELECT conv_id, depth, bytes, string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY depth) AS key FROM r UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+    q AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM p),
+    n AS MATERIALIZED (SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(bytes) AS own,
+      sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM q GROUP BY key, depth),
+    k AS (SELECT key[: length(key) - 64] AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+    s AS (SELECT p.key, sum(own)::BIGINT AS saved_tokens, count(*) FILTER (n_children IS NULL) AS n_leaves FROM n LEFT JOIN k USING (key) JOIN p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY p.key)
+    SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+    FROM n JOIN s USING (key) LEFT JOIN k USING (key) LEFT JOIN n u ON u.key = n.key[: length(n.key) - 64] AND n.depth > 0
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_codes": _op12_sql(),
+    "op13_trie": _OP13_SQL,
     "op2_chat": _op2_sql(),
     "op10_mixing": _OP10_SQL,
     "op7_warc": """
