@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, codes, jaccard, mixing, pivots, quality, secrets, sharding, tokenfiles, trie, warc
+from . import bpe, chat, codes, jaccard, mixing, pivots, quality, secrets, sharding, tokenfiles, trie, warc, wrappers
 from .shared import new_path, table
 
 
@@ -105,6 +105,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.select("doc_id", "size", "source_size", "target", "taken", F.size("positions").cast("long").alias("copies"), first.alias("position_ppm"))
 
 
+def op11_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf_dir, "pages"), "page_id", "url", "html").drop("n_template")
+
+
 def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.encode(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
 
@@ -124,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "op11_pages": op11_pages,
     "op12_codes": op12_codes,
     "op13_trie": op13_trie,
 }
@@ -207,7 +212,16 @@ _OP13_SQL = f"""
     FROM n JOIN s USING (key) LEFT JOIN k USING (key) LEFT JOIN n u ON u.key = n.key[: length(n.key) - 64] AND n.depth > 0
 """
 
+#: For pages with one article of headings, paragraphs and inline elements, as the tables have them, where no wrapper finds a constant block in one.
+_OP11_SQL = r"""
+    WITH b AS (SELECT page_id, url, list_transform(string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(p|h1)>'),
+      lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS x FROM pages),
+    t AS (SELECT page_id, url, array_to_string(list_filter(x, lambda y: y <> ''), chr(10)) AS text FROM b)
+    SELECT page_id, url, text, length(text) AS n_chars FROM t
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_pages": _OP11_SQL,
     "op12_codes": _op12_sql(),
     "op13_trie": _OP13_SQL,
     "op2_chat": _op2_sql(),
