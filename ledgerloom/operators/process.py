@@ -1,15 +1,16 @@
-"""From recognised candidates to records: text, fields, validation; what fails becomes a row with its error."""
+"""From pictures and recognised candidates to records: quality, steps, text, fields, items, validation; what fails becomes a row with its stage and error."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import merchants as M
 from ledgerloom.functions import text as T
 from ledgerloom.functions import validation as V
-from ledgerloom.operators import ocr
+from ledgerloom.operators import ocr, pictures
 
-NO_METHOD = "All OCR methods failed"
+NO_METHOD, NO_TEXT = "All OCR methods failed", "No text"
 
 
 def eligible(files: DataFrame) -> DataFrame:
@@ -35,9 +36,34 @@ def text_only(df: DataFrame, threshold: float = 0.8) -> DataFrame:
     )
 
 
-def process(df: DataFrame, as_of=None, threshold: float = 0.8) -> DataFrame:
-    """One record for each row: text, fields and scores, validation if a day is given; failed rows have no fields."""
+def gated(df: DataFrame, **chain) -> DataFrame:
+    """The picture's way before recognition: quality measured, the chain of steps applied, in one pass over rows with data, width and height.
+
+    A picture that can't be loaded is a ``problem`` of its row, which then fails at stage ``load``. One whose step failed goes on as it
+    was, and ``failed_step`` and ``step_error`` say so. ``chain`` has arguments of ``pictures.preprocessed``.
+    """
+    done = pictures.preprocessed(df, measure=True, **chain)
+    known = F.col("problem") if "problem" in df.columns else F.lit(None).cast("string")
+    return done.withColumn("problem", F.coalesce(known, F.when(F.col("failed_step") == pictures.LOAD, F.col("step_error"))))
+
+
+def process(df: DataFrame, as_of=None, threshold: float = 0.8, parse: bool = False) -> DataFrame:
+    """One record for each row: text, fields, items and scores, validation if a day is given; failed rows have no fields.
+
+    ``stage`` is where a row failed, null for a whole record: ``load`` (it has a ``problem``), ``recognise`` (no engine read it), ``extract`` (nothing was
+    written on it); ``error`` says why. With ``parse`` merchant templates and further items follow extraction, before validation.
+    """
     read = text_only(df, threshold).withColumnsRenamed({"method": "ocr_method", "confidence": "ocr_confidence"})
-    found = T.extract(read.withColumn("shown", F.when(F.col("success") & (F.col("raw_text") != ""), F.col("raw_text"))), "shown")
-    found = found.withColumn("confidence_score", F.when(F.col("shown").isNotNull(), F.col("confidence_score"))).drop("shown")
-    return V.validate(found, as_of) if as_of else found
+    blank = F.col("success") & (F.col("raw_text") == "")
+    read = read.withColumn("stage", F.when(F.col("problem").isNotNull(), "load").when(~F.col("success"), "recognise").when(blank, "extract"))
+    read = read.withColumn("error", F.coalesce("error", F.when(blank, NO_TEXT)))
+    found = T.extract(read.withColumn("shown", F.when(F.col("stage").isNull(), F.col("raw_text"))), "shown")
+    if parse:
+        found = M.parse(found, "shown")
+    whole = F.col("stage").isNull()
+    found = found.withColumn("confidence_score", F.when(whole, F.col("confidence_score"))).drop("shown")
+    if not as_of:
+        return found
+    checked = V.validate(found, as_of)
+    of = ("scores", "issues", "warnings", "validation_score", "is_valid")
+    return checked.withColumns({c: F.when(whole, F.col(c)) for c in of})

@@ -12,10 +12,11 @@ from ledgerloom.functions import validation as V
 from ledgerloom.operators import analytics as A
 from ledgerloom.operators import ocr, process
 from ledgerloom.plans import export, sinks
+from ledgerloom.plans import picture_queries
 from ledgerloom.plans.cache_queries import _WORDS, _words
 from ledgerloom.plans.export_queries import _usd
-from ledgerloom.plans.scoring_queries import _OVERALL, AS_OF, _facts
-from ledgerloom.plans.text_queries import _first
+from ledgerloom.plans.scoring_queries import _CONS, _FACTS, _ISSUES, _OVERALL, _PTS, AS_OF, _facts, _joined
+from ledgerloom.plans.text_queries import _ADDRESS, _C, _CLEAN, _LINES, _first
 from ledgerloom.functions import text as T
 from ledgerloom.sources import files, library
 from ledgerloom.sources.records import money_sql, read, records, sql
@@ -90,20 +91,69 @@ _CHOSEN = """WITH x AS (SELECT *, k % 17 = 0 AS bad, k % 6 <> 0 AND k * 3 % 101
     (CASE WHEN bad THEN 0 WHEN v THEN k * 3 % 101 WHEN d THEN k * 5 % 101 WHEN s THEN k * 7 % 101 ELSE 0 END) / 100.0::DOUBLE AS conf,
     CASE WHEN bad THEN '' WHEN v THEN 'vision' || chr(10) || raw_text WHEN d THEN 'doc' || chr(10) || raw_text WHEN s THEN 'tess' || chr(10) || raw_text ELSE '' END AS raw_text,
     CASE WHEN bad THEN 'cannot read image' WHEN NOT (v OR d OR s) THEN 'All OCR methods failed' END AS error FROM x)"""
+#: Pictures in SQL: those that can be loaded, by whether they are there and fit.
+PICTURED = f"""FROM (SELECT t.*, CASE WHEN k % 17 = 0 THEN 'cannot read image' WHEN k % 8 % 5 IN (1, 3) AND q.id IS NOT NULL THEN 'ValueError: Could not load image' WHEN q.id IS NULL THEN 'no picture' END AS problem,
+    CASE WHEN q.id IS NOT NULL THEN CASE WHEN k % 8 % 5 = 3 THEN {picture_queries.SIDE + 1} WHEN k % 8 % 5 = 1 THEN {picture_queries.SIDE} ELSE (w * {picture_queries.SMALL} // greatest(w, h))::INT END END AS made_width,
+    CASE WHEN k % 8 % 5 NOT IN (1, 3) THEN round(b, 5) END AS brightness
+  FROM t LEFT JOIN (SELECT vec_id // 64 AS id, count(*) AS h, 64 AS w, avg(list_avg(list_transform(embedding, lambda x: greatest(0, least(255, floor(x::DOUBLE * 256) + 128))))) AS b FROM embeddings WHERE len(embedding) = 64 GROUP BY 1) q ON q.id = k % 8) t)"""
 _read = ("file_id", "success", "error")
 QUERIES["text_only"] = lambda spark, sf_dir: process.text_only(_candidates(spark, sf_dir)).select(*_read, "method", "confidence", F.md5("raw_text").alias("text_md5"))
 SQL["text_only"] = sql(f"{_CHOSEN} SELECT file_id, good AS success, error, method, conf AS confidence, md5(raw_text) AS text_md5 FROM y", text=True)
 
 
+#: Pictures that records share; some can't be loaded, some ids have none.
+SHARED = 8
+
+
+def _pictured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates and what became of their pictures; each picture is worked on once."""
+    small = {"resize": {"side": picture_queries.SMALL}, "deskew": {"votes": picture_queries.VOTES}}
+    one = process.gated(picture_queries.misfits(spark, sf_dir).where(F.col("picture_id") < SHARED), options=small)
+    one = one.select("picture_id", F.col("problem").alias("unread"), "made_width", "failed_step", F.round("quality.brightness", 5).alias("brightness"), F.lit(True).alias("there"))
+    rows = _candidates(spark, sf_dir).withColumn("picture_id", F.col("k") % SHARED).join(one, "picture_id", "left")
+    return rows.withColumn("problem", F.coalesce("problem", "unread", F.when(F.col("there").isNull(), "no picture")))
+
+
+_MONEY = ("total_amount", "subtotal", "tax_amount", "tip_amount")
+_KEPT = ("merchant_name", "merchant_address", "merchant_phone", "time", "payment_method", "card_last_four", "receipt_number", "is_valid", "made_width", "brightness", "stage", "ocr_method", "ocr_confidence")
+
+
 def _processed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = process.process(_candidates(spark, sf_dir))
-    return x.select(*_read, "ocr_method", "ocr_confidence", F.col("total_amount").cast("string").alias("total"), F.col("tax_amount").cast("string").alias("tax"), "receipt_number", "merchant_phone", F.col("confidence_score").isNull().alias("unscored"))
+    x = process.process(_pictured(spark, sf_dir), AS_OF)
+    told = F.array_join(F.transform("items", lambda i: F.concat(i["description"], F.lit("="), i["total_price"].cast("string"))), ";")
+    scores = [F.round(c, 6).alias(c) for c in ("confidence_score", "validation_score")]
+    return x.select(*_read, *_KEPT, F.col("date").cast("string").alias("date"), *(F.col(c).cast("string").alias(c) for c in _MONEY), F.size("items").alias("n_items"), F.md5(told).alias("items_md5"), *scores,
+                    F.array_join(F.transform("issues", lambda i: i["type"]), ",").alias("issues"))
 
 
 QUERIES["process_records"] = _processed
+_PHONE = "coalesce(" + " OR ".join(f"regexp_matches(merchant_phone, '{p}')" for p in V.PHONES) + ", false)"
+_NAME = "(0.5 * (coalesce(length(merchant_name), 0) >= 3)::INT + 0.3 * (coalesce(length(merchant_name), 0) BETWEEN 3 AND 50)::INT)"
+_cents = lambda c: f"coalesce(replace({c}, '.', '')::BIGINT, 0)"
 SQL["process_records"] = sql(
-    f"""{_CHOSEN} SELECT file_id, good AS success, error, method AS ocr_method, conf AS ocr_confidence, {_first(T.TOTAL, 1)} AS total, {_first(T.TAX, 1)} AS tax,
-    coalesce({_first(T.NUMBERS[0], 1)}, {_first(T.NUMBERS[1], 1)}) AS receipt_number, {_first(T.PHONE)} AS merchant_phone, NOT good AS unscored FROM y""", text=True,
+    f"""{_CHOSEN.replace("k % 17 = 0 AS bad", "problem IS NOT NULL AS bad").replace("'cannot read image'", "problem").replace("SELECT *, problem", "SELECT t.*, made_width, brightness, problem").replace("FROM t)", PICTURED)},
+    e AS (SELECT *, {_CLEAN.format("raw_text")} AS cl FROM y WHERE good),
+    d AS (SELECT k, {_first(T.DATES[0])} AS a, {_first(T.DATES[1])} AS b FROM e),
+    dd AS (SELECT k, string_split(replace(a, '-', '/'), '/') AS x, string_split(replace(b, '-', '/'), '/') AS y FROM d),
+    p AS (SELECT e.k, file_id, raw_text, conf AS ocr_confidence, CASE WHEN length(cl) > 3 AND NOT ({_ADDRESS.replace(_C, 'cl')}) AND NOT regexp_matches(cl, '{T.PHONE}') AND (length(cl) > 8 OR NOT (upper(cl) = cl AND lower(cl) <> cl)) THEN cl END AS merchant_name,
+      CASE WHEN {_ADDRESS.replace(_C, 'cl')} THEN cl END AS merchant_address, {_first(T.PHONE)} AS merchant_phone,
+      coalesce(try_cast((CASE WHEN length(x[3]) = 4 THEN x[3] WHEN length(x[3]) = 2 THEN (CASE WHEN x[3]::INT >= 69 THEN '19' ELSE '20' END) || x[3] END) || '-' || lpad(x[1], 2, '0') || '-' || lpad(x[2], 2, '0') AS DATE),
+        try_cast(y[1] || '-' || lpad(y[2], 2, '0') || '-' || lpad(y[3], 2, '0') AS DATE)) AS dt, regexp_replace({_first(T.TIME)}, '\\s+$', '') AS tm,
+      {_first(T.TOTAL, 1)} AS total_amount, {_first(T.SUBTOTAL, 1)} AS subtotal, {_first(T.TAX, 1)} AS tax_amount, {_first(T.TIP, 1)} AS tip_amount,
+      split_part({_first(T.PAYMENT)}, ' ', 1) AS payment_method, nullif({_first(T.PAYMENT, 1)}, '') AS card_last_four, coalesce({_first(T.NUMBERS[0], 1)}, {_first(T.NUMBERS[1], 1)}) AS receipt_number FROM e JOIN dd ON dd.k = e.k),
+    {_LINES.replace("FROM t)", "FROM p)").replace("l AS", "pl AS")},
+    pi AS (SELECT k, n, regexp_extract(line, '{T.ITEM}', 1) AS description, NULL::DOUBLE AS quantity, NULL::DOUBLE AS unit_c, replace(regexp_extract(line, '{T.ITEM}', 2), '.', '')::BIGINT AS line_c, regexp_extract(line, '{T.ITEM}', 2) AS price FROM pl WHERE regexp_matches(line, '{T.ITEM}')),
+    pc AS (SELECT *, {_cents('total_amount')} AS total_c, {_cents('subtotal')} AS subtotal_c, {_cents('tax_amount')} AS tax_c, {_cents('tip_amount')} AS tip_c FROM p),
+    {_FACTS.format(base="pc").replace("FROM i1", "FROM pi")},
+    g AS (SELECT *, ocr_confidence * 0.4::DOUBLE + {_PTS} / 8.0::DOUBLE * 0.3::DOUBLE + {_CONS} * 0.2::DOUBLE
+      + least(1.0, 0.5 + CASE WHEN length(merchant_name) > 3 THEN 0.2 ELSE 0 END + CASE WHEN has_date THEN 0.2 ELSE 0 END + CASE WHEN has_total THEN 0.1 ELSE 0 END)::DOUBLE * 0.1::DOUBLE AS confidence_score FROM f),
+    v AS (SELECT *, ({_OVERALL.replace("(merchant_phone IS NOT NULL)", _PHONE).replace("0.8 * (coalesce(length(merchant_name), 0) >= 3)::INT", _NAME)}) AS validation_score, {_joined([x for pairs in _ISSUES.values() for x in pairs])} AS issues FROM g),
+    w AS (SELECT k, string_agg(description || '=' || price, ';' ORDER BY n) AS told FROM pi GROUP BY k)
+    SELECT y.file_id, good AS success, error, v.merchant_name, merchant_address, merchant_phone, tm AS time, payment_method, card_last_four, receipt_number,
+      CASE WHEN good THEN round(validation_score, 9) >= 0.6 AND has_total END AS is_valid, made_width, brightness, CASE WHEN problem IS NOT NULL THEN 'load' WHEN NOT good THEN 'recognise' END AS stage, method AS ocr_method, conf AS ocr_confidence,
+      dt::VARCHAR AS date, total_amount, subtotal, tax_amount, tip_amount, coalesce(v.n_items, 0)::INT AS n_items, md5(coalesce(told, '')) AS items_md5,
+      round(confidence_score, 6) AS confidence_score, round(validation_score, 6) AS validation_score, CASE WHEN good THEN issues END AS issues
+    FROM (SELECT k, file_id, good, error, problem, made_width, brightness, method, conf FROM y) y LEFT JOIN v ON v.k = y.k LEFT JOIN w ON w.k = y.k""", text=True,
 )
 QUERIES["batch_counts"] = lambda spark, sf_dir: process.text_only(_candidates(spark, sf_dir)).groupBy("success", "method", "error").agg(F.count(F.lit(1)).alias("n"))
 SQL["batch_counts"] = sql(f"{_CHOSEN} SELECT good AS success, method, error, count(*) AS n FROM y GROUP BY ALL", text=True)
