@@ -63,7 +63,6 @@ add("ingest", lambda c: cache.ingest(c.select("file_id", "digest", F.coalesce("s
   UNION ALL SELECT file_id, CASE WHEN coalesce(size, 0) = 0 THEN 'error' ELSE 'processed' END, CASE WHEN coalesce(size, 0) = 0 THEN 'empty' WHEN first <> file_id THEN 'duplicate content' END FROM n""")
 QUERIES["cache_latest"] = lambda spark, sf_dir: cache.latest(read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ("ts", "event_id")).select("user_id", "event_id", "event_type")
 SQL["cache_latest"] = "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
-QUERIES["src_images"] = lambda spark, sf_dir: files.images(spark, sf_dir, "*.parquet").select("length")
 
 
 # Recognition: candidates and words from orders and line items.
@@ -117,9 +116,26 @@ _VARIED = f"""{_HASH}, z AS (SELECT vec_id, h FROM hh UNION ALL SELECT vec_id +
 _pairs = lambda spark, sf_dir: dedup.hash_pairs(_hashes(spark, sf_dir), "vec_id", "h")
 QUERIES["dup_pairs"] = _pairs
 SQL["dup_pairs"] = f"WITH {_VARIED} SELECT * FROM pr"
-QUERIES["best_match"] = lambda spark, sf_dir: _pairs(spark, sf_dir).groupBy("id_2").agg(F.max(F.struct("similarity", (-F.col("id_1")).alias("o"))).alias("x")).select("id_2", (-F.col("x.o")).alias("match_id"), F.col("x.similarity").alias("similarity"))
+QUERIES["best_match"] = lambda spark, sf_dir: dedup.best_matches(_hashes(spark, sf_dir), "vec_id", "h").withColumnRenamed("id", "id_2")
 SQL["best_match"] = f"WITH {_VARIED} SELECT id_2, id_1 AS match_id, similarity FROM pr QUALIFY row_number() OVER (PARTITION BY id_2 ORDER BY similarity DESC, id_1) = 1"
 QUERIES["hamming"] = lambda spark, sf_dir: (lambda h: h.alias("a").join(h.alias("b"), F.col("b.vec_id") == F.col("a.vec_id") + 1).select("a.vec_id", H.similarity(F.col("a.h"), F.col("b.h")).alias("similarity")))(_hashes(spark, sf_dir))
 SQL["hamming"] = f"WITH {_VARIED} SELECT a.vec_id, 1 - bit_count(xor(a.h, b.h)) / 64.0::DOUBLE AS similarity FROM z a JOIN z b ON b.vec_id = a.vec_id + 1"
-QUERIES["dup_groups"] = lambda spark, sf_dir: dedup.groups(_pairs(spark, sf_dir))
+QUERIES["dup_groups"] = lambda spark, sf_dir: dedup.hash_groups(_hashes(spark, sf_dir), "vec_id", "h")
 SQL["dup_groups"] = f"WITH RECURSIVE {_VARIED}, ed AS (SELECT id_1 AS a, id_2 AS b FROM pr UNION SELECT id_2, id_1 FROM pr), re AS (SELECT a AS id, a AS g FROM ed UNION SELECT ed.b, re.g FROM re JOIN ed ON re.id = ed.a) SELECT id, min(g) AS group_id FROM re GROUP BY 1"
+
+
+def _grey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of 8 by 8 of the varied hashes: their vector's, brighter by 1 or 2 where it is varied and its number is odd."""
+    made = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(250), F.floor(x.cast("double") * 256) + 128)) + F.col("more"))
+    vectors = _vectors(spark, sf_dir).withColumnRenamed("vec_id", "of")
+    ids = _hashes(spark, sf_dir).select("vec_id", (F.col("vec_id") % 1000000).alias("of"), F.when(F.col("vec_id") % 2 == 1, F.floor(F.col("vec_id") / 1000000)).otherwise(0).alias("more"))
+    data = F.unhex(F.array_join(F.transform(made, lambda b: F.lpad(F.hex(b), 2, "0")), ""))
+    return ids.join(vectors, "of").select("vec_id", data.alias("data"), F.lit(8).alias("w"), F.lit(8).alias("h"))
+
+
+QUERIES["dup_structural"] = lambda spark, sf_dir: dedup.verified(_pairs(spark, sf_dir), _grey(spark, sf_dir), "vec_id", "data", "w", "h")
+SQL["dup_structural"] = f"""WITH {_VARIED}, o AS (SELECT z.vec_id, list_transform(embedding, lambda x: greatest(0, least(250, floor(x::DOUBLE * 256) + 128))::BIGINT + CASE WHEN z.vec_id % 2 = 1 THEN z.vec_id // 1000000 ELSE 0 END) AS p
+    FROM z JOIN embeddings e ON e.vec_id = z.vec_id % 1000000),
+  m AS (SELECT id_1, id_2, similarity, list_sum(list_transform(list_zip(a.p, b.p), lambda q: ((q[1] - q[2]) * (q[1] - q[2])) % 256))::DOUBLE / 64 AS mse FROM pr JOIN o a ON a.vec_id = id_1 JOIN o b ON b.vec_id = id_2),
+  s AS (SELECT *, CASE WHEN mse = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, 20 * log10(255 / sqrt(mse)) / 50)) END AS structural FROM m)
+  SELECT id_1, id_2, similarity, structural, greatest(similarity, structural) AS score FROM s"""

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom import cluster
 from ledgerloom.config import Settings
 from ledgerloom.functions import validation as V
 from ledgerloom.operators import analytics as A
@@ -18,7 +19,7 @@ from ledgerloom.plans.export_queries import _usd
 from ledgerloom.plans.scoring_queries import _CONS, _FACTS, _ISSUES, _OVERALL, _PTS, AS_OF, _facts, _joined
 from ledgerloom.plans.text_queries import _ADDRESS, _C, _CLEAN, _LINES, _first
 from ledgerloom.functions import text as T
-from ledgerloom.sources import files, library
+from ledgerloom.sources import files, library, listing
 from ledgerloom.sources.records import money_sql, read, records, sql
 
 QUERIES: dict = {}
@@ -48,6 +49,15 @@ _short = ("file_id", "name", "mime")
 _ALBUMS = lambda spark, sf_dir: read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("album_id"), F.when(F.col("n_nationkey") % 7 != 0, F.col("n_name")).alias("title"))
 _TITLE = "CASE WHEN n_nationkey % 7 <> 0 THEN n_name ELSE 'Unknown' END"
 scan("scan_folder", lambda c: library.folder_images(c, 3).select(*_short), "SELECT file_id, name, mime FROM cc WHERE mime LIKE 'image/%' AND parent = 3 AND NOT trashed")
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file table as a listing of pages, read back through the data source with its filters."""
+    path = cluster.new_path(spark, "listing")
+    listing.write_pages(_files(spark, sf_dir), path, 500)
+    return listing.images_of(listing.listing(spark, path, "file_id long, name string, mime string, size long, trashed boolean, parent long"), 3).select(*_short, "size")
+
+
+QUERIES["src_images"] = _listed
+SQL["src_images"] = f"WITH {_FILES} SELECT file_id, name, mime, size FROM cc WHERE mime LIKE 'image/%' AND parent = 3 AND NOT trashed"
 scan("scan_album", lambda c: library.album_items(c, 4).select(*_short), "SELECT file_id, name, mime FROM cc WHERE album_id = 4 AND is_photo")
 scan("list_folders", lambda c: library.folders(c).select(*_short), "SELECT file_id, name, mime FROM cc WHERE mime = 'application/folder' AND NOT trashed ORDER BY file_id LIMIT 100")
 scan("list_capped", lambda c: library.folders(c).limit(library.SHOWN).select(*_short), "SELECT file_id, name, mime FROM cc WHERE mime = 'application/folder' AND NOT trashed ORDER BY file_id LIMIT 20")
