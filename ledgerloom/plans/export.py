@@ -75,8 +75,8 @@ TEMPLATES = {
 }
 
 
-def formatted(df: DataFrame, date_format: str = "yyyy-MM-dd", symbol: str = "$", validation: bool = False) -> DataFrame:
-    """Records as nested text sections; ``validation`` needs the columns of the validator."""
+def sections_of(date_format: str = "yyyy-MM-dd", symbol: str = "$", validation: bool = False) -> dict[str, Column]:
+    """The nested text sections of a record; ``validation`` needs the columns of the validator."""
     money = lambda c: fmt.currency(F.col(c), symbol)
     item = lambda x: F.struct(
         x["description"].alias("description"), fmt.quantity(x["quantity"]).alias("quantity"), fmt.currency(x["unit_price"], symbol).alias("unit_price"),
@@ -98,16 +98,22 @@ def formatted(df: DataFrame, date_format: str = "yyyy-MM-dd", symbol: str = "$",
     }
     if validation:
         sections["validation"] = section(is_valid=col("is_valid"), confidence_score=fmt.percentage(col("validation_score")), issues_count=F.size("issues"), warnings_count=F.size("warnings"))
-    return df.select("file_id", *(c.alias(n) for n, c in sections.items()))
+    return sections
+
+
+def formatted(df: DataFrame, date_format: str = "yyyy-MM-dd", symbol: str = "$", validation: bool = False) -> DataFrame:
+    """Records as nested text sections."""
+    return df.select("file_id", *(c.alias(n) for n, c in sections_of(date_format, symbol, validation).items()))
 
 
-def _value(schema, m: Mapping) -> Column:
+def _value(schema, m: Mapping, at: str = "") -> Column:
+    """A mapped field of the sections in the struct ``at``, or of the row."""
     kind = schema
     for part in m.source.split("."):
         kind = kind[part].dataType if part in kind.names else None
         if kind is None:
             return F.lit(m.default).cast("string")
-    c, name = F.col(m.source), kind.typeName()
+    c, name = F.col(at + m.source), kind.typeName()
     missing = {"array": F.coalesce(F.size(c), F.lit(0)) == 0, "boolean": ~F.coalesce(c, F.lit(False)), "string": F.coalesce(c, F.lit("")) == ""}.get(name, F.coalesce(c, F.lit(0)) == 0 if name != "struct" else c.isNull())
     plain = F.when(c.isNotNull(), "[]") if name == "array" else F.initcap(c.cast("string")) if name == "boolean" else c.cast("string")
     shown = fmt.FORMATTERS[m.formatter](c).cast("string") if m.formatter in fmt.FORMATTERS else plain
@@ -121,6 +127,21 @@ def apply(df: DataFrame, template: Template, key: str | None = None) -> DataFram
     return made.select(*([key] if key else []), *fields, *(F.lit(v).alias(n) for n, v in template.constants.items()))
 
 
+def header(template: Template) -> list[str]:
+    return [*(m.name for m in template.fields), *template.constants]
+
+
+def cells(df: DataFrame, templates: list[Template], key: str) -> DataFrame:
+    """(template, ``key``, formats, cells) of all templates in one pass over the records; ``cells`` are texts in the order of ``header``."""
+    checked = "is_valid" in df.columns
+    held = df.select(F.col(key).alias("key"), *(F.struct(*(c.alias(n) for n, c in sections_of(t.date_format, t.symbol, checked).items())).alias(f"t{i}") for i, t in enumerate(templates)))
+    made = []
+    for i, t in enumerate(templates):
+        values = [_value(held.schema[f"t{i}"].dataType, m, f"t{i}.") for m in t.fields] + [F.lit(v).cast("string") for v in t.constants.values()]
+        made.append(F.struct(F.lit(t.name).alias("template"), F.array(*map(F.lit, t.formats)).alias("formats"), F.array(*values).alias("cells")))
+    return held.select(F.explode(F.array(*made)).alias("x"), "key").select("x.template", F.col("key").alias(key), "x.formats", "x.cells")
+
+
 def problems(template: Template) -> tuple[list[str], list[str]]:
     """(errors, warnings) of a template."""
     errors = [] if template.name else ["a template needs a name"]

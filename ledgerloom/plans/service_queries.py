@@ -241,9 +241,30 @@ QUERIES["multi_template"] = _many
 _OKV = "success AND confidence_score > 0"
 SQL["multi_template"] = sql(" UNION ALL ".join(f"SELECT '{n}' AS template, file_id, {size}::BIGINT AS n_fields, {_usd('total_c')} AS total FROM r WHERE {_OKV}" for n, size in _sizes.items()))
 _n_files = sum(len(export.TEMPLATES[n].formats) for n in sinks.PACKAGE)
-add("package_counts", sinks.package_counts, f"""WITH n AS (SELECT count_if(success)::BIGINT AS receipts_processed FROM r)
-  SELECT receipts_processed, (receipts_processed > 0)::BIGINT AS spreadsheet_files, 4::BIGINT AS report_files, {_n_files}::BIGINT AS template_files, 3::BIGINT AS templates_used, (receipts_processed > 0)::BIGINT + {4 + _n_files} AS total_files_created FROM n""", items=False)
+
+
+def _packaged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    df = _checked(spark, sf_dir)
+    return df, sinks.write_package(df, cluster.new_path(spark, "package"), "all")
+
+
+QUERIES["package_counts"] = lambda spark, sf_dir: sinks.package_counts(*_packaged(spark, sf_dir))
+SQL["package_counts"] = sql(f"""WITH n AS (SELECT count_if(success)::BIGINT AS receipts_processed FROM r)
+  SELECT receipts_processed, 3::BIGINT AS spreadsheet_files, 4::BIGINT AS report_files, {_n_files}::BIGINT AS template_files, 3::BIGINT AS templates_used, {3 + 4 + _n_files}::BIGINT AS total_files_created FROM n""")
+QUERIES["package_files"] = lambda spark, sf_dir: _packaged(spark, sf_dir)[1].select("file", "rows", (F.size("parts") > 0).alias("written"))
+_of_template = " UNION ALL ".join(f"SELECT 'templates/{n}.{kind}', count(*) FROM r WHERE {_OKV}" for n in sinks.PACKAGE for kind in export.TEMPLATES[n].formats)
+SQL["package_files"] = sql(f"""WITH n AS (SELECT k, count(*) AS n FROM i1 GROUP BY k), f AS (
+    SELECT 'spreadsheets/receipts.' || kind AS file, sum(greatest(coalesce(n, 0), 1))::BIGINT AS rows FROM r LEFT JOIN n ON n.k = r.k, (VALUES ('csv'), ('xlsx')) t(kind) WHERE success GROUP BY kind
+    UNION ALL SELECT 'spreadsheets/receipts.json', count(*) FROM r WHERE success UNION ALL {_of_template}
+    UNION ALL SELECT 'reports/statistics.json', 1 UNION ALL SELECT 'reports/spending_by_merchant.csv', count(DISTINCT {_UNKNOWN}) FROM r WHERE success
+    UNION ALL SELECT 'reports/spending_over_time.csv', count(DISTINCT dt) FROM r WHERE success
+    UNION ALL SELECT 'reports/summary.txt', 4 + count(DISTINCT {_UNKNOWN}) + count(DISTINCT ocr_method) + count(*) FROM r WHERE success)
+  SELECT file, rows, rows > 0 AS written FROM f""", items=True)
 QUERIES["mapped_sort"] = lambda spark, sf_dir: sinks.mapped_order(export.apply(A.valid(_checked(spark, sf_dir)), export.TEMPLATES["personal_expenses"], "file_id"), "Merchant").select("file_id", F.col("Merchant").alias("merchant"))
 SQL["mapped_sort"] = sql(f"SELECT file_id, merchant_name AS merchant FROM r WHERE {_OKV} ORDER BY coalesce(merchant_name, ''), file_id")
+QUERIES["mapped_group"] = lambda spark, sf_dir: (
+    sinks.mapped_groups(export.apply(A.valid(_checked(spark, sf_dir)), export.TEMPLATES["personal_expenses"], "file_id"), "Merchant", "file_id").groupBy("group", "size").agg(F.count_distinct("place").alias("places"), F.max("place").alias("last"))
+)
+SQL["mapped_group"] = sql(f"SELECT coalesce(merchant_name, '') AS \"group\", count(*) AS size, count(*) AS places, count(*) AS last FROM r WHERE {_OKV} GROUP BY 1")
 QUERIES["history"] = lambda spark, sf_dir: sinks.history(read(spark, sf_dir, "events").select("event_id", "ts"), "ts", "event_id").select("event_id")
 SQL["history"] = "WITH n AS (SELECT count(*) AS n FROM events), x AS (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS i FROM events) SELECT event_id FROM x, n WHERE i <= CASE WHEN n <= 100 THEN n ELSE 50 + (n - 101) % 51 END"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import analytics as A
 from ledgerloom.plans import export
+from ledgerloom.sources import package
 
 # Columns of the flat export, templates and charts of a package, bounds of the history.
 RECORD = ("file_name", "merchant_name", "merchant_address", "merchant_phone", "date", "time", "subtotal", "tax_amount", "tip_amount", "total_amount", "payment_method", "card_last_four", "receipt_number", "ocr_method", "ocr_confidence")
@@ -107,41 +108,95 @@ def mapped_order(df: DataFrame, name: str) -> DataFrame:
     return df.orderBy(F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")))
 
 
+def mapped_groups(df: DataFrame, name: str, key: str, per: int = 4096) -> DataFrame:
+    """Exported rows numbered within the group of one exported field, missing values as empty ones: (group, size, place, ...).
+
+    A group is dealt by ranges of ``key`` of about ``per`` rows, whose sizes are added up, so a value that most rows share isn't one task's.
+    """
+    group = F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
+    rows = df.withColumn("group", group)
+    sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
+    salted = rows.join(sizes, "group").withColumn("salt", F.pmod(F.xxhash64(key), F.ceil(F.col("size") / per)).cast("int"))
+    blocks = salted.groupBy("group", "salt").agg(F.count(F.lit(1)).alias("n"))
+    before = blocks.select("group", "salt", (F.sum("n").over(Window.partitionBy("group").orderBy("salt")) - F.col("n")).alias("before"))
+    placed = salted.join(before, ["group", "salt"])
+    place = F.col("before") + F.row_number().over(Window.partitionBy("group", "salt").orderBy(key))
+    return placed.withColumn("place", place).drop("salt", "before")
+
+
 def kinds(wanted: str) -> tuple[str, ...]:
     """The formats to write: the one wanted, or all if it isn't known."""
     return (wanted.lower(),) if wanted.lower() in export.FORMATS else export.FORMATS
 
 
-def package_counts(df: DataFrame, wanted: str = "csv", names: tuple[str, ...] = PACKAGE, reports: bool = True) -> DataFrame:
-    """The sums of a package of these records, without writing it: files by kind, templates, records."""
-    used = [export.TEMPLATES[n] for n in names if n in export.TEMPLATES]
-    sheets, shown, templates = len(kinds(wanted)), (1 + len(CHARTS) if reports else 0) + 1, sum(len(t.formats) for t in used)
-    sums = {"spreadsheet_files": sheets, "report_files": shown, "template_files": templates, "templates_used": len(used)}
-    good = F.col("receipts_processed") > 0
-    out = df.agg(F.count_if("success").alias("receipts_processed"))
-    sums["spreadsheet_files"] = F.when(good, sheets).otherwise(0)
-    out = out.select("receipts_processed", *((v if not isinstance(v, int) else F.lit(v)).cast("long").alias(n) for n, v in sums.items()))
-    return out.withColumn("total_files_created", F.col("spreadsheet_files") + F.col("report_files") + F.col("template_files"))
+def _texts(df: DataFrame, file: str, *order, header: tuple[str, ...] | None = None) -> tuple[DataFrame, dict[str, list[str]]]:
+    """Rows of one file of a package, as texts: (file, section, place, key, cells); and its columns."""
+    names = list(header if header is not None else df.columns)
+    at = [*order, F.lit(0), F.lit(0), F.lit("")][: 3 if not order else len(order)]
+    cells = F.array(*(F.col(f"`{c}`").cast("string") for c in df.columns if header is None or c in header)) if names else F.array(F.col(df.columns[0]).cast("string"))
+    made = df.select(F.lit(file).alias("file"), at[0].cast("int").alias("section"), at[1].cast("long").alias("place"), at[2].cast("string").alias("key"), cells.alias("cells"))
+    return made, {file: names}
 
 
-def write_all(df: DataFrame, folder: str, wanted: str = "csv", names: tuple[str, ...] = PACKAGE) -> list[dict]:
-    """Writes a package below a folder; one entry for each file: kind, path, success and the error of a file that failed.
+def package_rows(df: DataFrame, wanted: str = "csv", names: tuple[str, ...] = PACKAGE, reports: bool = True, key: str = "file_id") -> tuple[DataFrame, dict[str, list[str]]]:
+    """Rows of all files of a package and the columns of each file: sheets of successful records, templates of valid ones in their own formats, reports.
 
-    Sheets of the format xlsx are written as CSV, since no library for it is assumed.
+    Templates are all made in one pass over the records. Reports are the text report, a line of statistics, and the data of the charts.
+    """
+    parts = []
+    for kind in kinds(wanted):
+        if kind == "json":
+            parts.append(_texts(json_rows(df).select("record", "file_id"), "spreadsheets/receipts.json", F.lit(0), F.lit(0), F.col("file_id"), header=()))
+        else:
+            flat = csv_rows(df)
+            parts.append(_texts(flat, f"spreadsheets/receipts.{kind}", F.lit(0), F.coalesce("item_pos", F.lit(-1)), F.col("file_name")))
+    used = [export.TEMPLATES[n] for n in names if n in export.TEMPLATES]
+    if used:
+        each = export.cells(A.valid(df), used, key).withColumn("format", F.explode("formats"))
+        file = F.concat(F.lit("templates/"), "template", F.lit("."), "format")
+        headers = {f"templates/{t.name}.{kind}": export.header(t) for t in used for kind in t.formats}
+        parts.append((each.select(file.alias("file"), F.lit(0).alias("section"), F.lit(0).cast("long").alias("place"), F.col(key).cast("string").alias("key"), "cells"), headers))
+    order = F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("section"))
+    parts.append(_texts(report(df).select("line", "section", "place"), "reports/summary.txt", order, F.col("place"), F.col("line"), header=()))
+    if reports:
+        ok = A.successful(df)
+        total = F.sum("total_amount").alias("total")
+        sums = df.agg(F.count(F.lit(1)).alias("receipts"), F.count_if("success").alias("successful"), F.sum(F.when(F.col("success"), F.col("total_amount"))).alias("total"), F.round(F.avg("ocr_confidence"), 6).alias("ocr_confidence"))
+        parts.append(_texts(sums, "reports/statistics.json"))
+        by_name, by_day = ok.groupBy(A.named().alias("merchant")).agg(total), ok.where("date IS NOT NULL").groupBy("date").agg(total)
+        parts.append(_texts(by_name, f"reports/{CHARTS[0]}.csv", F.lit(0), -F.coalesce(F.col("total"), F.lit(0)) * 100, F.col("merchant")))
+        parts.append(_texts(by_day, f"reports/{CHARTS[1]}.csv", F.lit(0), F.lit(0), F.col("date")))
+    rows, headers = parts[0]
+    for more, own in parts[1:]:
+        rows, headers = rows.unionByName(more), headers | own
+    return rows, headers
+
+
+def write_package(df: DataFrame, folder: str, wanted: str = "csv", names: tuple[str, ...] = PACKAGE, reports: bool = True, key: str = "file_id") -> DataFrame:
+    """Writes a package in one job and returns its manifest (file, rows, bytes, parts): what was committed, counted by the tasks that wrote it.
+
+    Files are dealt in ranges of their rows, so a large one spreads over tasks and small ones share one; parts follow the order of rows.
     """
-    flat, done = csv_rows(df), []
-    jobs = [("spreadsheet", k, (lambda k=k: json_rows(df).select("record").write.mode("overwrite").text(f"{folder}/receipts.{k}") if k == "json" else export.write(flat, f"{folder}/receipts.{k}"))) for k in kinds(wanted)]
-    jobs.append(("spreadsheet", "info", lambda: export.write(envelope(df), f"{folder}/receipts.info", "json")))
-    for n in names:
-        jobs.append(("template", n, lambda n=n: export.write(export.apply(A.valid(df), export.TEMPLATES[n]), f"{folder}/{n}.csv")))
-    jobs.append(("report", "txt", lambda: report(df).sort(F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("section")), "place", "line").select("line").write.mode("overwrite").text(f"{folder}/report.txt")))
-    for kind, name, job in jobs:
-        try:
-            job()
-            done.append({"kind": kind, "name": name, "success": True, "error": None})
-        except Exception as e:  # a file that fails doesn't keep others from being written
-            done.append({"kind": kind, "name": name, "success": False, "error": f"{type(e).__name__}: {e}"[:500]})
-    return done
+    rows, headers = package_rows(df, wanted, names, reports, key)
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = ("file", "section", "place", "key")
+    return package.write(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order), folder, headers)
+
+
+def missing_templates(names: tuple[str, ...]) -> list[dict]:
+    """Entries of a package for templates that there aren't: they fail alone."""
+    return [{"template_name": n, "success": False, "error": "Template not found"} for n in names if n not in export.TEMPLATES]
+
+
+def package_counts(df: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Sums of a written package: files with rows by kind, templates, and the successful records it was made of."""
+    there = manifest.where(F.size("parts") > 0).select(F.split("file", "/").alias("p"))
+    kind = lambda k: F.count_if(F.col("p")[0] == k)
+    name = F.when(F.col("p")[0] == "templates", F.substring_index(F.col("p")[1], ".", 1))
+    sums = there.agg(
+        kind("spreadsheets").alias("spreadsheet_files"), kind("reports").alias("report_files"), kind("templates").alias("template_files"), F.count_distinct(name).alias("templates_used"), F.count(F.lit(1)).alias("total_files_created")
+    )
+    return df.agg(F.count_if("success").alias("receipts_processed")).crossJoin(sums)  # two rows of sums
 
 
 def ring(n: int) -> int:

@@ -43,29 +43,6 @@ def test_ring(n, held):
     assert sinks.ring(n) == len(kept) == held
 
 
-def test_package_files(spark, sf, tmp_path):
-    df = V.validate(records(spark, sf, items=True, text=True).where("k < 40"), dt.date(2008, 1, 1))
-    done = sinks.write_all(df, str(tmp_path), "all")
-    assert {d["error"] for d in done} == {None}
-    n = df.where("success").count()
-    shown = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/receipts.json").collect()]
-    assert len(shown) == n
-    assert {"file_info", "ocr_info", "receipt_data", "validation"} == set(shown[0])
-    flat = spark.read.option("header", True).csv(f"{tmp_path}/receipts.csv")
-    assert flat.select("file_name").distinct().count() == n
-    report = "".join(p.read_text() for p in sorted((tmp_path / "report.txt").glob("part-*"))).splitlines()  # parts are in order of their names
-    assert report[0].startswith("Total Receipts Processed: ")
-    assert sum(line.startswith("   Merchant: ") for line in report) == n
-
-
-def test_file_that_fails_is_a_row(spark, sf, tmp_path):
-    df = records(spark, sf, items=True).where("k < 5")  # not validated: flat rows lack columns
-    with pytest.raises(Exception, match="is_valid"):
-        sinks.csv_rows(df)
-    done = sinks.write_all(V.validate(records(spark, sf, items=True, text=True).where("k < 5"), dt.date(2008, 1, 1)), str(tmp_path), names=("personal_expenses", "unknown"))
-    assert [d["name"] for d in done if not d["success"]] == ["unknown"]
-
-
 def test_report_of_no_records(spark, sf):
     lines = [r.line for r in sinks.report(records(spark, sf, items=True).where("k < 0")).collect()]
     assert sorted(lines) == ["Success Rate: 0.0%", "Successfully Parsed: 0", "Total Amount: $0.00", "Total Receipts Processed: 0"]
