@@ -238,14 +238,14 @@ def estimate(rows: DataFrame) -> DataFrame:
     return stored(params.groupBy(*_GROUP).agg(best).select(*_GROUP, "best.*"), "quality-best")
 
 
-def _decided(rows: DataFrame) -> DataFrame:
-    """Adds distance and kept to the vectors of all rows."""
+def _decided(rows: DataFrame, judged: DataFrame | None = None) -> DataFrame:
+    """Adds distance and kept to the vectors of all rows, or of ``judged``, the same rows with more columns."""
     sound = rows.where(~F.col("base_failed"))
     known = _groups(sound)
     enough = F.lit((known.agg(F.sum("n")).head()[0] or 0) >= LEAST_ROWS)
     params = estimate(stored(_grouped(sound.select("id", "lang", "source", "n_words", *_X), known), "quality-sound"))
     groups = known.select("lang", "source", *_of(F.col("level")))
-    a, b = rows.alias("a"), groups.alias("b")
+    a, b = (judged or rows).alias("a"), groups.alias("b")
     placed = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")) & F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.*", *(f"b.{c}" for c in _GROUP))
     far = enough & (F.coalesce("d2", F.lit(0.0)) > CUTOFF)
     return _judged(placed, params).withColumns({"distance": F.when(~F.col("base_failed"), F.round("d2", 6)), "kept": ~F.col("base_failed") & ~far})
@@ -266,8 +266,9 @@ def judge(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col:
 def keep(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
     """The rows that ``judge`` keeps, with all their columns.
 
-    The rows are written beside their statistics and read again when the estimates are known, which
-    are small: the texts are never shuffled nor their statistics computed twice.
+    Estimates are made of the statistics alone, which are narrow; then each row's own are made again where it is read, and judged there. So no text is
+    shuffled nor written.
     """
-    done = _decided(stored(_vectors(statistics(df, id_col, text_col, lang_col, source_col, whole=True)), "quality-rows"))
-    return done.where("kept").select("row.*")
+    narrow = stored(_vectors(statistics(df, id_col, text_col, lang_col, source_col)), "quality-stats")
+    whole = _vectors(statistics(df, id_col, text_col, lang_col, source_col, whole=True))
+    return _decided(narrow, whole).where("kept").select("row.*")

@@ -10,6 +10,9 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 _PACKAGE = Path(__file__).resolve().parents[1]
 _shipped: set[str] = set()
 _open: dict[str, DataFrame] = {}  # tables of ``stored`` that aren't dropped yet, by path
+_owner: ContextVar[list[DataFrame] | None] = ContextVar("owner", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,9 +52,21 @@ def stored(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) -> DataF
     made = spark.read.schema(df.schema).parquet(path)
     made.stored_at = path
     _open[path] = made
+    if (own := _owner.get()) is not None:
+        own.append(made)
     return made
 
 
+@contextmanager
+def owning() -> Iterator[list[DataFrame]]:
+    """The tables that ``stored`` makes within, here and not in other threads: theirs to drop is whoever asked for them."""
+    token = _owner.set(tables := [])
+    try:
+        yield tables
+    finally:
+        _owner.reset(token)
+
+
 def held(spark: SparkSession) -> dict[str, DataFrame]:
     """Tables of ``stored`` in this application that aren't dropped yet, by path."""
     return {path: df for path, df in _open.items() if df.sparkSession.sparkContext is spark.sparkContext}
@@ -62,11 +78,13 @@ def drop(*tables: DataFrame) -> None:
     Shuffle files of finished steps go only when the driver's collector finds them unused, which a driver with
     little to do hardly ever starts by itself, so that is asked for, too.
     """
+    tables = tuple(df for df in tables if df.stored_at in _open)
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
         _open.pop(df.stored_at, None)
-    tables[0].sparkSession._jvm.System.gc()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def tidy() -> None:

@@ -246,18 +246,29 @@ def test_pipeline_drops_only_near_duplicates_where_ids_repeat(spark, sf):
         assert sorted((tuple(r) for r in p.near_duplicates(spark, df.repartition(parts), sf).collect()), key=str) == want
 
 
-def test_pipeline_stages_leave_no_tables_that_nothing_reads(spark, sf):
+def test_stage_results_outlive_later_stages(spark, sf):
     import corpus_pipeline as p
-    from ledgerloom.llm.shared import held
 
-    docs, before = spark.read.parquet(f"{sf}/documents.parquet"), set(held(spark))
-    good = p.quality_rules(spark, docs, sf)
-    own = set(held(spark)) - before
-    lazily = p.secret_scan(spark, good, sf)  # docs that still read the first stage's tables keep them
-    n = lazily.count()
-    assert any("quality-rows" in path for path in own & set(held(spark))) and n == good.count()
+    docs, other = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 300")
+    good, rest = p.quality_rules(spark, docs, sf), p.quality_rules(spark, other, sf)
+    single = p.near_duplicates(spark, docs, sf)
+    n = good.count(), rest.count(), single.count()
+    p.source_mix(spark, docs, sf).count()
+    p.near_duplicates(spark, other, sf).count()
     p.byte_bpe(spark, docs, sf)
-    assert not own & set(held(spark))
+    assert (good.count(), rest.count(), single.count()) == n
+
+
+def test_run_keeps_what_others_read_and_drops_its_own(spark, sf):
+    import corpus_pipeline as p
+    from ledgerloom.llm.shared import held
+
+    good = p.quality_rules(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    n, before = good.count(), set(held(spark))
+    one, two = p.run(spark, sf), p.run(spark, sf)
+    assert one.count() == two.count() and good.count() == n
+    left = set(held(spark)) - before
+    assert before <= set(held(spark)) and len(left) == 2 and all("pipeline-mixing-sources" in path for path in left)  # those that the results read
 
 
 def test_pipeline_stages_take_clashing_columns_and_no_rows(spark, sf):
