@@ -2,51 +2,24 @@
 
 ``STAGES`` lists (name, function). A function takes (spark, docs, sf_dir) and returns a DataFrame that is
 written as Parquet and read again as the docs of the next one. All but the last return the
-columns of docs, extra ones included. A result reads tables that its stage wrote; they go when a later
-stage starts, as by then the result is written, unless that stage's docs still read them.
+columns of docs, extra ones included. A result reads narrow tables that its stage wrote to the shared
+folder, and no stage removes another's: results stay good for as long as the session. ``run`` knows when a result is written and drops
+what it was made of.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, jaccard, mixing, quality, secrets
 from ledgerloom.llm.queries import tokenizer_path
-from ledgerloom.llm.shared import drop, held, stored, table
+from ledgerloom.llm.shared import drop, owning, stored, table
 
 #: Near duplicates: words of a shingle and the least similarity.
 SHINGLE, NEAR = 5, (80, 100)
 
 
-_left: dict[str, int] = {}  # tables that results of stages read, by path, and the place of the stage
-
-
-def _stage(place: int) -> Callable:
-    """Removes the tables of earlier stages before a stage, and notes those that its result reads."""
-
-    def wrap(function: Callable) -> Callable:
-        @wraps(function)
-        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-            before = held(spark)
-            old = {path: df for path, df in before.items() if _left.get(path, place) < place}
-            if old:
-                read = docs.inputFiles()
-                gone = [df for path, df in old.items() if not any(path.rpartition("/")[2] in f for f in read)]
-                if gone:
-                    drop(*gone)
-            result = function(spark, docs, sf_dir)
-            _left.update((path, place) for path in held(spark).keys() - before.keys())
-            return result
-
-        return run_stage
-
-    return wrap
-
-
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """(id, row) of every document, the row with all its columns, and the kind of the id: doc_id where it is a key, else one of our own."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
@@ -56,13 +29,11 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     return stored(docs.select(F.monotonically_increasing_id().alias("id"), row), "pipeline-rows"), "row"
 
 
-@_stage(0)
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the outlier test reject go; null and empty texts are rejected."""
     return quality.keep(docs, "doc_id", "text", "lang", "source")
 
 
-@_stage(1)
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the smallest id; wordless ones stay.
 
@@ -81,7 +52,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(kept, "id", "left_semi").select("row.*")
 
 
-@_stage(2)
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; secrets in its text are replaced by a mark, and n_chars follows."""
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").alias("text"))
@@ -91,7 +61,6 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select(*((new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
-@_stage(3)
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, once for each copy that the mix takes; those not taken go.
 
@@ -106,7 +75,6 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dealt.sortWithinPartitions("at", "id").select("row.*")
 
 
-@_stage(4)
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with digests of the ids and of what they decode to."""
     import public_tokenizers
@@ -129,11 +97,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage over all others; each one's table goes when the next one's is written."""
-    docs, before = table(spark, sf_dir, "documents"), None
+    """The last stage over all others. When a stage's result is written, the tables of this run that it was made of go, the stage's own and its docs."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
-        if before:
-            drop(before)
-        before = docs
+        with owning() as made:
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        drop(*before, *(df for df in made if df is not docs))
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
