@@ -77,16 +77,6 @@ QUERIES["handwriting"] = lambda spark, sf_dir: ocr.document_confidence(_words(sp
 SQL["handwriting"] = f"WITH {_WORDS}, p AS (SELECT k, paragraph, sum(percent)::DOUBLE / count(*)::DOUBLE AS p FROM w GROUP BY ALL) SELECT k, round(avg(p) / 100, 6) AS confidence, '{_HINT}' AS language_hint FROM p GROUP BY 1"
 
 
-def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Settings()
-    able = {"google_vision_available": False, "tesseract_available": False, "confidence_threshold": s.confidence_threshold, "max_image_size": s.max_image_side}
-    return spark.range(1).select(*(F.lit(v).alias(n) for n, v in able.items()), F.lit(",".join(files.IMAGES)).alias("supported_formats"))
-
-
-QUERIES["engine_status"] = _status
-SQL["engine_status"] = f"SELECT false AS google_vision_available, false AS tesseract_available, 0.8::DOUBLE AS confidence_threshold, 2048 AS max_image_size, '{','.join(files.IMAGES)}' AS supported_formats"
-
-
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third record's picture can't be opened where its number is divisible by 17; engines read the same text, or fail."""
     k, r = F.col("k"), records(spark, sf_dir, items=True, text=True)
@@ -96,6 +86,17 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("k", "file_id", *cells, F.when(k % 17 == 0, "cannot read image").alias("problem"))
 
 
+def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the engines can do: an engine is there if it has read anything of what it was given."""
+    s = Settings()
+    seen = _candidates(spark, sf_dir).agg(*(F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in (("google_vision_available", "vision_ok"), ("tesseract_available", "tess_ok"))))
+    return seen.select("*", F.lit(s.confidence_threshold).alias("confidence_threshold"), F.lit(s.max_image_side).alias("max_image_size"), F.lit(",".join(files.IMAGES)).alias("supported_formats"))
+
+
+QUERIES["engine_status"] = _status
+SQL["engine_status"] = f"SELECT coalesce(bool_or(o_orderkey % 6 <> 0), false) AS google_vision_available, coalesce(bool_or(o_orderkey % 5 <> 0), false) AS tesseract_available, 0.8::DOUBLE AS confidence_threshold, 2048 AS max_image_size, '{','.join(files.IMAGES)}' AS supported_formats FROM orders"
+
+
 _CHOSEN = """WITH x AS (SELECT *, k % 17 = 0 AS bad, k % 6 <> 0 AND k * 3 % 101 >= 80 AS v, k % 7 <> 0 AND k * 5 % 101 >= 80 AS d, k % 5 <> 0 AS s FROM t),
   y AS (SELECT x.* EXCLUDE (raw_text), NOT bad AND (v OR d OR s) AS good, CASE WHEN bad THEN 'none' WHEN v THEN 'google_vision' WHEN d THEN 'document_detection' WHEN s THEN 'tesseract' ELSE 'none' END AS method,
     (CASE WHEN bad THEN 0 WHEN v THEN k * 3 % 101 WHEN d THEN k * 5 % 101 WHEN s THEN k * 7 % 101 ELSE 0 END) / 100.0::DOUBLE AS conf,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import merchants as M
 from ledgerloom.functions import text as T
+from ledgerloom.plans.scoring_queries import _CONS, _FACTS, _PTS
 from ledgerloom.sources.records import money_sql, read, records, sql
 
 QUERIES: dict = {}
@@ -82,8 +83,34 @@ add(
 )
 _kept = ("file_id", "raw_text", "ocr_confidence")
 _all = lambda r: T.extract(r.select(*_kept))
-add("extract_all", lambda r: _all(r).drop("raw_text").withColumn("items", F.size("items")), None)
-add("to_json_record", lambda r: _all(r).select("file_id", F.to_json(F.struct("merchant_phone", "date", "time", "total_amount", "items", "confidence_score")).alias("record")), None)
+_scored = lambda r: _all(r).withColumn("confidence_score", F.round("confidence_score", 6))
+_EXTRACTED = f"""
+    d AS (SELECT k, {_first(T.DATES[0])} AS a, {_first(T.DATES[1])} AS b FROM t),
+    dd AS (SELECT k, string_split(replace(a, '-', '/'), '/') AS x, string_split(replace(b, '-', '/'), '/') AS y FROM d),
+    cl AS (SELECT *, {_C} AS cl FROM t),
+    p AS (SELECT c.k, file_id, raw_text, ocr_confidence, CASE WHEN length(cl) > 3 AND NOT ({_ADDRESS.replace(_C, 'cl')}) AND NOT regexp_matches(cl, '{T.PHONE}') AND (length(cl) > 8 OR NOT (upper(cl) = cl AND lower(cl) <> cl)) THEN cl END AS merchant_name,
+      CASE WHEN {_ADDRESS.replace(_C, 'cl')} THEN cl END AS merchant_address, {_first(T.PHONE)} AS merchant_phone,
+      coalesce(try_cast((CASE WHEN length(x[3]) = 4 THEN x[3] WHEN length(x[3]) = 2 THEN (CASE WHEN x[3]::INT >= 69 THEN '19' ELSE '20' END) || x[3] END) || '-' || lpad(x[1], 2, '0') || '-' || lpad(x[2], 2, '0') AS DATE),
+        try_cast(y[1] || '-' || lpad(y[2], 2, '0') || '-' || lpad(y[3], 2, '0') AS DATE)) AS dt, regexp_replace({_first(T.TIME)}, '\\s+$', '') AS tm,
+      {_first(T.TOTAL, 1)} AS total_amount, {_first(T.SUBTOTAL, 1)} AS subtotal, {_first(T.TAX, 1)} AS tax_amount, {_first(T.TIP, 1)} AS tip_amount,
+      split_part({_first(T.PAYMENT)}, ' ', 1) AS payment_method, nullif({_first(T.PAYMENT, 1)}, '') AS card_last_four, coalesce({_first(T.NUMBERS[0], 1)}, {_first(T.NUMBERS[1], 1)}) AS receipt_number FROM cl c JOIN dd ON dd.k = c.k),
+    {_LINES},
+    pi AS (SELECT k, n, regexp_extract(line, '{T.ITEM}', 1) AS description, NULL::DOUBLE AS quantity, NULL::DOUBLE AS unit_c, replace(regexp_extract(line, '{T.ITEM}', 2), '.', '')::BIGINT AS line_c, regexp_extract(line, '{T.ITEM}', 2) AS price FROM l WHERE regexp_matches(line, '{T.ITEM}')),
+    pc AS (SELECT *, {', '.join(f"coalesce(replace({c}, '.', '')::BIGINT, 0) AS {n}" for c, n in (('total_amount', 'total_c'), ('subtotal', 'subtotal_c'), ('tax_amount', 'tax_c'), ('tip_amount', 'tip_c')))} FROM p),
+    {_FACTS.format(base="pc").replace("FROM i1", "FROM pi")},
+    g AS (SELECT *, round(ocr_confidence * 0.4::DOUBLE + {_PTS} / 8.0::DOUBLE * 0.3::DOUBLE + {_CONS} * 0.2::DOUBLE
+      + least(1.0, 0.5 + CASE WHEN length(merchant_name) > 3 THEN 0.2 ELSE 0 END + CASE WHEN has_date THEN 0.2 ELSE 0 END + CASE WHEN has_total THEN 0.1 ELSE 0 END)::DOUBLE * 0.1::DOUBLE, 6) AS confidence_score FROM f)"""
+_amounts = ", ".join(f"{c}::DECIMAL(18,2) AS {c}" for c in ("total_amount", "subtotal", "tax_amount", "tip_amount"))
+add(
+    "extract_all", lambda r: _scored(r).drop("raw_text").withColumn("items", F.size("items")),
+    f"WITH {_EXTRACTED} SELECT file_id, ocr_confidence, merchant_name, merchant_address, merchant_phone, dt AS date, tm AS time, {_amounts}, payment_method, card_last_four, receipt_number, n_items::INT AS items, confidence_score FROM g",
+)
+add(
+    "to_json_record", lambda r: _scored(r).select("file_id", F.to_json(F.struct("merchant_phone", "date", "time", "total_amount", "items", "confidence_score")).alias("record")),
+    f"""WITH {_EXTRACTED}, w AS (SELECT k, string_agg('{{"description":"' || description || '","total_price":' || price || ',"confidence":0.8}}', ',' ORDER BY n) AS told FROM pi GROUP BY k)
+    SELECT file_id, '{{' || concat_ws(',', '"merchant_phone":"' || replace(merchant_phone, chr(10), '\\n') || '"', '"date":"' || dt::VARCHAR || '"', '"time":"' || tm || '"', '"total_amount":' || total_amount,
+      '"items":[' || coalesce(told, '') || ']', '"confidence_score":' || confidence_score::VARCHAR) || '}}' AS record FROM g LEFT JOIN w ON w.k = g.k""",
+)
 
 # Texts that look like those of merchants with a template.
 _HEADS = ("WALMART Supercenter", "Target store", "Costco Wholesale", "Kroger", "Pizza Palace", "Corner shop")
@@ -148,7 +175,14 @@ add(
     rf"""WITH {_TEMPLATE}, e AS ({_template_sql()})
     SELECT file_id, regexp_replace(d, '^\s+|\s+$', '', 'g') AS description, q::DOUBLE AS quantity, CASE WHEN q IS NOT NULL THEN ((replace(p, '.', '')::BIGINT * 20000 + q::BIGINT) // (2 * q::BIGINT)) / 1000000.0::DOUBLE END AS unit_price, p AS price FROM e""",
 )
-add("enhance_items", lambda r: _exploded(_with_text(r), M.enhance(_t(), F.col("items"))), None)
+# Items' own lines are held; of the others only a tip's is an item, as its name isn't among those that are none.
+add(
+    "enhance_items", lambda r: _exploded(_with_text(r), M.enhance(_t(), F.col("items"))),
+    f"""WITH x AS (SELECT *, row_number() OVER (PARTITION BY k, lower(trim(description)) ORDER BY pos) AS i FROM i1),
+    y AS (SELECT k, description, quantity, line_c, row_number() OVER (PARTITION BY k ORDER BY pos) AS n FROM x WHERE i = 1), c AS (SELECT k, count(*) AS n FROM y GROUP BY k)
+    SELECT 'f' || k AS file_id, (n - 1)::INT AS pos, description, quantity::DOUBLE AS quantity, {money_sql('line_c')} AS price, 0.8::DOUBLE AS confidence FROM y
+    UNION ALL SELECT file_id, coalesce(n, 0)::INT, 'TIP', NULL, {money_sql('tip_c')}, 0.7 FROM r LEFT JOIN c ON c.k = r.k WHERE tip_c IS NOT NULL""",
+)
 _extra_line = lambda: F.when(F.col("pos") % 3 == 0, F.concat(F.upper("description"), F.lit(" $"), F.col("price"))).when(F.col("pos") % 3 == 1, F.concat("description", F.lit(" "), F.col("price"))).otherwise(
     F.concat(F.lit("3 @ $"), F.col("price"), F.lit(" = $"), F.when(F.col("pos") % 2 == 0, (F.col("price").cast("decimal(18,2)") * 3).cast("decimal(18,2)").cast("string")).otherwise(F.col("price")))
 )
