@@ -103,22 +103,35 @@ def _grey(data: bytes, width: int, height: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(height, width)
 
 
+def _fits(data: bytes | None, width: int | None, height: int | None) -> bool:
+    return data is not None and bool(width) and bool(height) and width > 0 and height > 0 and len(data) == width * height
+
+
+def hash_of(kind: str, grey: np.ndarray) -> int | None:
+    """The hash by its name, None for a name that there isn't."""
+    return HASHES[kind](grey) if kind in HASHES else None
+
+
 def hash_column(data: Column, width: Column, height: Column, kind: str = "phash") -> Column:
-    """BIGINT hash of raw grey pictures, null where the bytes don't fit."""
-    kernel = HASHES[kind]
+    """BIGINT hash of raw grey pictures, null where the bytes don't fit or there is no such hash."""
 
     @F.pandas_udf("bigint")
     def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for d, w, h in parts:
-            yield pd.Series([kernel(_grey(x, i, j)) if x is not None and i and j and len(x) == i * j else None for x, i, j in zip(d, w, h)], dtype="Int64")
+            yield pd.Series([hash_of(kind, _grey(x, int(i), int(j))) if x is not None and i == i and j == j and _fits(x, i, j) else None for x, i, j in zip(d, w, h)], dtype="Int64")
 
-    return run(data, width, height)
+    return run(data, width, height) if kind in HASHES else F.lit(None).cast("bigint")
 
 
 def quality_column(data: Column, width: Column, height: Column) -> Column:
+    """Measures of raw grey pictures, all null where the bytes don't fit."""
+
     @F.pandas_udf(QUALITY)
     def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        none = dict.fromkeys(quality(np.zeros((1, 1), np.uint8)))
         for d, w, h in parts:
-            yield pd.DataFrame([quality(_grey(x, i, j)) for x, i, j in zip(d, w, h)])
+            rows = [quality(_grey(x, int(i), int(j))) if x is not None and i == i and j == j and _fits(x, i, j) else none for x, i, j in zip(d, w, h)]
+            whole = {"width": "Int32", "height": "Int32", "total_pixels": "Int32"}
+            yield pd.DataFrame(rows, columns=list(none)).astype(whole)
 
     return run(data, width, height)

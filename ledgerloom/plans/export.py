@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+import warnings
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -150,20 +151,69 @@ def problems(template: Template) -> tuple[list[str], list[str]]:
     return errors, [f"unknown format {f}" for f in template.formats if f not in FORMATS]
 
 
+def stem(name: str) -> str:
+    """The name of a template's file, and the key that it is found by."""
+    return name.lower().replace(" ", "_")
+
+
+def as_dict(template: Template) -> dict:
+    fields = [{"source_field": m.source, "export_name": m.name, "formatter": m.formatter, "default_value": m.default} for m in template.fields]
+    shown = {"date_format": template.date_format, "symbol": template.symbol}
+    return {"name": template.name, "fields": fields, "formatting": shown, "business_fields": dict(template.constants), "export_formats": list(template.formats)}
+
+
+def from_dict(raw: dict) -> Template:
+    """A template of its parts, as in a file; raises ValueError with what is wrong with it."""
+    try:
+        fields = tuple(Mapping(f["source_field"], f["export_name"], f.get("formatter"), f.get("default_value")) for f in raw["fields"])
+        shown, formats = raw.get("formatting") or {}, tuple(str(f).lower() for f in raw.get("export_formats") or ("csv",))
+        given = {k: v for k, v in (("date_format", shown.get("date_format")), ("symbol", shown.get("symbol"))) if v is not None}
+        made = Template(raw["name"], fields, constants={k: "" if v is None else str(v) for k, v in (raw.get("business_fields") or {}).items()}, formats=formats, **given)
+    except (KeyError, TypeError, AttributeError) as e:
+        raise ValueError(f"not a template: {type(e).__name__}: {e}") from e
+    errors, notes = problems(made)
+    if errors:
+        raise ValueError("; ".join(errors))
+    for note in notes:
+        warnings.warn(f"template {made.name}: {note}", stacklevel=2)
+    return replace(made, formats=tuple(f for f in formats if f in FORMATS))
+
+
+def create(name: str, fields: list[dict], formatting: dict | None = None, **more) -> Template:
+    """A template of field mappings (source_field, export_name, formatter, default_value) and formatting options."""
+    return from_dict({"name": name, "fields": fields, "formatting": formatting, **more})
+
+
+def save(template: Template, folder: str) -> Path:
+    """Writes a template to its file, which ``load`` finds."""
+    errors, _ = problems(template)
+    if errors:
+        raise ValueError("; ".join(errors))
+    at = Path(folder) / f"{stem(template.name)}.json"
+    at.parent.mkdir(parents=True, exist_ok=True)
+    at.write_text(json.dumps(as_dict(template), indent=2, ensure_ascii=False), encoding="utf-8")
+    return at
+
+
 def load(folder: str) -> dict[str, Template]:
-    """Templates of the JSON files in a folder beside the built-in ones; a bad file is left out."""
+    """Templates of the JSON files in a folder beside the built-in ones; a bad file is left out with a warning."""
     out = dict(TEMPLATES)
     for path in sorted(Path(folder).glob("*.json")):
         try:
-            raw = json.loads(path.read_text())
-            made = Template(raw["name"], tuple(Mapping(f["source_field"], f["export_name"], f.get("formatter"), f.get("default_value")) for f in raw["fields"]), constants=raw.get("business_fields") or {})
-        except (ValueError, KeyError, TypeError):
+            made = from_dict(json.loads(path.read_text(encoding="utf-8")))
+        except (ValueError, OSError) as e:
+            warnings.warn(f"template {path.name} is left out: {e}", stacklevel=2)
             continue
-        if not problems(made)[0]:
-            out[made.name] = made
+        out[stem(made.name)] = made
     return out
 
 
+def suggestions(df: DataFrame) -> dict[str, list[str]]:
+    """Paths that fields of a template can name, by section of the formatted record."""
+    made = formatted(df.limit(0), validation="is_valid" in df.columns).schema
+    return {f.name: [f"{f.name}.{n}" for n in f.dataType.names] if hasattr(f.dataType, "names") else [f.name] for f in made if f.name != "file_id"}
+
+
 def write(df: DataFrame, path: str, kind: str = "csv") -> None:
     """CSV with a header, JSON lines or Parquet, written by the executors."""
     writer = df.write.mode("overwrite")

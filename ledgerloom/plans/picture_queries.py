@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import images
 from ledgerloom.functions import pictures as P
 from ledgerloom.operators import pictures
 from ledgerloom.sources.pictures import SIDE, from_vectors
@@ -86,3 +87,13 @@ def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["img_preprocess"] = _chain
+
+
+def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = misfits(spark, sf_dir)
+    of = (F.col("data"), F.col("width"), F.col("height"))
+    q = images.quality_column(*of)
+    return x.select("picture_id", *(images.hash_column(*of, kind=k).alias(k) for k in images.HASHES), F.round(q["sharpness"], 5).alias("sharpness"), q["total_pixels"].alias("total_pixels"))
+
+
+QUERIES["img_hashes"] = _hashes
