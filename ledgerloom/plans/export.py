@@ -32,7 +32,7 @@ class Template:
     date_format: str = "yyyy-MM-dd"
     symbol: str = "$"
     constants: dict[str, str] = field(default_factory=dict)
-    formats: tuple[str, ...] = ("csv",)
+    formats: tuple[str, ...] = ("xlsx",)
 
 
 def _m(*fields: tuple) -> tuple[Mapping, ...]:
@@ -166,7 +166,7 @@ def from_dict(raw: dict) -> Template:
     """A template of its parts, as in a file; raises ValueError with what is wrong with it."""
     try:
         fields = tuple(Mapping(f["source_field"], f["export_name"], f.get("formatter"), f.get("default_value")) for f in raw["fields"])
-        shown, formats = raw.get("formatting") or {}, tuple(str(f).lower() for f in raw.get("export_formats") or ("csv",))
+        shown, formats = raw.get("formatting") or {}, tuple(str(f).lower() for f in raw.get("export_formats") or ("xlsx",))
         given = {k: v for k, v in (("date_format", shown.get("date_format")), ("symbol", shown.get("symbol"))) if v is not None}
         made = Template(raw["name"], fields, constants={k: "" if v is None else str(v) for k, v in (raw.get("business_fields") or {}).items()}, formats=formats, **given)
     except (KeyError, TypeError, AttributeError) as e:
