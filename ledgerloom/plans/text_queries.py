@@ -219,4 +219,20 @@ QUERIES["item_category"] = lambda spark, sf_dir: read(spark, sf_dir, "part").sel
     "p_partkey", M.category(F.concat("p_name", F.lit(" "), F.get(F.array(*map(F.lit, _WORDS)), (F.col("p_partkey") % 8).cast("int")))).alias("category")
 )
 SQL["item_category"] = f"WITH x AS (SELECT p_partkey, lower(p_name || ' ' || {list(_WORDS)}[p_partkey % 8 + 1]) AS d FROM part) SELECT p_partkey, {_CATEGORY} AS category FROM x"
-add("parse_advanced", lambda r: M.parse(T.extract(_with_text(r).select(*_kept))).select("file_id", "merchant_type", F.size("items").alias("n_items"), F.col("total_amount").cast("string").alias("total"), F.round("confidence_score", 6).alias("score")), None)
+#: As ``_EXTRACTED``, over the texts of templates and without rounding.
+_TEMPLATED = _EXTRACTED.replace("round(ocr_confidence", "(ocr_confidence").replace("* 0.1::DOUBLE, 6) AS confidence_score", "* 0.1::DOUBLE) AS confidence_score")
+_parsed = lambda r: M.parse(T.extract(_with_text(r).select(*_kept)))
+QUERIES["parse_advanced"] = lambda spark, sf_dir: _parsed(records(spark, sf_dir, items=True, text=True)).select(
+    "file_id", "merchant_type", F.size("items").alias("n_items"), F.col("total_amount").cast("string").alias("total"), F.round("confidence_score", 6).alias("score")
+)
+# Template items take the place of those found; a tip's line adds one where nothing on it is an item yet. These texts have no subtotal, so sums never agree.
+SQL["parse_advanced"] = sql(
+    rf"""WITH {_TEMPLATE}, t AS (SELECT m.k, m.file_id, txt AS raw_text, ocr_confidence FROM m JOIN r ON r.k = m.k), {_TEMPLATED},
+    e AS ({_template_sql()}), te AS (SELECT file_id, lower(regexp_replace(d, '^\s+|\s+$', '', 'g')) AS d FROM e),
+    bi AS (SELECT file_id, lower(trim(description)) AS d FROM pi JOIN t ON t.k = pi.k),
+    al AS (SELECT * FROM te UNION SELECT * FROM bi WHERE file_id NOT IN (SELECT file_id FROM te)),
+    ct AS (SELECT file_id, count(*) AS n, bool_or(d = 'tip') AS tipped FROM al GROUP BY 1),
+    z AS (SELECT g.*, m.kind, m.total_c AS whole, (coalesce(n, 0) + CASE WHEN m.tip_c IS NOT NULL AND NOT coalesce(tipped, false) THEN 1 ELSE 0 END)::INT AS found FROM g JOIN m ON m.k = g.k LEFT JOIN ct ON ct.file_id = g.file_id)
+    SELECT file_id, kind AS merchant_type, found AS n_items, {money_sql('whole')} AS total, round(least(1.0::DOUBLE, confidence_score * 0.4::DOUBLE + 0.2::DOUBLE * has_name::INT
+      + (0.2::DOUBLE * has_date::INT + 0.3::DOUBLE * has_total::INT + 0.3::DOUBLE * (found > 0)::INT + 0.1::DOUBLE * has_tax::INT + 0.1::DOUBLE * has_name::INT) * 0.3::DOUBLE + 0.5::DOUBLE * 0.1::DOUBLE), 6) AS score FROM z""", items=True,
+)
