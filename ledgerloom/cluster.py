@@ -12,7 +12,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -39,6 +39,13 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/ledgerloom/{tag}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: for what several steps read, and to outlive executors."""
+    path = new_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once for each application."""
     sc = spark.sparkContext

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.cluster import stored
 from ledgerloom.operators import analytics as A
 from ledgerloom.plans import export
 from ledgerloom.sources import package
@@ -175,9 +176,9 @@ def package_rows(df: DataFrame, wanted: str = "csv", names: tuple[str, ...] = PA
 def write_package(df: DataFrame, folder: str, wanted: str = "csv", names: tuple[str, ...] = PACKAGE, reports: bool = True, key: str = "file_id") -> DataFrame:
     """Writes a package in one job and returns its manifest (file, rows, bytes, parts): what was committed, counted by the tasks that wrote it.
 
-    Files are dealt in ranges of their rows, so a large one spreads over tasks and small ones share one; parts follow the order of rows.
+    Records are written to the shared folder first, as every file is made of them, and ranges are found by a sample of all rows. Files are dealt in ranges of their rows, so a large one spreads over tasks and small ones share one; parts follow the order of rows.
     """
-    rows, headers = package_rows(df, wanted, names, reports, key)
+    rows, headers = package_rows(stored(df, "package-records"), wanted, names, reports, key)
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ("file", "section", "place", "key")
     return package.write(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order), folder, headers)
