@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .exprs import word_count
 from .shared import stored
 
 #: Fixed values of the mix: weights in turn, and the most times that a source's words are taken.
@@ -20,7 +21,6 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Schedules in turn: weight at the start and at the end of training, linear between.
 SCHEDULES = ((1.0, 1.0), (1.5, 0.5), (0.5, 1.5))
-WORD = r"[^\x20\x09-\x0D]+"
 #: Parts of the hashed order of a source that are summed apart.
 CELL_DIGITS = 3
 
@@ -72,7 +72,7 @@ def mix(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int =
         df.select(
             F.col(id_col).alias("id"),
             F.col(source_col).alias("source"),
-            F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+            word_count(F.coalesce(F.col(text_col), F.lit(""))).alias("size"),
             key.alias("key"),
         ).withColumn("cell", F.substring("key", 1, CELL_DIGITS)),
         "mix-rows",
