@@ -70,8 +70,37 @@ add(
 )
 add("img_denoise", ("denoise",))
 add("img_deskew", ("deskew",), options={"deskew": {"votes": VOTES}})
-add("img_text_mask", ("text_mask",))
-add("img_ocr_enhance", ("ocr_enhance",))
+
+
+def _blurred(source: str, value: str, sigma: float, radius: int) -> str:
+    """(picture_id, y, x, v): a separable Gaussian blur of ``value``, borders mirrored, to the nearest whole number."""
+    weight = f"exp(-(d * d)::DOUBLE / {2 * sigma * sigma}::DOUBLE) / (SELECT sum(exp(-(j * j)::DOUBLE / {2 * sigma * sigma}::DOUBLE)) FROM range(-{radius}, {radius + 1}) t(j))"
+    at = lambda axis, n: f"""SELECT a.picture_id, a.y, a.x, sum({weight} * b.{'v' if axis == 'x' else value}) AS v FROM (SELECT * FROM {source} JOIN ph USING (picture_id), range(-{radius}, {radius + 1}) t(d)) a
+      JOIN {'bv' if axis == 'x' else source} b ON b.picture_id = a.picture_id AND b.y = {_around('a.y + a.d', 'h') if axis == 'y' else 'a.y'} AND b.x = {_around('a.x + a.d', 'w') if axis == 'x' else 'a.x'} GROUP BY a.picture_id, a.y, a.x"""
+    return f"bv AS ({at('y', 'h')}), bw AS ({at('x', 'w')}), blur AS (SELECT picture_id, y, x, greatest(0, least(255, floor(v + 0.5::DOUBLE))) AS v FROM bw)"
+
+
+_R, _S = P.BILATERAL // 2, 2 * P.SIGMA * P.SIGMA
+add(
+    "img_text_mask", ("text_mask",),
+    f"""n AS (SELECT p.picture_id, p.y, p.x, p.g, dy * dy + dx * dx AS far, {_around('p.y + dy', 'h')} AS ny, {_around('p.x + dx', 'w')} AS nx FROM px p JOIN ph USING (picture_id), range(-{_R}, {_R + 1}) a(dy), range(-{_R}, {_R + 1}) b(dx) WHERE dy * dy + dx * dx <= {_R * _R}),
+    k AS (SELECT n.picture_id, n.y, n.x, q.g, exp(-(far::DOUBLE / {_S}::DOUBLE) - ((q.g - n.g) * (q.g - n.g))::DOUBLE / {_S}::DOUBLE) AS k FROM n JOIN px q ON q.picture_id = n.picture_id AND q.y = ny AND q.x = nx),
+    f AS MATERIALIZED (SELECT picture_id, y, x, floor(sum(k * g) / sum(k) + 0.5::DOUBLE) AS g FROM k GROUP BY ALL),
+    {_blurred('f', 'g', 0.3 * ((P.BLOCK - 1) * 0.5 - 1) + 0.8, P.BLOCK // 2)},
+    s AS (SELECT f.picture_id, f.y, f.x, CASE WHEN f.g > blur.v - {P.OFFSET} THEN 255 ELSE 0 END AS v FROM f JOIN blur USING (picture_id, y, x))
+    """ + _SHOWN.format("s"),
+)
+add(
+    "img_ocr_enhance", ("ocr_enhance",),
+    f"""m AS (SELECT picture_id, floor(avg(g) + 0.5::DOUBLE) AS mean FROM px GROUP BY 1),
+    o AS MATERIALIZED (SELECT picture_id, y, x, greatest(0, least(255, trunc(mean + {P.CONTRAST}::DOUBLE * (g - mean)))) AS v FROM px JOIN m USING (picture_id)),
+    n AS (SELECT a.picture_id, a.y, a.x, sum(b.v) AS nine, count(*) AS n FROM o a JOIN o b ON b.picture_id = a.picture_id AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY ALL),
+    e AS (SELECT o.*, CASE WHEN n = 9 THEN floor((nine + 4 * v) / 13 + 0.5::DOUBLE) ELSE v END AS smooth FROM o JOIN n USING (picture_id, y, x)),
+    u AS MATERIALIZED (SELECT picture_id, y, x, greatest(0, least(255, trunc(smooth + {P.SHARPNESS}::DOUBLE * (v - smooth)))) AS g FROM e),
+    {_blurred('u', 'g', P.RADIUS, 3 * int(-(-P.RADIUS // 1)))},
+    s AS (SELECT u.picture_id, u.y, u.x, greatest(0, least(255, CASE WHEN abs(g - blur.v) > {P.THRESHOLD} THEN g + trunc((g - blur.v) * {P.PERCENT} / 100) ELSE g END)) AS v FROM u JOIN blur USING (picture_id, y, x))
+    """ + _SHOWN.format("s"),
+)
 
 
 def misfits(spark: SparkSession, sf_dir: str) -> DataFrame:
