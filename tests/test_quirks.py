@@ -11,6 +11,8 @@ from ledgerloom import config
 from ledgerloom.functions import formatting, hashing, images, merchants, text, truth, validation
 from ledgerloom.operators import analytics, dedup
 from ledgerloom.plans import export
+from ledgerloom.registry import QUERIES
+from ledgerloom.sources.records import records
 
 
 def one(spark, value, column, kind="string"):
@@ -211,3 +213,15 @@ def test_enhance_adds_to_items_captured_in_part(spark):
     part = F.slice(merchants.enhance(F.col("t"), F.array().cast(merchants.ITEMS)), 1, 1)
     got = df.select(merchants.enhance(F.col("t"), part).alias("x")).head()
     assert [x.description for x in got.x] == ["MILK", "bread roll"]
+
+
+@pytest.mark.parametrize(("name", "key"), [("group_merchant", "merchant")])
+def test_a_group_is_one_row_with_all_its_ids(spark, name, key):
+    sf = "/root/testdata/sf0.01"
+    rows = QUERIES[name](spark, sf).collect()
+    valid = analytics.valid(records(spark, sf)).select(analytics.named().alias("merchant"), F.coalesce(F.col("date").cast("string"), F.lit("Unknown")).alias("day"), "file_id").collect()
+    wanted = {}
+    for r in valid:
+        wanted.setdefault(r[key], []).append(r.file_id)
+    assert len(rows) == len(wanted) and max(map(len, wanted.values())) > 100
+    assert {r[key]: (r.n_records, r.file_ids) for r in rows} == {g: (len(ids), ",".join(sorted(ids))) for g, ids in wanted.items()}
