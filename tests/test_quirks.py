@@ -215,7 +215,7 @@ def test_enhance_adds_to_items_captured_in_part(spark):
     assert [x.description for x in got.x] == ["MILK", "bread roll"]
 
 
-@pytest.mark.parametrize(("name", "key"), [("group_merchant", "merchant")])
+@pytest.mark.parametrize(("name", "key"), [("group_merchant", "merchant"), ("group_date", "day")])
 def test_a_group_is_one_row_with_all_its_ids(spark, name, key):
     sf = "/root/testdata/sf0.01"
     rows = QUERIES[name](spark, sf).collect()
