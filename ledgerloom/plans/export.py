@@ -132,15 +132,12 @@ def header(template: Template) -> list[str]:
     return [*(m.name for m in template.fields), *template.constants]
 
 
-def cells(df: DataFrame, templates: list[Template], key: str) -> DataFrame:
-    """(template, ``key``, formats, cells) of all templates in one pass over the records; ``cells`` are texts in the order of ``header``."""
+def held(df: DataFrame, templates: list[Template]) -> tuple[DataFrame, list[Column]]:
+    """Records with the sections of all templates as columns t0, t1, ..., and the cells of each template over them: texts in the order of ``header``."""
     checked = "is_valid" in df.columns
-    held = df.select(F.col(key).alias("key"), *(F.struct(*(c.alias(n) for n, c in sections_of(t.date_format, t.symbol, checked).items())).alias(f"t{i}") for i, t in enumerate(templates)))
-    made = []
-    for i, t in enumerate(templates):
-        values = [_value(held.schema[f"t{i}"].dataType, m, f"t{i}.") for m in t.fields] + [F.lit(v).cast("string") for v in t.constants.values()]
-        made.append(F.struct(F.lit(t.name).alias("template"), F.array(*map(F.lit, t.formats)).alias("formats"), F.array(*values).alias("cells")))
-    return held.select(F.explode(F.array(*made)).alias("x"), "key").select("x.template", F.col("key").alias(key), "x.formats", "x.cells")
+    out = df.select("*", *(F.struct(*(c.alias(n) for n, c in sections_of(t.date_format, t.symbol, checked).items())).alias(f"t{i}") for i, t in enumerate(templates)))
+    kinds = out.schema
+    return out, [F.array(*(_value(kinds[f"t{i}"].dataType, m, f"t{i}.") for m in t.fields), *(F.lit(v).cast("string") for v in t.constants.values())) for i, t in enumerate(templates)]
 
 
 def problems(template: Template) -> tuple[list[str], list[str]]:

@@ -114,28 +114,31 @@ class PackageWriter(D.DataSourceArrowWriter):
         self.folder, self.headers = folder, headers
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Committed:
-        """Parts of the files that the task's rows name, in the order of the rows; rows of a file that come one after another share a part."""
+        """A part of each file that the task's rows name, in the order of the rows; all of them stay open, as rows of files may come in turns."""
         store, root = _store(self.folder)
-        done, now, task, attempt = Committed(), None, TaskContext.get().partitionId(), uuid4().hex[:8]
+        done, opened, task, attempt = Committed(), {}, TaskContext.get().partitionId(), uuid4().hex[:8]
 
-        def close() -> None:
-            if now:
-                now[1].close()
-                done.parts[-1].rows, done.parts[-1].bytes = now[2], store.get_file_info(f"{root}/{done.parts[-1].path}").size
+        def close(file: str) -> None:
+            out, part = opened.pop(file)
+            out.close()
+            part.bytes = store.get_file_info(f"{root}/{part.path}").size
 
         for batch in iterator:
             for file, cells in zip(batch.column("file").to_pylist(), batch.column("cells").to_pylist()):
                 kind = file.rpartition(".")[2]
-                if now is None or now[0] != file or (kind == "xlsx" and now[2] + 2 > SHEET_ROWS):
-                    close()
+                if kind == "xlsx" and file in opened and opened[file][1].rows + 2 > SHEET_ROWS:
+                    close(file)
+                if file not in opened:
                     path = f"{file}/part-{task:05d}-{len(done.parts):03d}-{attempt}.{kind}"
                     store.create_dir(f"{root}/{file}", recursive=True)
                     stem = file.rpartition("/")[2].rpartition(".")[0]
-                    now = [file, FORMATS[kind](store.open_output_stream(f"{root}/{path}"), stem, self.headers.get(file, [])), 0]
                     done.parts.append(Part(file, path, 0, 0))
-                now[1].add(cells)
-                now[2] += 1
-        close()
+                    opened[file] = FORMATS[kind](store.open_output_stream(f"{root}/{path}"), stem, self.headers.get(file, [])), done.parts[-1]
+                out, part = opened[file]
+                out.add(cells)
+                part.rows += 1
+        for file in list(opened):
+            close(file)
         return done
 
     def commit(self, messages: list[Committed | None]) -> None:

@@ -133,3 +133,22 @@ def test_groups_are_numbered_without_one_task(spark):
     got = sinks.mapped_groups(df, "Vendor", "key", per=100)
     assert sorted(r.place for r in got.where("group = 'hot'").select("place").collect()) == list(range(1, 1001))
     assert got.where("group = ''").agg(F.max("place")).head()[0] == 1000 and got.count() == 3000
+
+
+def test_rows_of_files_in_turns_share_parts(spark, tmp_path):
+    rows = spark.createDataFrame([(f"{f}.{k}", [str(i)]) for i in range(3) for f, k in (("a", "csv"), ("b", "json"), ("c", "xlsx"))], "file string, cells array<string>").coalesce(1)
+    files = {r.file: r for r in package.write(rows, str(tmp_path), {"a.csv": ["n"], "b.json": ["n"], "c.xlsx": ["n"]}).collect()}
+    assert all(len(r.parts) == 1 and r.rows == 3 and r.bytes > 0 for r in files.values())
+    assert lines(tmp_path, files["a.csv"]) == lines(tmp_path, files["c.xlsx"]) == [["0"], ["1"], ["2"]]
+
+
+def test_sheets_are_written_from_ordered_records(spark, df, made):
+    at, files = made
+    flat = lines(at, files["spreadsheets/receipts.csv"])
+    names, places = [r[0] for r in flat], [int(r[18] or -1) for r in flat]
+    assert export_names(df) == list(dict.fromkeys(names)) and len(set(zip(names, places))) == len(flat)
+    assert all(b == a + 1 for a, b, n, m in zip(places, places[1:], names, names[1:]) if n == m) and all(b <= 0 for b, n, m in zip(places[1:], names, names[1:]) if n != m)
+
+
+def export_names(df):
+    return [r.file_name for r in A.successful(df).orderBy("file_id").select("file_name").collect()]
