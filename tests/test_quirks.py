@@ -225,3 +225,12 @@ def test_a_group_is_one_row_with_all_its_ids(spark, name, key):
         wanted.setdefault(r[key], []).append(r.file_id)
     assert len(rows) == len(wanted) and max(map(len, wanted.values())) > 100
     assert {r[key]: (r.n_records, r.file_ids) for r in rows} == {g: (len(ids), ",".join(sorted(ids))) for g, ids in wanted.items()}
+
+
+def test_items_are_keyed_once(spark):
+    """Strings of descriptions are made for each item, not within comparisons of pairs."""
+    t = spark.createDataFrame([("Milk 1.00\n  MILK  2.00\nSalt 3.00", None)], "t string, n string")
+    got = t.select(merchants.dedup(text.items(F.col("t"))).alias("x")).select(F.transform("x", lambda x: x["description"]).alias("d")).head().d
+    assert got == ["Milk", "Salt"]
+    plan = str(t.select(merchants.dedup(text.items(F.col("t"))))._jdf.queryExecution().analyzed())
+    assert "regexp_replace" not in plan[plan.index("exists(") :].split(" ELSE ")[0]
