@@ -11,9 +11,10 @@ Buckets are ranges of document ids, so the order is global: bucket, then block,
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
-from itertools import compress
+from itertools import accumulate, chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,10 @@ from .simple8b import pack, unpack
 BLOCK_IDS = 1 << 18
 _SPACE, _LINE_ENDS = re.compile(r"\s"), "\t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0"
 
+#: The characters that byte-level models write bytes as.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+
 _library: dict[tuple[str, str, bool], Callable[[list[str]], list[bytes]]] = {}
 
 
@@ -47,6 +52,22 @@ def _with_added(pieces: PieceEncoder, whole: Callable[[list[str]], list[bytes]],
     return encode
 
 
+def _by_model(own) -> Callable[[list[str]], list[bytes]] | None:
+    """Pieces by the library's model itself, which needn't split them again; None where the library does more to a piece than byte-level merges."""
+    parts = json.loads(own.to_str())
+    split, added = parts.get("pre_tokenizer") or {}, parts.get("added_tokens") or []
+    if parts.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or parts["model"].get("type") != "BPE" or parts.get("truncation") or not all(t["special"] for t in added):
+        return None
+    tokenize = own.model.tokenize
+
+    def encode(pieces: list[str]) -> list[bytes]:
+        ids = [[t.id for t in tokenize(p.encode().decode("latin-1").translate(_BYTE_CHARS))] for p in pieces]
+        data, ends = np.array(list(chain.from_iterable(ids)), "<u4").tobytes(), [0, *accumulate(4 * len(x) for x in ids)]
+        return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+    return encode
+
+
 def library_encoder(path: str, pattern: str, added: bool = False) -> Callable[[list[str]], list[bytes]]:
     """Whole texts by the tokenizers library, which is asked once for each distinct piece.
 
@@ -86,7 +107,7 @@ def library_encoder(path: str, pattern: str, added: bool = False) -> Callable[[l
             first, second = iter(found), iter(each([p for p, good in zip(pieces, line) if not good]))
             return [next(first if good else second) for good in line]
 
-        pieces = PieceEncoder(pattern, encode, capacity=700_000)
+        pieces = PieceEncoder(pattern, _by_model(own) or encode, capacity=700_000)
         _library[key] = _with_added(pieces, each, [t.content for t in own.get_added_tokens_decoder().values()]) if added else pieces
     return _library[key]
 

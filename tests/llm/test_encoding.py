@@ -105,3 +105,22 @@ def test_no_token_files(spark):
     path = new_path(spark, "test-tokens")
     tokenfiles.write(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text", path, lambda: tokenfiles.library_encoder(VOCABULARY, P.PATTERN), end_id=2)
     assert tokenfiles.read(spark, path, "doc_id").count() == 0
+
+
+def test_pieces_go_to_the_model_alone():
+    """The library's model gives what the library gives, bytes and odd pieces included, and other kinds of tokenizers aren't taken for such."""
+    import json
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer, normalizers
+
+    from ledgerloom.llm import tokenfiles
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own.encode_special_tokens = True
+    pieces = [" the", "naïve", "\n\n", "\t", " ", "日本語", "🙂", "\x00", "a" * 500, "<|", "endoftext", "'s", " 12345", "­", "\x7f", "é"]
+    wanted = [np.array(own.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in pieces]
+    assert tokenfiles._by_model(own)(pieces) == wanted
+    own.normalizer = normalizers.Lowercase()
+    assert json.loads(own.to_str())["normalizer"] and tokenfiles._by_model(own) is None
