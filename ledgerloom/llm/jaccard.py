@@ -11,10 +11,13 @@ Spread over a cluster, the forest has a root for each shingle among the first of
 all shingles, two sets that are similar enough share one of their first n - ceil(n * num / den) + 1 shingles, n being
 the size of each, so every pair has a common root, without exception. The order puts shingles that a sample of
 the documents shows to be frequent behind all others; it decides how large roots are and never what is found.
+Under the first shingle that two similar sets share, sizes and places show that enough can follow: under the root of a rare shingle
+a document stays only with another for which they do. Then parities, bitmaps of an eighth of the size that count tokens modulo 2, show
+how many tokens two sets at least don't share. What unrelated documents share by chance is left there before bitmaps are sent.
 The steps are:
 
 1. each document is compared with the smallest document of the most of its roots, if that is smallest in a share ``VOTES`` of
-   its first shingles, which joins most copies in time proportional to their number; equal sets are one class;
+   the first shingles that count for equal sizes, which joins most copies in time proportional to their number; equal sets are one class;
 2. under each root with documents of more than one component so far, trees are compared; pairs
    within a component are left out, and so are roots whose documents all stand under another root. A large root is cut by ranges
    of sizes, of which only neighbours can be similar, and these into blocks of bounded size, compared two by two;
@@ -25,8 +28,8 @@ The steps are:
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from itertools import groupby
+from collections.abc import Callable, Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 from .bpe import steps
 from .graph import components
 from .shared import drop, ship, stored, tidy
-from .shingles import Order, alike, bitmap, digest, exact_sets, folded, forget, shingle_set
+from .shingles import Order, Parities, alike, bitmap, digest, exact_sets, folded, forget, parity, shingle_set
 
 #: Documents of one block of a root, and of one leaf.
 BLOCK, LEAF = 512, 16
@@ -51,6 +54,8 @@ TRIED = 4
 SPOTS = 1 << 24
 #: Keys of rare shingles that one task brings together, about.
 KEYS = 4_000_000
+#: Documents of a root, next to one in order of size, that it is held against by size and place.
+NEAR = 64
 
 
 class Tree:
@@ -146,46 +151,71 @@ def _sketches(docs: DataFrame, k: int, order: Broadcast) -> DataFrame:
                             pa.array([r.tobytes() for r, _ in keys], pa.binary()),
                             pa.array([f.view(np.int64) for _, f in keys], pa.list_(pa.int64())),
                             pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()),
+                            pa.array([parity(s) if len(s) else None for s in sets], pa.binary()),
                         ],
-                        ["id", "n", "digest", "n_rare", "rare", "often", "bits"],
+                        ["id", "n", "digest", "n_rare", "rare", "often", "bits", "parity"],
                     )
         finally:
             forget()
             tidy()
 
-    return docs.mapInArrow(run, "id long, n long, digest binary, n_rare int, rare binary, often array<long>, bits binary")
+    return docs.mapInArrow(run, "id long, n long, digest binary, n_rare int, rare binary, often array<long>, bits binary, parity binary")
 
 
-def _rare_roots(sketches: DataFrame) -> DataFrame:
-    """(key, id, first): the documents under each root of a rare shingle but its smallest, and that.
+def _met(keys: np.ndarray, n: np.ndarray, num: int, den: int, like: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Whether rows, in order of key and size, have another of their key that may be similar enough by size and ``like``, of two arrays of rows.
 
-    Keys go to their task in packed runs, a run for each batch and task, and most are found to be of one document there.
+    More than ``NEAR`` places apart, sizes alone decide.
+    """
+    good, low = np.zeros(len(keys), bool), np.arange(len(keys))
+    for d in range(1, NEAR + 2):
+        low = low[: np.searchsorted(low, len(keys) - d)]
+        low = low[(keys[low] == keys[low + d]) & (n[low] * den >= num * n[low + d])]
+        if not len(low):
+            break
+        both = low if d > NEAR else low[like(low, low + d)]
+        good[both] = good[both + d] = True
+    return good
+
+
+def _rare_roots(sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, id, first): the documents under each root of a rare shingle that may be similar to another there, but the smallest of them, and that.
+
+    Keys go to their task in packed runs, a run for each batch and task, and most are found to be of one document there. ``reach`` is the number of
+    a set's shingles from the key on: sets of which the key is the first common shingle share no more than the lesser reach, and every pair that
+    is similar enough stands under its first common shingle.
     """
     total = sketches.agg(F.sum("n_rare")).head()[0] or 0
     buckets = max(int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // KEYS))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column(1).to_pylist()
-            keys = np.frombuffer(b"".join(raw), np.uint64)
-            ids = np.repeat(batch.column(0).to_numpy(), [len(x) // 8 for x in raw])
+            raw = batch.column(2).to_pylist()
+            keys, counts = np.frombuffer(b"".join(raw), np.uint64), np.array([len(x) // 8 for x in raw], np.int64)
+            ids, n = (np.repeat(batch.column(c).to_numpy(), counts) for c in (0, 1))
+            reach = n - (np.arange(len(keys)) - np.repeat(np.cumsum(counts) - counts, counts))
             bucket = (keys % np.uint64(buckets)).astype(np.int64)
             own = np.argsort(bucket, kind="stable")
             some, start = np.unique(bucket[own], return_index=True)
-            keys, ids, ends = keys[own], ids[own], [*start[1:].tolist(), len(own)]
-            runs = list(zip(start.tolist(), ends))
+            runs = list(zip(start.tolist(), [*start[1:].tolist(), len(own)]))
+            packed = (x[own] for x in (keys, ids, n.astype(np.int32), reach.astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int64()), *(pa.array([x[a:b].tobytes() for a, b in runs], pa.binary()) for x in (keys, ids))], ["bucket", "keys", "ids"]
+                [pa.array(some, pa.int64()), *(pa.array([x[a:b].tobytes() for a, b in runs], pa.binary()) for x in packed)], ["bucket", "keys", "ids", "n", "reach"]
             )
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(k, i) for batch in batches for k, i in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        keys, ids = (np.frombuffer(b"".join(x), np.int64) for x in zip(*held)) if held else (np.zeros(0, np.int64),) * 2
+        held = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns[1:]))]
+        kinds = (np.int64, np.int64, np.int32, np.int32)
+        keys, ids, n, reach = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held) if held else [()] * 4, kinds))
         held.clear()
         own = np.argsort(keys, kind="stable")
+        same = keys[own[1:]] == keys[own[:-1]]
+        own = own[np.append(same, False) | np.append(False, same)] if len(own) else own  # keys of several documents
+        own = own[np.lexsort((n[own], keys[own]))]
+        size, rest = n[own].astype(np.int64), reach[own].astype(np.int64)
+        own = own[_met(keys[own], size, num, den, lambda i, j: np.minimum(rest[i], rest[j]) * (num + den) >= num * (size[i] + size[j]))]
         keys, ids = keys[own], ids[own]
-        new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
-        start = np.flatnonzero(new)
+        start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else own
         if len(start):
             size = np.diff(np.append(start, len(keys)))
             low = np.repeat(np.minimum.reduceat(ids, start), size)
@@ -195,8 +225,8 @@ def _rare_roots(sketches: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(ids[part]), pa.array(low[part])], ["key", "id", "first"])
         tidy()
 
-    packed = sketches.where("n_rare > 0").select("id", "rare").mapInArrow(deal, "bucket long, keys binary, ids binary")
-    dealt = packed.repartitionById(buckets, F.col("bucket").cast("int")).select("bucket", "keys", "ids")
+    packed = sketches.where("n_rare > 0").select("id", "n", "rare").mapInArrow(deal, "bucket long, keys binary, ids binary, n binary, reach binary")
+    dealt = packed.repartitionById(buckets, F.col("bucket").cast("int")).select("bucket", "keys", "ids", "n", "reach")
     return dealt.mapInArrow(merge, "key long, id long, first long")
 
 
@@ -208,14 +238,56 @@ def _frequent_roots(sketches: DataFrame) -> DataFrame:
     return own.join(F.broadcast(several), "key").where("id <> first").select("key", "id", "first")
 
 
+def _apart(left: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of (key, members, id, part) with another of their key, of other ``part``, whose set may be similar enough by parities."""
+    parts = max(1, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    edge, names = NEAR + 1, ["key", "members", "id", "part"]
+
+    def met(rows: pa.Table) -> np.ndarray:
+        keys, part, n = (rows.column(c).to_numpy() for c in ("key", "part", "n"))
+        odd = Parities(rows.column("parity").to_pylist())
+        # den * common >= num * union: tokens of one set only are no more than this share of all
+        near = lambda i, j: odd.differ(i, j) * (num + den) <= (n[i] + n[j]) * (den - num)
+
+        def like(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            out = part[i] != part[j]
+            out[out] = near(i[out], j[out])
+            return out
+
+        return _met(keys, n, num, den, like)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row is given when those as far away as ``_met`` looks have come; as many before it are held for those that follow."""
+        held, given = None, 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            elif held is None:
+                return
+            good = met(held)
+            end = len(good) if batch is None else max(given, len(good) - edge)
+            good[:given] = good[end:] = False
+            yield from held.select(names).filter(pa.array(good)).combine_chunks().to_batches()
+            cut = max(0, end - edge)
+            held, given = held.slice(cut), end - cut
+        tidy()
+
+    rows = left.join(texts.select("id", "n", "parity"), "id").repartition(parts, "key").sortWithinPartitions("key", "n")
+    return rows.select(*names, "n", "parity").mapInArrow(run, "key long, members long, id long, part long").distinct()
+
+
 def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The documents of the pairs, and some others. What is broadcast are ``SPOTS`` bits at most, which keep most other texts from being shuffled."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    """(id, text) of the documents of the pairs, and some others."""
+    return _likely(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()).select("id", "text")
+
+
+def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of the ids, and some others. What is broadcast are ``SPOTS`` bits at most, which keep most other rows from being shuffled."""
     spot = F.pmod(F.xxhash64("id"), F.lit(SPOTS))
     place = lambda x: F.shiftright(x, 6)
     marks = ids.select(spot.alias("spot")).groupBy(place(F.col("spot")).alias("place")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("spot", F.lit(64)).cast("int"))).alias("marks"))
     likely = docs.withColumn("spot", spot).join(F.broadcast(marks), place(F.col("spot")) == F.col("place"))
-    return likely.where(F.bit_get("marks", F.pmod("spot", F.lit(64)).cast("int")) == 1).select("id", "text")
+    return likely.where(F.bit_get("marks", F.pmod("spot", F.lit(64)).cast("int")) == 1).select(*docs.columns)
 
 
 def _verified(asked: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -407,14 +479,14 @@ def join(df: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 80, d
     classes = sound.groupBy("digest").agg(F.min("id").alias("b"))
     copies = stored(sound.select("id", "digest").join(classes, "digest").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "jaccard-copies")
 
-    rare = _rare_roots(sound)
+    rare = _rare_roots(sound, num, den)
     unique = _unique(docs)
     if unique:  # a copy is left to its class's smallest document, which has the same roots; an id that repeats can be of several classes
         rare = rare.alias("r").join(copies.alias("c"), F.col("r.id") == F.col("c.a"), "left").select("key", F.coalesce("b", "id").alias("id"), "first").where("id <> first")
     members = stored(rare.distinct().union(_frequent_roots(sound)), "jaccard-roots")
     votes = members.groupBy("id", "first").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy(F.col("id").alias("a")).agg(F.min_by(F.struct(F.col("first").alias("b"), F.col("n").alias("votes")), F.struct(-F.col("n"), "first")).alias("best")).select("a", "best.*")
-    firsts = sound.groupBy(F.col("id").alias("a")).agg(F.min(F.col("n") * (den - num) / den).alias("few"))
+    firsts = sound.groupBy(F.col("id").alias("a")).agg(F.min(F.col("n") * (den - num) / (den + num)).alias("few"))  # as far as sets of one size stand under their roots together
     stars = stored(best.join(firsts, "a").where(F.col("votes") >= VOTES * F.col("few")).select("a", "b"), "jaccard-stars")
     # a group for each document that leads others, in parts of about a block
     leads = stars.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
@@ -431,13 +503,14 @@ def join(df: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 80, d
     mixed = stored(mixed.select("key", "first", "top", (F.col("others") + 1).alias("members")), "jaccard-mixed")
     left = placed.select("key", "id", "part").join(mixed.select("key", "members"), "key").select("key", "members", "id", "part")
     left = left.union(mixed.select("key", "members", F.col("first").alias("id"), F.col("top").alias("part")))
-    every = stored(left.distinct(), "jaccard-every")
+    texts = sound.select("id", F.xxhash64("digest").alias("which"), "n", "bits", "parity")
+    texts = texts if unique else texts.dropDuplicates(["id", "which"])
+    every = stored(_apart(left.distinct(), texts, num, den), "jaccard-every")
     drop(members, mixed)
     left = stored(_outermost(every), "jaccard-left")
     drop(every)
     # bitmaps join when it is known where documents go, so that they move there at once
-    texts = sound.select("id", F.xxhash64("digest").alias("which"), "n", "bits")
-    texts = texts if unique else texts.dropDuplicates(["id", "which"])
+    texts = _likely(texts, left.select("id").distinct())
     roots = left.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("roots"))  # no more than the first shingles of the document
     dealt = _dealt(left.join(texts.select("id", "which", "n"), "id"), num, den)
     sent = _sent(dealt, left, texts.select("id", "which", "bits").join(roots, "id"))

@@ -9,6 +9,8 @@ import numpy as np
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _MANY = 100_000
+#: Bits of a parity at most.
+WIDEST = 4096
 
 
 class _Words(dict):
@@ -134,3 +136,35 @@ def folded(bits: np.ndarray, width: int) -> np.ndarray:
         half = len(bits) // 2
         bits = bits[:half] | bits[half:]
     return bits
+
+
+def parity(own: np.ndarray) -> bytes:
+    """One bit for each remainder of hashes: whether an odd number of tokens has it. Sets with parities that differ in d bits differ by d tokens at least."""
+    width = min(max(64, 1 << (len(own) // 2).bit_length()), WIDEST)
+    count = np.bincount((own & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return np.packbits(count & 1 == 1, bitorder="little").tobytes()
+
+
+class Parities:
+    """Parities of many sets, of any widths; two are compared at the smaller width of both."""
+
+    def __init__(self, of: list[bytes]):
+        self.width = np.array([len(x) // 8 for x in of], np.int64)
+        self.start, self.words = np.cumsum(self.width) - self.width, np.frombuffer(b"".join(of), np.uint64)
+
+    def _at(self, rows: np.ndarray, width: int) -> np.ndarray:
+        out, wide = np.empty((len(rows), width), np.uint64), self.width[rows]
+        for own in np.unique(wide).tolist():
+            some = wide == own
+            found = self.words[self.start[rows[some], None] + np.arange(own)]
+            out[some] = np.bitwise_xor.reduce(found.reshape(-1, own // width, width), axis=1)
+        return out
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """In how many bits each of i differs from that of j at the same place."""
+        least = np.minimum(self.width[i], self.width[j])
+        out = np.zeros(len(i), np.int64)
+        for width in np.unique(least).tolist():
+            some = least == width
+            out[some] = np.bitwise_count(self._at(i[some], width) ^ self._at(j[some], width)).sum(axis=1, dtype=np.int64)
+        return out

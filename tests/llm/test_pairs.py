@@ -136,6 +136,63 @@ def test_one_shingle_in_every_document(spark, monkeypatch):
     assert sorted(map(tuple, jaccard.join(df, "doc_id", "text", 3, 90, 100).collect())) == brute(rows, 3, 90, 100)
 
 
+def test_parities_never_exceed_the_difference():
+    """Parities of any two sets, of one width or several, differ in no more bits than the sets do in tokens."""
+    sets = [own for _, t in corpus(12) if len(own := shingles.shingle_set(t, 3))]
+    sets += [np.unique(np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64)) for n in (1, 127, 128, 129, 900, 9000, 20000)]
+    odd, every = shingles.Parities([shingles.parity(x) for x in sets]), np.arange(len(sets))
+    assert len(set(odd.width.tolist())) > 3
+    for i, x in enumerate(sets):
+        got, want = odd.differ(np.full(len(sets), i), every), [len(np.setxor1d(x, y)) for y in sets]
+        assert (got <= want).all() and got[i] == 0
+
+
+@pytest.mark.parametrize("near", [2, 64])
+def test_similar_sets_meet_under_their_first_shingle(monkeypatch, near):
+    """By size and place under a root no pair that is similar enough is left out, however many stand between them."""
+    monkeypatch.setattr(jaccard, "NEAR", near)
+    sets = [own for _, t in corpus(13) if len(own := shingles.shingle_set(t, 3))]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            common = np.intersect1d(a, b)
+            if 100 * len(common) < 90 * len(np.union1d(a, b)):
+                continue
+            own = sorted((len(x), len(x) - int(np.searchsorted(x, common[0])), k) for k, x in enumerate(sets) if common[0] in x)
+            n, reach, of = map(np.array, zip(*own))
+            like = lambda p, q: np.minimum(reach[p], reach[q]) * 190 >= 90 * (n[p] + n[q])
+            kept = set(of[jaccard._met(np.zeros(len(n), int), n, 90, 100, like)].tolist())
+            assert {i, j} <= kept
+
+
+def test_shingles_shared_by_chance_send_no_bitmaps(spark, monkeypatch):
+    """Of documents that share shingles but aren't similar, and of sizes too different, no bitmap goes to a comparison."""
+    rnd, sent, compared = random.Random(3), [], jaccard._compared
+    words = [f"w{i}" for i in range(5000)]
+    text = lambda n: [rnd.choice(words) for _ in range(n)]
+    rows = []
+    for _ in range(60):
+        passage = text(40)
+        rows += [" ".join(text(rnd.randrange(30, 60)) + passage + text(rnd.randrange(30, 60))) for _ in range(2)]
+    rows = list(enumerate(rows))
+    monkeypatch.setattr(jaccard, "_compared", lambda rows, *x: (sent.append(rows.count()), compared(rows, *x))[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.join(df, "doc_id", "text", 3, 90, 100).collect())) == brute(rows, 3, 90, 100)
+    assert sent == [0]
+
+
+def test_roots_cut_by_batches(spark):
+    """Neighbours under a root that come in different batches still meet."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        rows = corpus(14)
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted(map(tuple, jaccard.join(df, "doc_id", "text", 3, 90, 100).collect())) == brute(rows, 3, 90, 100)
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_components(spark):
     rnd = random.Random(1)
     links = [(i, i + 1) for i in range(40)] + [(rnd.randrange(100, 400), rnd.randrange(100, 400)) for _ in range(150)] + [(900, i) for i in range(500, 560)]
