@@ -21,20 +21,18 @@ _COUNT = np.array([1] + [c for _, c, _ in SELECTORS], np.int64)
 def _pack_chunk(values: np.ndarray) -> np.ndarray:
     n, top = len(values), int(values.max())
     small = values.astype(np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
-    count, chosen = np.zeros(n, np.int16), np.zeros(n, np.int8)
+    most, over = np.append(small, np.zeros(128, small.dtype)), 1  # the most of so many values from each on
+    chosen = np.zeros(n, np.int8)
     for s, c, bits in reversed(SELECTORS):
-        if top < 1 << bits:
-            count[:], chosen[:] = c, s
-            continue
-        gone = np.empty(n + c + 1, np.int16)
-        gone[0] = 0
-        np.cumsum(small >= small.dtype.type(1 << bits), out=gone[1 : n + 1])
-        gone[n + 1 :] = gone[n]
-        fits = gone[c : c + n] == gone[:n]
+        while over < c:
+            more = min(over, c - over)
+            most = np.maximum(most[:-more], most[more:])
+            over += more
+        fits = most[:n] < small.dtype.type(1 << bits) if top >= 1 << bits else np.ones(n, bool)
         if not fits.any():
             break  # nor do more of smaller values
-        count[fits], chosen[fits] = c, s
-    starts, at, step = [], 0, np.maximum(count, 1).tolist()
+        np.copyto(chosen, np.int8(s), where=fits)
+    starts, at, step = [], 0, _COUNT[chosen].tolist()
     while at < n:
         starts.append(at)
         at += step[at]

@@ -3,7 +3,7 @@
 A token file set is a folder with two Parquet tables, written and read by Spark alone, so that it can
 lie in any store and a lost executor only repeats its own tasks:
 
-``blocks``  bucket, block, ids of the documents, their lengths and their token ids (Simple-8b blocks)
+``blocks``  bucket, block, token ids in earlier blocks of the bucket, ids of the documents, their lengths and their token ids (Simple-8b blocks)
 ``index``   bucket, base: token ids in all earlier buckets
 
 Buckets are ranges of document ids, so the order is global: bucket, then block, then place.
@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
-from itertools import accumulate, chain, compress
+from itertools import accumulate, compress
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +29,15 @@ from .simple8b import pack, unpack
 
 #: A block is closed when it holds that many token ids; a longer document makes a larger block.
 BLOCK_IDS = 1 << 18
+_BLOCKS = "bucket int, block int, ahead long, n_tokens long, ids array<long>, lengths binary, tokens binary"
 _SPACE, _LINE_ENDS = re.compile(r"\s"), "\t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0"
 
 #: The characters that byte-level models write bytes as.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+#: Between pieces that are brought into these characters together.
+_SEPARATOR = "\uffff"
+_SHOWN_SEPARATOR = _SEPARATOR.encode().decode("latin-1").translate(_BYTE_CHARS)
 
 _library: dict[tuple[str, str, bool], Callable[[list[str]], list[bytes]]] = {}
 
@@ -61,8 +65,11 @@ def _by_model(own) -> Callable[[list[str]], list[bytes]] | None:
     tokenize = own.model.tokenize
 
     def encode(pieces: list[str]) -> list[bytes]:
-        ids = [[t.id for t in tokenize(p.encode().decode("latin-1").translate(_BYTE_CHARS))] for p in pieces]
-        data, ends = np.array(list(chain.from_iterable(ids)), "<u4").tobytes(), [0, *accumulate(4 * len(x) for x in ids)]
+        shown = _SEPARATOR.join(pieces).encode().decode("latin-1").translate(_BYTE_CHARS).split(_SHOWN_SEPARATOR)
+        if len(shown) != len(pieces):  # a text holds the separator
+            shown = [p.encode().decode("latin-1").translate(_BYTE_CHARS) for p in pieces]
+        found = list(map(tokenize, shown))
+        data, ends = np.array([t.id for x in found for t in x], "<u4").tobytes(), [0, *accumulate(4 * len(x) for x in found)]
         return [data[a:b] for a, b in zip(ends, ends[1:])]
 
     return encode
@@ -147,35 +154,35 @@ def write(df: DataFrame, id_col: str, text_col: str, path: str, encoder: Callabl
     encoded = rows.mapInArrow(encode, "bucket int, id long, ids binary")
     dealt = encoded.repartitionById(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "id", "ids")
 
-    def block(held: list[tuple], bucket: int, number: int) -> pa.RecordBatch:
+    def block(held: list[tuple], bucket: int, number: int, ahead: int) -> pa.RecordBatch:
         ids = [np.frombuffer(x, f"<u{x[0]}", offset=1) for _, x in held]
         n = np.array([len(x) for x in ids], np.int64)
-        row = [[bucket], [number], [int(n.sum())], [[i for i, _ in held]], [pack(n)], [pack(np.concatenate(ids))]]
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["bucket", "block", "n_tokens", "ids", "lengths", "tokens"])
+        row = [[bucket], [number], [ahead], [int(n.sum())], [[i for i, _ in held]], [pack(n)], [pack(np.concatenate(ids))]]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["bucket", "block", "ahead", "n_tokens", "ids", "lengths", "tokens"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, bucket, number = [], 0, None, 0
+        held, size, bucket, number, ahead = [], 0, None, 0, 0
         for batch in batches:
             for b, i, x in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and (b != bucket or size >= BLOCK_IDS):
-                    yield block(held, bucket, number)
-                    held, size, number = [], 0, number + 1
+                    yield block(held, bucket, number, ahead)
+                    held, size, number, ahead = [], 0, number + 1, ahead + size
                 if b != bucket:
-                    bucket, number = b, 0
+                    bucket, number, ahead = b, 0, 0
                 held.append((i, x))
                 size += len(x) // x[0]
         if held:
-            yield block(held, bucket, number)
+            yield block(held, bucket, number, ahead)
 
-    dealt.mapInArrow(blocks, "bucket int, block int, n_tokens long, ids array<long>, lengths binary, tokens binary").write.parquet(f"{path}/blocks")
+    dealt.mapInArrow(blocks, _BLOCKS).write.parquet(f"{path}/blocks")
     sums = _blocks(spark, path).groupBy("bucket").agg(F.sum("n_tokens").alias("n"))
     earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
     sums.select("bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")).coalesce(1).write.parquet(f"{path}/index")
 
 
 def _blocks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("bucket int, block int, n_tokens long, ids array<long>, lengths binary, tokens binary").parquet(f"{path}/blocks")
+    return spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str, id_col: str) -> DataFrame:
@@ -186,11 +193,7 @@ def read(spark: SparkSession, path: str, id_col: str) -> DataFrame:
     """
     ship(spark)
     index = spark.read.schema("bucket int, base long").parquet(f"{path}/index")
-    table = _blocks(spark, path)
-    # blocks before a block in its bucket: a window over a row of numbers for each block
-    ahead = Window.partitionBy("bucket").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = table.select("bucket", "block", F.coalesce(F.sum("n_tokens").over(ahead), F.lit(0)).alias("ahead"))
-    firsts = firsts.join(F.broadcast(index), "bucket").select("bucket", "block", (F.col("base") + F.col("ahead")).alias("first"))
+    table = _blocks(spark, path).join(F.broadcast(index), "bucket")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,7 +204,7 @@ def read(spark: SparkSession, path: str, id_col: str) -> DataFrame:
                 docs = [data[a:b] for a, b in zip(at, at[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(first + end - n), pa.array(n), pa.array(docs, pa.binary())], ["id", "start", "n_tokens", "ids"])
 
-    rows = table.join(firsts, ["bucket", "block"]).select("first", "ids", "lengths", "tokens")
+    rows = table.select((F.col("base") + F.col("ahead")).alias("first"), "ids", "lengths", "tokens")
     return rows.mapInArrow(decode, StructType().add("id", "long").add("start", "long").add("n_tokens", "long").add("ids", BinaryType())).withColumnRenamed("id", id_col)
 
 

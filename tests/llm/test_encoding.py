@@ -124,3 +124,28 @@ def test_pieces_go_to_the_model_alone():
     assert tokenfiles._by_model(own)(pieces) == wanted
     own.normalizer = normalizers.Lowercase()
     assert json.loads(own.to_str())["normalizer"] and tokenfiles._by_model(own) is None
+
+
+def test_token_files_are_read_without_a_shuffle(spark, tmp_path):
+    """Blocks know how many ids are before them, so they go nowhere; starts run on over blocks and buckets."""
+    rows = [(i, "ab " * (i % 7 if i % 30 else 40_000)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    path = str(tmp_path / "tokens")
+    encoder = lambda: lambda texts: [np.frombuffer(t.encode(), np.uint8).astype("<u4").tobytes() for t in texts]
+    tokenfiles.write(df, "doc_id", "text", path, encoder, end_id=2, buckets=2)
+    assert spark.read.parquet(f"{path}/blocks").groupBy("bucket").count().where("count > 1").count() == 2
+    got = tokenfiles.read(spark, path, "doc_id")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Window" not in plan
+    start = 0
+    for r, (i, t) in zip(sorted(got.collect()), rows):
+        assert (r.doc_id, r.start, r.n_tokens) == (i, start, len(t) + 1)
+        start += r.n_tokens
+
+
+def test_pieces_with_the_separator():
+    """U+FFFF stands between pieces on their way to the library; texts that hold it come out as the library's own."""
+    own = Tokenizer.from_file(VOCABULARY)
+    for texts in (["a￿b", "￿", "x ￿￿ y é"], ["plain", " é ü", ""]):
+        got = tokenfiles.library_encoder(VOCABULARY, P.PATTERN)(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [own.encode(t, add_special_tokens=False).ids for t in texts]
