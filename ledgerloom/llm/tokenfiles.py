@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
 from .bpe import steps
-from .pieces import PieceEncoder
+from .pieces import PieceEncoder, PooledEncoder
 from .shared import ship
 from .simple8b import pack, unpack
 
@@ -114,7 +114,7 @@ def library_encoder(path: str, pattern: str, added: bool = False) -> Callable[[l
             first, second = iter(found), iter(each([p for p, good in zip(pieces, line) if not good]))
             return [next(first if good else second) for good in line]
 
-        pieces = PieceEncoder(pattern, _by_model(own) or encode, capacity=700_000)
+        pieces = PooledEncoder(pattern, _by_model(own) or encode, capacity=700_000)
         _library[key] = _with_added(pieces, each, [t.content for t in own.get_added_tokens_decoder().values()]) if added else pieces
     return _library[key]
 

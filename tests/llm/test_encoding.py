@@ -149,3 +149,55 @@ def test_pieces_with_the_separator():
     for texts in (["a￿b", "￿", "x ￿￿ y é"], ["plain", " é ü", ""]):
         got = tokenfiles.library_encoder(VOCABULARY, P.PATTERN)(texts)
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_token_files_split_whole_batches(monkeypatch):
+    """The encoder of token files doesn't split text by text (that cost more than its budget), and gives the library's ids."""
+    from ledgerloom.llm.pieces import PieceEncoder
+
+    def split(*_):
+        raise AssertionError("a text is split by itself")
+
+    monkeypatch.setattr(PieceEncoder, "split", split)
+    own = Tokenizer.from_file(VOCABULARY)
+    own.encode_special_tokens = True
+    for batch in ([], [""], ["", "", " "], ["it's", "'s", "x" * 500 + " é", ""], texts(120, 3)):
+        got = tokenfiles.library_encoder(VOCABULARY, P.PATTERN)(batch)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [own.encode(t, add_special_tokens=False).ids for t in batch]
+
+
+def test_starts_are_those_of_the_pattern():
+    import regex
+
+    from ledgerloom.llm import pieces
+
+    assert pieces.RUNS == P.PATTERN
+    full, rng = regex.compile(P.PATTERN), random.Random(11)
+    odd = [*"'''''stmdrevlSTa     \n\n\t\r\x0b\x1c\x1f01!_-#\x00\x7f", "\x85", "\xa0", " ", "　", "​", "\xad", "٣", "\xb2", "Ⅷ", "é", "漢", "ß", "ʼ", "’", "क्", "🙂", "𝒳", "𝟘", "\U000e0100", "￿", "\U0010ffff"]
+    own = ["", *("".join(rng.choices(odd, k=rng.choice([0, 1, 2, 3, 5, 9, 30]))) for _ in range(20_000)), *(chr(i) + "'s " + chr(i) for i in range(0x30000) if not 0xD800 <= i < 0xE000)]
+    data = pieces._STOP.join([*(t.encode() for t in own), pieces._STOP])
+    at = pieces.starts(data).tolist()
+    wanted = [p for t in own for p in (*(x.encode() for x in full.findall(t)), pieces._STOP)]
+    assert [data[a:b] for a, b in zip(at, at[1:])] == wanted
+
+
+def test_pooled_pieces_are_bounded():
+    """Very long pieces aren't kept, a full store is emptied, and other patterns are split text by text; ids stay the same."""
+    from ledgerloom.llm.pieces import PooledEncoder
+
+    asked = []
+
+    def encode(pieces):
+        asked.extend(pieces)
+        return [np.frombuffer(p.encode(), np.uint8).astype("<u4").tobytes() for p in pieces]
+
+    batches = [["a b a", "", "c" * 300], ["c" * 300 + " b", "d e f g"], ["a b", "h"], ["a"]]
+    for pattern in (P.PATTERN, r"\w+|\W+"):
+        pooled = PooledEncoder(pattern, encode, capacity=4)
+        for batch in batches:
+            assert [np.frombuffer(x, "<u4").tolist() for x in pooled(batch)] == [list(t.encode()) for t in batch]
+    pooled, asked[:] = PooledEncoder(P.PATTERN, encode), []
+    for batch in batches:
+        pooled(batch)
+    assert asked.count("c" * 300) == 2 and asked.count(" b") == 1
+    assert len(pooled._pool) < 20 and len(pooled._ends) == len(pooled._place) + 1
