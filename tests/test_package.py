@@ -2,17 +2,20 @@
 
 import csv
 import datetime as dt
+import io
 import json
 import re
+import time
 import zipfile
 from xml.etree import ElementTree
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import validation as V
 from ledgerloom.operators import analytics as A
-from ledgerloom.plans import export, sinks
+from ledgerloom.plans import export, service_queries, sinks
 from ledgerloom.sources import package
 from ledgerloom.sources.records import records
 
@@ -152,3 +155,62 @@ def test_sheets_are_written_from_ordered_records(spark, df, made):
 
 def export_names(df):
     return [r.file_name for r in A.successful(df).orderBy("file_id").select("file_name").collect()]
+
+
+def test_codec_keeps_every_row(df, made, tmp_path):
+    at, files = made
+    small = {r.file: r for r in sinks.write_package(df, str(tmp_path), "all", codec="zstd").collect()}
+    assert {f: r.rows for f, r in small.items()} == {f: r.rows for f, r in files.items()}
+    for f, r in small.items():
+        if f.endswith(".xlsx"):
+            assert lines(tmp_path, r) == lines(at, files[f])
+            continue
+        assert all(p.endswith(".zst") for p in r.parts)
+        head = 1 if f.endswith(".csv") else 0
+        text = [x for p in r.parts for x in pa.input_stream(str(tmp_path / f / p), compression="zstd").read().decode().splitlines()[head:]]
+        assert text == [x for p in files[f].parts for x in (at / f / p).read_text(encoding="utf-8").splitlines()[head:]]
+    big = "spreadsheets/receipts.json"
+    assert small[big].bytes * 4 < files[big].bytes
+    with pytest.raises(ValueError, match="no such codec"):
+        package.write(df.select(F.lit("a.csv").alias("file"), F.array("file_id").alias("cells")), str(tmp_path), {"a.csv": ["id"]}, codec="lzo")
+
+
+def test_queries_leave_a_small_package_and_no_shuffle_files(spark, sf):
+    shuffled = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = shuffled()
+    files = service_queries._packaged(spark, sf)[1].collect()
+    assert len(files) == 14 and all(p.endswith((".zst", ".xlsx")) for r in files for p in r.parts)
+    for _ in range(40):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.25)
+    assert not left
+
+
+def test_parts_follow_places(spark, tmp_path):
+    rows = [("a.csv", (p << package.BITS) + i, 1, f"{p}-{i}\r\n") for p in (2, 0, 1) for i in range(3)]
+    made = spark.createDataFrame(rows, "file string, place long, n int, text string").coalesce(1)
+    (entry,) = package.write(made, str(tmp_path), {"a.csv": ["x"]}).collect()
+    assert len(entry.parts) == 3 and entry.rows == 9
+    assert lines(tmp_path, entry) == [[f"{p}-{i}"] for p in range(3) for i in range(3)]
+
+
+def test_full_sheets_are_cut(monkeypatch):
+    monkeypatch.setattr(package, "SHEET_ROWS", 4)
+    text = b"".join(b"<row>%d</row>" % i for i in range(8))
+    got = list(package._fitting("xlsx", 1, 8, text))
+    assert [n for n, _ in got] == [2, 3, 3] and b"".join(x for _, x in got) == text
+    assert list(package._fitting("xlsx", 3, 1, b"<row/></row>")) == [(1, b"<row/></row>")]
+    assert list(package._fitting("csv", 3, 8, text)) == [(8, text)]
+
+
+def test_texts_are_those_of_the_csv_module(spark, tmp_path):
+    cells = [["", None], [" a ", "b  c"], ['"', ",\r"], ["|x| y", "&lt;"], ["\x00", "\ttab"], ["\U0001f600", "￾]]>"]]
+    df = spark.createDataFrame([(f"x.{k}", c) for c in cells for k in ("csv", "xlsx")], "file string, cells array<string>").coalesce(1)
+    files = {r.file: r for r in package.write(df, str(tmp_path), {f"x.{k}": ["a", "b"] for k in ("csv", "xlsx")}).collect()}
+    want = io.StringIO(newline="")
+    csv.writer(want).writerows([["a", "b"], *(["" if v is None else v for v in c] for c in cells)])
+    (part,) = files["x.csv"].parts
+    assert (tmp_path / "x.csv" / part).read_bytes() == want.getvalue().encode()
+    drop = lambda v: re.sub("[\x00￾]", "", re.sub("\r", "\n", v or ""))
+    assert lines(tmp_path, files["x.xlsx"]) == [[drop(v) for v in c] for c in cells]
