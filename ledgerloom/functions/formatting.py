@@ -85,6 +85,8 @@ def accounting_code(items: Column) -> Column:
     return _first_hit(items, ACCOUNTS, "6000")
 
 
+#: Formatters of items that read descriptions only.
+OF_DESCRIPTIONS = (items_summary, items_business, tax_category, accounting_code)
 #: Formatters by name; ``register`` adds further ones. They see only values that are present.
 FORMATTERS: dict[str, Callable[[Column], Column]] = {
     "currency": lambda c: F.when(F.rlike(c, F.lit(r"^[0-9.,]*[0-9][0-9.,]*$")), F.concat(F.lit("$"), c)).otherwise(c),

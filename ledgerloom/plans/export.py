@@ -132,10 +132,16 @@ def header(template: Template) -> list[str]:
     return [*(m.name for m in template.fields), *template.constants]
 
 
+def _described(template: Template) -> bool:
+    """Whether the template shows nothing of items but their number and what is made of descriptions, so that their amounts needn't be formatted."""
+    return all(fmt.FORMATTERS.get(m.formatter) in (None, *fmt.OF_DESCRIPTIONS) for m in template.fields if m.source == "items")
+
+
 def held(df: DataFrame, templates: list[Template]) -> tuple[DataFrame, list[Column]]:
     """Records with the sections of all templates as columns t0, t1, ..., and the cells of each template over them: texts in the order of ``header``."""
     checked = "is_valid" in df.columns
-    out = df.select("*", *(F.struct(*(c.alias(n) for n, c in sections_of(t.date_format, t.symbol, checked).items())).alias(f"t{i}") for i, t in enumerate(templates)))
+    sections = [sections_of(t.date_format, t.symbol, checked) | ({"items": F.transform("items", lambda x: F.struct(x["description"].alias("description")))} if _described(t) else {}) for t in templates]
+    out = df.select("*", *(F.struct(*(c.alias(n) for n, c in x.items())).alias(f"t{i}") for i, x in enumerate(sections)))
     kinds = out.schema
     return out, [F.array(*(_value(kinds[f"t{i}"].dataType, m, f"t{i}.") for m in t.fields), *(F.lit(v).cast("string") for v in t.constants.values())) for i, t in enumerate(templates)]
 

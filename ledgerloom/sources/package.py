@@ -119,7 +119,7 @@ class _Csv(_Plain):
 
 class _Xlsx(_Plain):
     def __init__(self, out, name: str, header: list[str]):
-        self.file, self.zip = out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+        self.file, self.zip = out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=ZIP_LEVEL)
         title = re.sub(r"[\[\]:*?/\\]", " ", name)[:SHEET_NAME]
         for path, text in (("[Content_Types].xml", _TYPES), ("_rels/.rels", _ROOT), ("xl/workbook.xml", _BOOK.format(escape(title, {'"': "&quot;"}))), ("xl/_rels/workbook.xml.rels", _RELS)):
             self.zip.writestr(path, text)
@@ -137,6 +137,29 @@ class _Xlsx(_Plain):
 FORMATS = {"csv": _Csv, "xlsx": _Xlsx, "json": _Plain, "txt": _Plain}
 #: How texts can be compressed, and the endings that their parts get; workbooks are compressed by themselves.
 CODECS = {"none": "", "gzip": ".gz", "zstd": ".zst"}
+#: Levels of compression, of texts and of workbooks; bytes that are compressed at once.
+LEVEL, ZIP_LEVEL, FRAME = 6, 9, 1 << 22
+
+
+class _Frames:
+    """Compresses what is written, frame after frame: pyarrow's own streams take no level."""
+
+    def __init__(self, out, codec: str):
+        self.out, self.codec, self.held = out, pa.Codec(codec, LEVEL), bytearray()
+
+    def write(self, data: bytes) -> None:
+        self.held += data
+        if len(self.held) >= FRAME:
+            self._flush()
+
+    def _flush(self) -> None:
+        if self.held:
+            self.out.write(self.codec.compress(bytes(self.held), asbytes=True))
+            self.held = bytearray()
+
+    def close(self) -> None:
+        self._flush()
+        self.out.close()
 
 
 @dataclass
@@ -197,8 +220,8 @@ class PackageWriter(D.DataSourceArrowWriter):
                 store.create_dir(f"{root}/{file}", recursive=True)
                 stem = file.rpartition("/")[2].rpartition(".")[0]
                 done.parts.append(Part(file, path, place, 0, 0))
-                stream = store.open_output_stream(f"{root}/{path}", compression=None if codec == "none" else codec)
-                opened[file] = FORMATS[kind](stream, stem, self.headers.get(file, [])), done.parts[-1]
+                out = store.open_output_stream(f"{root}/{path}", compression=None)
+                opened[file] = FORMATS[kind](out if codec == "none" else _Frames(out, codec), stem, self.headers.get(file, [])), done.parts[-1]
             out, part = opened[file]
             out.add(text)
             part.rows += n

@@ -214,3 +214,25 @@ def test_texts_are_those_of_the_csv_module(spark, tmp_path):
     assert (tmp_path / "x.csv" / part).read_bytes() == want.getvalue().encode()
     drop = lambda v: re.sub("[\x00￾]", "", re.sub("\r", "\n", v or ""))
     assert lines(tmp_path, files["x.xlsx"]) == [[drop(v) for v in c] for c in cells]
+
+
+def test_own_formatters_see_whole_items(df):
+    t = export.Template("own", (export.Mapping("items", "Last", "last_price"), export.Mapping("items", "Names", "items_summary")), formats=("csv",))
+    export.fmt.FORMATTERS["last_price"] = lambda c: F.get(c, F.size(c) - 1)["total_price"]
+    try:
+        held, (cells,) = export.held(df, [t])
+        want = {r.file_id: [r.Last, r.Names] for r in export.apply(df, t, "file_id").collect()}
+        assert {r.file_id: r.cells for r in held.select("file_id", cells.alias("cells")).collect()} == want
+        assert any(v[0] for v in want.values())
+    finally:
+        del export.fmt.FORMATTERS["last_price"]
+
+
+def test_frames_are_one_text(tmp_path, monkeypatch):
+    monkeypatch.setattr(package, "FRAME", 100)
+    for codec in ("zstd", "gzip"):
+        out = package._Frames((tmp_path / codec).open("wb"), codec)
+        for i in range(1000):
+            out.write(b"%d\n" % i)
+        out.close()
+        assert pa.input_stream(str(tmp_path / codec), compression=codec).read() == b"".join(b"%d\n" % i for i in range(1000))
